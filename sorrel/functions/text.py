@@ -71,7 +71,7 @@ def phrase_pattern(phrase) -> Column:
 
 
 def mentions(text, phrase) -> Column:
-    return F.lower(col(text)).rlike(phrase_pattern(phrase))
+    return F.rlike(F.lower(col(text)), phrase_pattern(phrase))
 
 
 def ngrams(text, lengths) -> Column:
@@ -81,14 +81,14 @@ def ngrams(text, lengths) -> Column:
     """
     runs = F.split(F.lower(col(text)), "[^\\p{L}\\p{N}_\\s]+")
 
-    def grams(run):
-        words = F.filter(F.split(run, "\\s+"), lambda w: w != "")
-        per = [F.when(F.size(words) >= n, F.transform(
-            F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))).otherwise(
-                F.array().cast("array<string>")) for n in lengths]
-        return F.concat(*per)
+    def windows(words, n):
+        starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
+        return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(
+            F.array().cast("array<string>"))
 
-    return F.array_distinct(F.flatten(F.transform(runs, grams)))
+    # two steps, so the words of a run are split once and not per window
+    words = F.transform(runs, lambda run: F.filter(F.split(run, "\\s+"), lambda w: w != ""))
+    return F.array_distinct(F.flatten(F.transform(words, lambda ws: F.concat(*[windows(ws, n) for n in lengths]))))
 
 
 def number_words(prompt) -> Column:
@@ -140,8 +140,13 @@ def _first_object(text: pd.Series) -> pd.Series:
 
 
 def outer_object(text) -> Column:
-    """The span from the first opening to the last closing brace as a variant, NULL if not JSON."""
-    return F.try_parse_json(F.nullif(F.regexp_extract(col(text), "(?s)\\{.*\\}", 0), F.lit("")))
+    """The span from the first opening to the last closing brace as a variant, NULL if not JSON.
+
+    The parser stops at the end of a first value; inside brackets anything after it counts.
+    """
+    span = F.nullif(F.regexp_extract(col(text), "(?s)\\{.*\\}", 0), F.lit(""))
+    alone = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), span, F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(alone) == 1, F.get(alone, F.lit(0)))
 
 
 def first_object(text) -> Column:

@@ -213,7 +213,7 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str], value: str = "delta", *, n_
     depth = F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("_n") / block_rows))).cast("int")
     sizes = sizes.withColumn("_depth", depth)
     placed = rows.select("_key", "_value", salt.alias("_salt")).join(sizes.select("_key", "_n", "_depth"), "_key")
-    placed = placed.withColumn("_block", F.pmod("_salt", F.shiftleft(F.lit(1).cast("long"), F.col("_depth"))))
+    placed = placed.withColumn("_block", F.pmod("_salt", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_depth"))))
     blocks = placed.groupBy("_key", "_block", "_depth").agg(F.count(F.lit(1)).alias("_c"))
     nodes = blocks.select("_key", "_depth", "_c", F.explode(F.when(F.col("_depth") > 0, F.transform(
         F.sequence(F.lit(0), F.col("_depth") - 1), lambda lv: F.struct(
