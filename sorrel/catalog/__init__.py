@@ -1,4 +1,4 @@
 """Importing the package registers every query."""
 
 from sorrel.catalog.base import QUERIES, SQL  # noqa: F401
-from sorrel.catalog import documents, evaluation, vectors  # noqa: F401
+from sorrel.catalog import documents, evaluation, files, knowledge, studies, vectors  # noqa: F401

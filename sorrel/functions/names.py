@@ -113,7 +113,9 @@ def part_attributes_map(parts: str, default_source: str = "graph") -> Column:
             F.concat(p["name"], F.lit("."), a["name"]).alias("key"), F.struct(
                 a["value"].alias("value"), F.lit(None).cast("int").alias("support"), F.lit(None).cast("int").alias("visible_count"),
                 F.coalesce(a["source"], F.lit(default_source)).alias("source")).alias("value")))))
-    return F.map_from_entries(entries)
+    # a repeated name keeps its last value
+    empty = F.map_from_entries(F.filter(entries, lambda e: F.lit(False)))
+    return F.aggregate(entries, empty, lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != e["key"]), F.create_map(e["key"], e["value"])))
 
 
 # --- hashes ---------------------------------------------------------------------

@@ -66,8 +66,8 @@ def should_reask(v, threshold: float = 0.5) -> Column:
 
 def phrase_pattern(phrase) -> Column:
     """Pattern of a word-bounded phrase with flexible inner space, for use with ``rlike``."""
-    escaped = F.regexp_replace(squash(phrase), "([^\\p{L}\\p{N}_\\s])", "\\\\\\\\$1")
-    return F.concat(F.lit(f"(?<!{_LETTER})"), F.regexp_replace(escaped, " ", "\\\\\\\\s+"), F.lit(f"(?!{_LETTER})"))
+    escaped = F.regexp_replace(squash(phrase), "([^\\p{L}\\p{N}_\\s])", "\\\\$1")
+    return F.concat(F.lit(f"(?<!{_LETTER})"), F.regexp_replace(escaped, " ", "\\\\s+"), F.lit(f"(?!{_LETTER})"))
 
 
 def mentions(text, phrase) -> Column:

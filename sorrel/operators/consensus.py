@@ -11,6 +11,7 @@ from sorrel.functions.scores import binomial_two_sided, ratio
 from sorrel.functions.text import is_visible, norm, says_yes
 from sorrel.operators.scan import ordered_scan
 from sorrel.operators.similarity import top_k
+from sorrel.session import cut
 
 
 def _value_counts(reads: DataFrame, keys: Sequence[str], order: str | None) -> DataFrame:
@@ -39,6 +40,12 @@ def decidable(targets: DataFrame, key: str = "concept") -> DataFrame:
     return targets.groupBy(key).agg(F.count_if("is_target").alias("n_targets")).withColumn("decidable", F.col("n_targets") >= 2)
 
 
+def target_bucket(n_targets) -> Column:
+    """Target count as a label, five and more together."""
+    n = F.col(n_targets) if isinstance(n_targets, str) else n_targets
+    return F.when(n <= 4, n.cast("string")).otherwise("5+")
+
+
 def feasibility(targets: DataFrame, cohorts: DataFrame | None = None, key: str = "concept") -> DataFrame:
     """Decidable and undecidable concepts, overall or by cohort."""
     d = decidable(targets, key)
@@ -62,29 +69,32 @@ def heldout_labels(reads: DataFrame, build: DataFrame, keys: Sequence[str], path
     return strict_majority(fresh, keys)
 
 
-def family_majority(attrs: DataFrame, sims: DataFrame | None = None) -> DataFrame:
+def family_majority(attrs: DataFrame, vectors: DataFrame | None = None, vec: str = "vec") -> DataFrame:
     """Majority value among same-family siblings, per (concept, slot).
 
-    ``attrs`` is one row (concept, family, slot, value) per concept and slot. Counts of the
-    whole family minus the concept's own vote give sibling counts without pairing
-    siblings. A tie goes to the tied value of the most similar sibling in ``sims``
-    (concept, sibling, sim), else to the lowest value.
+    ``attrs`` is one row (concept, family, part, slot, value) per concept and slot. Counts
+    of the whole family minus the concept's own vote give sibling counts without pairing
+    siblings. A tie goes to the tied value of the most similar sibling by ``vectors``
+    (concept, part, unit vector), an exact top-1 per tied value, else to the lowest value.
     """
     known = attrs.where(F.col("family").isNotNull())
     votes = known.groupBy("family", "slot", "value").agg(F.count(F.lit(1)).alias("_n"))
-    mine = known.select("concept", "family", "slot", F.col("value").alias("_own"))
-    # concepts that read the slot differently need every value of the family-slot; those are few per slot
+    mine = known.select("concept", "family", "part", "slot", F.col("value").alias("_own"))
     opts = mine.join(votes, ["family", "slot"]).withColumn("_n", F.col("_n") - (F.col("value") == F.col("_own")).cast("int")).where(F.col("_n") > 0)
     top = opts.groupBy("concept", "slot").agg(F.max("_n").alias("_top"))
-    tied = opts.join(top, ["concept", "slot"]).where(F.col("_n") == F.col("_top"))
+    # read four times below: written once instead of replanned
+    tied = cut(opts.join(top, ["concept", "slot"]).where(F.col("_n") == F.col("_top")))
     per = tied.groupBy("concept", "slot").agg(F.count(F.lit(1)).alias("_k"), F.min("value").alias("_low"))
-    if sims is None:
+    if vectors is None:
         return per.select("concept", "slot", F.col("_low").alias("prediction"))
-    open_ties = tied.join(per.where(F.col("_k") > 1).select("concept", "slot"), ["concept", "slot"], "left_semi").select("concept", "slot", "value")
-    sib = known.select(F.col("concept").alias("sibling"), "slot", "value")
-    ranked = (open_ties.join(sims, "concept").join(sib, ["sibling", "slot", "value"]).groupBy("concept", "slot")
-              .agg(F.min_by("value", F.struct(-F.col("sim"), F.col("sibling"))).alias("_near")))
-    return per.join(ranked, ["concept", "slot"], "left").select("concept", "slot", F.when(
+    key = lambda *c: F.concat_ws("\u0001", *[F.col(x).cast("string") for x in c])
+    open_ties = tied.join(per.where(F.col("_k") > 1).select("concept", "slot"), ["concept", "slot"], "left_semi").join(vectors, ["concept", "part"])
+    asks = open_ties.select(key("concept", "slot", "value").alias("query_id"), key("family", "slot", "value").alias("_grp"), "concept", "slot", "value", F.col(vec).alias("vec"))
+    pool = known.join(vectors, ["concept", "part"]).select(F.col("concept").alias("doc_id"), key("family", "slot", "value").alias("_grp"), "concept", F.col(vec).alias("vec"))
+    near = top_k(asks, pool, 1, tag="concept", group="_grp").select("query_id", "doc_id", "score")
+    won = asks.select("query_id", "concept", "slot", "value").join(near, "query_id").groupBy("concept", "slot").agg(
+        F.min_by("value", F.struct(-F.col("score"), F.col("doc_id"))).alias("_near"))
+    return per.join(won, ["concept", "slot"], "left").select("concept", "slot", F.when(
         F.col("_k") == 1, F.col("_low")).otherwise(F.coalesce("_near", "_low")).alias("prediction"))
 
 

@@ -160,7 +160,7 @@ def attach_density(rows: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.join(c, F.lower("concept") == F.col("_c"), "left").drop("_c")
 
 
-def usable_records(df: DataFrame, embeddings: str = "ref_embeddings", paths: str = "ref_paths") -> Column:
+def usable_records(embeddings: str = "ref_embeddings", paths: str = "ref_paths") -> Column:
     n = F.coalesce(F.size(embeddings), F.lit(-1))
     return (n > 0) & (n == F.coalesce(F.size(paths), F.lit(-1)))
 

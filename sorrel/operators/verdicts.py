@@ -93,6 +93,14 @@ def confusion(df: DataFrame, truth: Column, predicted: Column, keys: Sequence[st
     return c.select(*keys, "tp", "fp", "tn", "fn", *[m.alias(n) for n, m in confusion_metrics(empty).items()])
 
 
+def weighted_confusion(df: DataFrame, truth: Column, predicted: Column, weight: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Confusion of rows that stand for ``weight`` equal ones."""
+    part = lambda c: F.coalesce(F.sum(F.when(c, F.col(weight))), F.lit(0))
+    c = df.groupBy(*keys).agg(part(truth & predicted).alias("tp"), part(~truth & predicted).alias("fp"),
+                              part(~truth & ~predicted).alias("tn"), part(truth & ~predicted).alias("fn"))
+    return c.select(*keys, "tp", "fp", "tn", "fn", *[m.alias(n) for n, m in confusion_metrics().items()])
+
+
 def three_way_confusion(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """FAIL verdicts are positive, PASS and ABSTAIN negative; empty ratios are NaN, MCC 0."""
     nan = float("nan")
@@ -256,12 +264,18 @@ def outcome(draft_ok, winner) -> Column:
     return F.when(F.col(draft_ok), "healthy").when(F.col(winner) != 0, "repaired").otherwise("unrepairable")
 
 
+def status_for(draft_ok, winner) -> Column:
+    """Queue status of a chosen candidate: repaired, healthy or unrepaired."""
+    return F.when(F.col(winner) != 0, "repaired").when(F.col(draft_ok), "healthy").otherwise("unrepaired")
+
+
 def select_repair(candidates: DataFrame, text_margin: float, reference_margin: float | None = None, *, case: str = "case_id",
-                  judged: bool = False) -> DataFrame:
+                  judged: bool = False, strict_reference: bool = False) -> DataFrame:
     """Best eligible attempt per case of (case, attempt, text_relevance, reference_relevance, semantic_ok).
 
-    Eligible: gains over the draft reach the inclusive margins, and the judge accepts it when
-    ``judged``. Best by text, then reference (unless judged), then lower attempt; else 0.
+    Eligible: gains over the draft reach the inclusive margins (``strict_reference`` asks for
+    a reference gain above its margin), and the judge accepts it when ``judged``. Best by
+    text, then reference (unless judged), then lower attempt; else 0.
     """
     ulp = 1e-12
     draft = candidates.where(F.col("attempt") == 0).select(
@@ -269,7 +283,8 @@ def select_repair(candidates: DataFrame, text_margin: float, reference_margin: f
     j = candidates.where(F.col("attempt") > 0).join(draft, case)
     ok = F.col("text_relevance") - F.col("_dt") + ulp >= text_margin
     if reference_margin is not None:
-        ok = ok & (F.col("reference_relevance") - F.col("_dr") + ulp >= reference_margin)
+        gain = F.col("reference_relevance") - F.col("_dr")
+        ok = ok & (gain > reference_margin if strict_reference else gain + ulp >= reference_margin)
     if judged:
         ok = ok & F.coalesce("semantic_ok", F.lit(False))
     rank = [F.col("text_relevance")] + ([] if judged else [F.col("reference_relevance")]) + [-F.col("attempt")]

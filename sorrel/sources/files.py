@@ -97,8 +97,13 @@ def cell_results(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
 
 
 def species_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(key, eligible, eval_set, valid) of a JSON object of entries; ``valid`` checks list types per entry."""
-    raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+    """(key, eligible, eval_set, valid) of a JSON object of entries per file."""
+    return manifest_rows(spark.read.text(path, wholetext=True))
+
+
+def manifest_rows(texts: DataFrame) -> DataFrame:
+    """Manifest entries of JSON texts in ``value``; ``valid`` checks list types per entry."""
+    raw = texts.select(F.parse_json("value").alias("v"))
     entries = raw.select(F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("key", "entry"))
     lists = lambda name: F.try_variant_get("entry", f"$.{name}", "array<string>")
     kind = lambda name: F.schema_of_variant(F.try_variant_get("entry", f"$.{name}", "variant"))

@@ -36,7 +36,11 @@ def visible_attributes(graphs: DataFrame, whitelist: DataFrame | None = None) ->
 
 def read_part_instances(spark: SparkSession, pattern: str) -> DataFrame:
     """Part instances of files holding JSON lists; files of another shape give nothing."""
-    raw = spark.read.text(pattern, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    return instance_rows(spark.read.text(pattern, wholetext=True).select(F.try_parse_json("value").alias("v")))
+
+
+def instance_rows(raw: DataFrame) -> DataFrame:
+    """Instances of a variant column ``v`` holding lists."""
     rows = raw.select(F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("e"))
     pick = lambda n, t="string": F.try_variant_get("e", f"$.{n}", t).alias(n)
     return rows.select(pick("id"), pick("concept"), pick("part"), pick("ref_path"), pick("crop_path"),

@@ -26,7 +26,7 @@ def embed_items(df: DataFrame, ident: str, item: str, fn: Callable[[list], np.nd
             yield pd.DataFrame({ident: batch[ident].values, out: list(m)})
 
     schema = T.StructType([df.schema[ident], T.StructField(out, T.ArrayType(T.DoubleType()))])
-    return df.select(ident, item).mapInPandas(run, schema)
+    return df.select(*dict.fromkeys([ident, item])).mapInPandas(run, schema)
 
 
 def map_distinct(df: DataFrame, inputs: Sequence[str], fn: Callable[..., list], out: str, kind: T.DataType) -> DataFrame:
