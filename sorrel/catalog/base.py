@@ -55,3 +55,10 @@ def r(col, digits: int = 6):
 def big(col):
     c = F.col(col) if isinstance(col, str) else col
     return c.cast("bigint")
+
+
+def literal_rows(spark: SparkSession, columns: str, *rows: tuple) -> DataFrame:
+    """A few constant rows as a local relation (no Python workers involved)."""
+    names = columns.split()
+    structs = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])
+    return spark.range(1).select(F.explode(structs).alias("_r")).select("_r.*")

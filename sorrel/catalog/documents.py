@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sorrel.catalog.base import big, query, r, table
+from sorrel.catalog.base import big, literal_rows, query, r, table
 from sorrel.functions import names, text
 from sorrel.operators import corpus, guards, matrix, sampling
 from sorrel.session import widen
@@ -20,7 +20,7 @@ _MATCH = f"concepts AS (SELECT concept FROM (VALUES {_VALUES}) v(concept)), {_LO
 
 
 def concept_list(spark):
-    return spark.createDataFrame([(c,) for c in CONCEPTS], "concept string")
+    return literal_rows(spark, "concept", *[(c,) for c in CONCEPTS])
 
 
 @query("caption_counts", f"""WITH {_MATCH} SELECT c.concept, count(h.doc_id)::BIGINT AS n
@@ -267,7 +267,7 @@ def vector_table_problems(spark, sf):
     size = F.col("p_size")
     t = table(spark, sf, "part").select(F.col("p_partkey").alias("name"), F.when(size < 10, "none").when(size < 30, "wide").otherwise("slim").alias("encoder"),
                                         F.when(size % 2 == 0, 768).otherwise(1152).alias("dim"), (size != 49).alias("present"))
-    dims = spark.createDataFrame([("wide", 1152), ("slim", 768)], "encoder string, want int")
+    dims = literal_rows(spark, "encoder want", ("wide", 1152), ("slim", 768))
     return guards.vector_table_problems(t, dims).select("severity", "code", "ident")
 
 
@@ -317,7 +317,7 @@ def last_k_heldout(spark, sf):
 
 @query("first_n_per_label", """SELECT lang, doc_id, rn::BIGINT AS rn FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents WHERE lang IN ('en', 'fr')) WHERE rn <= 12""")
 def first_n_per_label(spark, sf):
-    wanted = spark.createDataFrame([("en",), ("fr",)], "lang string")
+    wanted = literal_rows(spark, "lang", ("en",), ("fr",))
     return matrix.first_n_per_label(table(spark, sf, "documents").select("lang", "doc_id"), wanted, "lang", ["doc_id"], 12).select("lang", "doc_id", big("rn").alias("rn"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sorrel.catalog.base import big, items, query, r, table
+from sorrel.catalog.base import big, items, literal_rows, query, r, table
 from sorrel.functions import names
 from sorrel.functions.vectors import dot
 from sorrel.operators import guards, matrix, sampling, selection
@@ -197,7 +197,7 @@ def points(spark, sf):
     s = lambda c: c.cast("string")
     li.select(F.concat_ws(" ", s(F.col("l_orderkey")), s(F.col("l_linenumber")), s((F.col("l_partkey") % 200).cast("double")), s((F.col("l_suppkey") % 150).cast("double")),
                           F.when(F.col("l_returnflag") != "N", "1").otherwise("0")).alias("value")).write.text(path)
-    parts = spark.createDataFrame([(1, "beak"), (2, "crown"), (3, "back"), (4, "belly"), (5, "left wing"), (6, "tail")], "part_id int, part string")
+    parts = literal_rows(spark, "part_id part", (1, "beak"), (2, "crown"), (3, "back"), (4, "belly"), (5, "left wing"), (6, "tail"))
     return files.with_part_group(files.part_points(spark, path, parts))
 
 

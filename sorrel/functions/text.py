@@ -74,21 +74,26 @@ def mentions(text, phrase) -> Column:
     return F.rlike(F.lower(col(text)), phrase_pattern(phrase))
 
 
-def ngrams(text, lengths) -> Column:
-    """Distinct word n-grams of the given lengths, words being separated by space only.
+def word_tokens(text) -> Column:
+    """Lower-cased words in order; every other character but space becomes a stop word of its own."""
+    return F.split(F.trim(F.regexp_replace(F.lower(col(text)), "[^\\p{L}\\p{N}_\\s]+", " \u0001 ")), "\\s+")
 
-    Text is cut at every other character first, so a phrase never spans punctuation.
-    """
-    runs = F.split(F.lower(col(text)), "[^\\p{L}\\p{N}_\\s]+")
 
-    def windows(words, n):
-        starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-        return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(
-            F.array().cast("array<string>"))
+def ngrams(words, lengths) -> Column:
+    """Distinct n-grams of the given lengths from a column of word tokens.
 
-    # two steps, so the words of a run are split once and not per window
-    words = F.transform(runs, lambda run: F.filter(F.split(run, "\\s+"), lambda w: w != ""))
-    return F.array_distinct(F.flatten(F.transform(words, lambda ws: F.concat(*[windows(ws, n) for n in lengths]))))
+    No phrase contains the stop word, so none spans punctuation. Longer grams grow from
+    the shorter ones. Pass a projected column: an expression would be evaluated per use.
+    """
+    tokens = col(words)
+    grams, wanted = tokens, []
+    for n in range(1, max(lengths) + 1):
+        if n > 1:
+            room = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+            grams = F.zip_with(F.slice(grams, F.lit(1), room), F.slice(tokens, F.lit(n), room), lambda a, b: F.concat_ws(" ", a, b))
+        if n in lengths:
+            wanted.append(grams)
+    return F.array_distinct(F.concat(*wanted))
 
 
 def number_words(prompt) -> Column:

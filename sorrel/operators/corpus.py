@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sorrel.functions.text import mentions, ngrams, norm, squash
+from sorrel.functions.text import mentions, ngrams, norm, squash, word_tokens
 from sorrel.operators.sampling import corpus_sample
 from sorrel.session import widen
 
@@ -20,20 +20,23 @@ def phrase_matches(captions: DataFrame, concepts: DataFrame, ident: str, text: s
     a shuffle on the n-gram. Concepts with other signs than letters, digits and spaces are
     matched by pattern against the captions having their first word.
     """
-    c = concepts.select("concept").distinct().withColumn("_key", squash("concept"))
-    plain = c.where(~F.col("_key").rlike("[^\\p{L}\\p{N}_ ]"))
-    odd = c.where(F.col("_key").rlike("[^\\p{L}\\p{N}_ ]"))
-    size = c.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.size(F.split("_key", " "))).alias("lengths"),
-                 F.count_if(F.col("_key").rlike("[^\\p{L}\\p{N}_ ]")).alias("odd")).first()
-    if not size["n"]:
-        return captions.select(ident).limit(0).withColumn("concept", F.lit(None).cast("string"))
+    odd = F.col("_phrase").rlike("[^\\p{L}\\p{N}_ ]")
+    # keys are NULL where they do not apply, so that no pattern filter is inferred for the n-grams
+    c = concepts.select("concept").distinct().withColumn("_phrase", squash("concept")).select(
+        "concept", F.when(~odd, F.col("_phrase")).alias("_plain"), F.when(odd, F.regexp_extract("_phrase", "[\\p{L}\\p{N}_]+", 0)).alias("_head"),
+        F.size(F.split("_phrase", " ")).alias("_len"))
+    size = c.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("_plain").isNotNull(), F.col("_len"))).alias("lengths"), F.count("_head").alias("odd")).first()
+    found = captions.select(ident).limit(0).withColumn("concept", F.lit(None).cast("string"))
     side = F.broadcast if size["n"] <= _BROADCAST_CONCEPTS else (lambda d: d)
-    grams = widen(captions.select(ident, text)).select(ident, F.explode(ngrams(text, sorted(size["lengths"]))).alias("_key"))
-    found = grams.join(side(plain), "_key").select(ident, "concept")
+    words = widen(captions.select(ident, text)).select(ident, word_tokens(text).alias("_words"))
+    if size["lengths"]:
+        grams = words.select(ident, F.explode(ngrams("_words", sorted(size["lengths"]))).alias("_gram"))
+        found = grams.join(side(c.select("_plain", "concept")), F.col("_gram") == F.col("_plain")).select(ident, "concept")
     if size["odd"]:
-        head = odd.withColumn("_head", F.regexp_extract("_key", "[\\p{L}\\p{N}_]+", 0))
-        words = widen(captions.select(ident, text)).select(ident, text, F.explode(ngrams(text, [1])).alias("_head"))
-        found = found.unionByName(words.join(side(head), "_head").where(mentions(text, "concept")).select(ident, "concept"))
+        # candidates first, without the text: only they are joined back to it
+        heads = words.select(ident, F.explode(ngrams("_words", [1])).alias("_gram"))
+        near = heads.join(side(c.select("_head", "concept")), F.col("_gram") == F.col("_head")).select(ident, "concept")
+        found = found.unionByName(near.join(captions.select(ident, text), ident).where(mentions(text, "concept")).select(ident, "concept"))
     return found
 
 

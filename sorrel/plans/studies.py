@@ -110,7 +110,7 @@ def holdout(candidates: DataFrame, references: DataFrame, reserves: DataFrame, n
     parts = [verdicts.select_cohort(candidates.where(F.col("cohort") == c), want, needed).withColumn("cohort", F.lit(c)) for c, want in (("rare", "FAIL"), ("control", "PASS"))]
     picked = cut(union_all(parts))
     chosen = picked.where(F.col("role") == "chosen")
-    names = candidates.sparkSession.createDataFrame([("rare",), ("control",)], "cohort string")
+    names = candidates.sparkSession.range(1).select(F.explode(F.array(F.lit("rare"), F.lit("control"))).alias("cohort"))
     short = names.join(chosen.groupBy("cohort").agg(F.count(F.lit(1)).alias("n")), "cohort", "left").where(F.coalesce("n", F.lit(0)) != needed)
     shared = references.join(reserves.select("case_id", "path"), ["case_id", "path"], "left_semi").join(chosen.select("case_id"), "case_id", "left_semi")
     problems = union_all([

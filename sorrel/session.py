@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,9 +33,16 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise reliably: later stages neither recompute it nor see it differently."""
+    """Checkpoint reliably: later stages neither recompute the input nor see it differently.
+
+    The disk cache lives only until the checkpoint is written; without it an eager
+    checkpoint computes its input twice.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    cached = df.persist(StorageLevel.DISK_ONLY)
+    out = cached.checkpoint()
+    cached.unpersist()
+    return out
 
 
 def widen(df: DataFrame) -> DataFrame:
