@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sorrel.functions.text import SCENE_FRAMES, col, is_visible
+from sorrel.functions.text import EDIT_PROMPT, QUERY_PLAIN, QUERY_TYPED, SCENE_FRAMES, col, is_visible
 
 
 def image_id(species, method, name_mode, ip_scale, seed) -> Column:
@@ -75,12 +75,17 @@ def bare_prompt(concept, neutral=True) -> Column:
     return F.concat(F.lit("a photo of a "), concept_token(concept, neutral))
 
 
+def _fill(template: str, **values: Column) -> Column:
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value)
+    return out
+
+
 def reference_query(concept, coarse) -> Column:
     """Retrieval text, naming the coarse type when it differs from the concept."""
     c, k = F.trim(col(concept)), F.trim(F.coalesce(col(coarse), F.lit("")))
-    typed = F.concat(F.lit("a real photograph of "), c, F.lit(", a type of "), k, F.lit(", as the main subject"))
-    plain = F.concat(F.lit("a real photograph of "), c, F.lit(" as the main subject"))
-    return F.when((k != "") & (F.lower(k) != F.lower(c)), typed).otherwise(plain)
+    return F.when((k != "") & (F.lower(k) != F.lower(c)), _fill(QUERY_TYPED, concept=c, coarse=k)).otherwise(_fill(QUERY_PLAIN, concept=c))
 
 
 def scene_prompt(concept, index) -> Column:
@@ -90,12 +95,7 @@ def scene_prompt(concept, index) -> Column:
 
 
 def edit_prompt(prompt, coarse, concept) -> Column:
-    return F.concat(
-        F.lit("Replace only the "), col(coarse), F.lit(" with a "), col(concept),
-        F.lit(". Preserve its pose, position, scale, viewpoint, lighting and shadows, and preserve the surrounding scene. "
-              "Use the reference image only for the defining visual identity of the "), col(concept),
-        F.lit("; do not copy its background, text, people, framing or artistic style. The result must still depict: "),
-        col(prompt), F.lit("."))
+    return _fill(EDIT_PROMPT, coarse=col(coarse), concept=col(concept), prompt=col(prompt))
 
 
 def target_attributes_map(attributes: str, source: str) -> Column:

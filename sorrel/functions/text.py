@@ -32,6 +32,11 @@ SCENE_FRAMES = (
     "a {c} on a bright summer morning",
     "a {c} against a dark neutral backdrop",
 )
+QUERY_TYPED = "a real photograph of {concept}, a type of {coarse}, as the main subject"
+QUERY_PLAIN = "a real photograph of {concept} as the main subject"
+EDIT_PROMPT = ("Replace only the {coarse} with a {concept}. Preserve its pose, position, scale, viewpoint, lighting and shadows, and "
+               "preserve the surrounding scene. Use the reference image only for the defining visual identity of the {concept}; do not "
+               "copy its background, text, people, framing or artistic style. The result must still depict: {prompt}.")
 
 _LETTER = "[\\p{L}\\p{N}_]"
 

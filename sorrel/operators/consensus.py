@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sorrel.functions.scores import binomial_two_sided, ratio
@@ -181,15 +181,18 @@ def case_verdicts(cases: DataFrame, states: DataFrame, n_targets: str = "n_targe
 def nearest_siblings(species: DataFrame, k: int = 3) -> DataFrame:
     """Up to ``k`` same-family species nearest by id distance, as (id, sibling, rank from 1).
 
-    Within a family ordered by id the k nearest lie among the k before and the k after, so
-    lag and lead over the dimension replace the pairing of whole families. Ties go to the
-    lower id.
+    Ordered by id, the k nearest lie among the k positions before and the k after. Positions
+    come from a range-wise scan and neighbours from an equality join on (family, position),
+    so a family of any size neither pairs up nor sits in one task. Ties go to the lower id.
     """
-    w = Window.partitionBy("family").orderBy("id")
-    near = F.array(*[F.lag("id", i).over(w) for i in range(1, k + 1)], *[F.lead("id", i).over(w) for i in range(1, k + 1)])
-    opts = species.where(F.col("family").isNotNull()).select("id", near.alias("_near"))
-    ordered = F.array_sort(F.transform(F.filter("_near", lambda s: s.isNotNull()), lambda s: F.struct(F.abs(s - F.col("id")).alias("d"), s.alias("sibling"))))
-    return opts.select("id", F.posexplode(F.slice(ordered, 1, k)).alias("rank", "_s")).select("id", F.col("_s.sibling").alias("sibling"), (F.col("rank") + 1).alias("rank"))
+    known = species.where(F.col("family").isNotNull()).select("id", "family", F.col("id").cast("double").alias("_o"))
+    placed = ordered_scan(known, ["family"], "_o", ["id"], {"_pos": ("sum", F.lit(1), "upto")})
+    offsets = F.array(*[F.lit(i) for i in range(-k, k + 1) if i])
+    asks = placed.select("id", "family", F.explode(F.transform(offsets, lambda o: F.col("_pos") + o)).alias("_pos"))
+    near = asks.join(placed.select("family", "_pos", F.col("id").alias("sibling")), ["family", "_pos"])
+    # at most 2k neighbours per id
+    per = near.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.abs(F.col("sibling") - F.col("id")).alias("d"), "sibling"))).alias("_n"))
+    return per.select("id", F.posexplode(F.slice("_n", 1, k)).alias("rank", "_s")).select("id", F.col("_s.sibling").alias("sibling"), (F.col("rank") + 1).alias("rank"))
 
 
 def discrimination_pairs(tests: DataFrame, siblings: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -21,7 +21,11 @@ def hash_order(ident: Column | str, seed) -> Column:
 
 
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, rank: str = "rn") -> DataFrame:
-    """The first ``n`` rows of each key with their 1-based rank."""
+    """The first ``n`` rows of each key with their 1-based rank.
+
+    Spark trims each partition to ``n`` rows per key before the shuffle as long as ``n`` is
+    within ``spark.sql.optimizer.windowGroupLimitThreshold``; raise it for larger samples.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
