@@ -127,6 +127,12 @@ def two_arm_report(spark, sf):
                     big("graph_only").alias("graph_only"), big("retrieval_only").alias("retrieval_only"), "decision")
 
 
+@query("rare_feasibility", f"""WITH {_ATTRS} SELECT CASE WHEN grouping(slot) = 1 THEN 'all' ELSE slot END AS slot, count(*)::BIGINT AS n_included, count(*) FILTER (rare)::BIGINT AS n_rare FROM cases GROUP BY GROUPING SETS ((), (slot))""")
+def rare_feasibility(spark, sf):
+    f = consensus.rare_feasibility(_two_arms(spark, sf))
+    return f.select(F.coalesce("slot", F.lit("all")).alias("slot"), big("n_included").alias("n_included"), big("n_rare").alias("n_rare"))
+
+
 @query("mcnemar", """WITH b AS (SELECT event_type, count(*) FILTER (value > 60 AND user_id % 10 = 0)::BIGINT AS b, count(*) FILTER (value > 60 AND user_id % 10 = 1)::BIGINT AS c FROM events GROUP BY event_type),
 i AS (SELECT event_type, b, c, unnest(range(0, least(b, c) + 1)) AS i FROM b), l AS (SELECT event_type, b, c, i, (lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)) AS lp FROM i)
 SELECT event_type, b, c, round(least(1, 2 * sum(exp(lp))), 6) AS p FROM l GROUP BY event_type, b, c""")

@@ -264,3 +264,24 @@ def crop_scorer_accuracy(spark, sf):
     cents = groups.centroids(it, ["concept"]).select(F.col("concept").alias("doc_id"), F.col("centroid").alias("vec"))
     best = top_k(queries_side(it), cents, 1).join(it.select(F.col("id").alias("query_id"), "concept"), "query_id")
     return best.agg(big(F.count(F.lit(1))).alias("n"), r(F.avg((F.col("doc_id") == F.col("concept")).cast("int")), 9).alias("accuracy"))
+
+
+@query("hub_borrowed", f"""WITH {ITEMS}, q AS (SELECT DISTINCT family, concept FROM items), o AS (SELECT q.family, q.concept, i.id, i.concept AS ic, i.vec FROM q JOIN items i ON i.family = q.family AND i.concept <> q.concept),
+long AS (SELECT family, concept, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM o), m AS (SELECT family, concept, pos, avg(x) AS x FROM long GROUP BY ALL), mv AS (SELECT family, concept, list(x ORDER BY pos) AS mean FROM m GROUP BY ALL),
+s AS (SELECT o.family, o.concept, o.id, o.ic, list_inner_product(o.vec, mv.mean) / sqrt(list_inner_product(mv.mean, mv.mean)) AS score FROM o JOIN mv USING (family, concept)),
+a AS (SELECT *, row_number() OVER (PARTITION BY family, concept, ic ORDER BY score DESC, id) AS rin FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY family, concept ORDER BY score DESC, id) - 1 AS rank FROM a WHERE rin <= 2)
+SELECT family, concept, id, round(score, 6) AS score, rank::BIGINT AS rank FROM b WHERE rank < 4""")
+def hub_borrowed(spark, sf):
+    """Items borrowed by each concept from its group, ranked by the centroid of the others."""
+    h = selection.hub_borrowed(items(spark, sf), 4, hub="family", ident="id")
+    return h.select("family", "concept", "id", r("score").alias("score"), big("rank").alias("rank"))
+
+
+@query("effective_k", f"""WITH {ITEMS}, h AS (SELECT *, CASE WHEN id % 7 = 0 THEN -1 ELSE (id // 100 + part) % 6 END AS hub FROM items), f AS (SELECT concept, part, arg_min(hub, id) AS hub, count(*) AS n_own FROM h GROUP BY concept, part),
+c AS (SELECT hub, concept, least(count(*), 2) AS c FROM h WHERE hub <> -1 GROUP BY hub, concept)
+SELECT f.concept, f.part, n_own::BIGINT AS n_own, f.hub::BIGINT AS hub_id, least(15, coalesce((SELECT sum(c) FROM c WHERE c.hub = f.hub AND c.concept <> f.concept), 0))::BIGINT AS k_eff FROM f""")
+def effective_k(spark, sf):
+    it = items(spark, sf)
+    h = it.withColumn("hub_id", F.when(F.col("id") % 7 == 0, -1).otherwise((F.floor(F.col("id") / 100) + F.col("part")) % 6))
+    e = selection.effective_k(h, 15)
+    return e.select("concept", "part", big("n_own").alias("n_own"), big("hub_id").alias("hub_id"), big("k_eff").alias("k_eff"))

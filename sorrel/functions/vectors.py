@@ -19,21 +19,30 @@ def norm(v) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def _once(value, body) -> Column:
+    """``body`` of a value evaluated once: inside a lambda an outer expression would rerun per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unit(v, strict: bool = False) -> Column:
     """L2-normalised vector. A zero vector stays unchanged, or raises when ``strict``."""
-    vec, n = as_vector(v), norm(v)
-    ok = n.isNotNull() & ~F.isnan(n) & (n > 0) & (n < F.lit(float("inf")))
-    scaled = F.transform(vec, lambda x: x / n)
-    if strict:
-        return F.when(ok, scaled).otherwise(
-            F.raise_error(F.lit("embedding must have a finite non-zero norm")).cast("array<double>"))
-    return F.when(n > 0, scaled).otherwise(vec)
+    def scaled(vec):
+        def by(n):
+            if strict:
+                ok = n.isNotNull() & ~F.isnan(n) & (n > 0) & (n < F.lit(float("inf")))
+                other = F.raise_error(F.lit("embedding must have a finite non-zero norm")).cast("array<double>")
+            else:
+                ok, other = n > 0, vec
+            return F.when(ok, F.transform(vec, lambda x: x / n)).otherwise(other)
+
+        return _once(norm(vec), by)
+
+    return _once(as_vector(v), scaled)
 
 
 def cosine(a, b) -> Column:
     """Cosine of two raw vectors; 0 when either has zero length."""
-    d = norm(a) * norm(b)
-    return F.when(d > 0, dot(a, b) / d).otherwise(F.lit(0.0))
+    return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
 def reference_weights(n_own, n_borrowed, own_per=2.0, borrowed_per=1.0, cap=0.7) -> Column:

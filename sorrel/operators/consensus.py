@@ -144,6 +144,12 @@ def two_arm_report(scored: DataFrame) -> DataFrame:
     return s.withColumn("decision", F.when(ok, "PASS").otherwise("WIND_DOWN"))
 
 
+def rare_feasibility(cases: DataFrame) -> DataFrame:
+    """Included and rare cases per slot and in all (slot NULL)."""
+    return cases.groupingSets([[], [F.col("slot")]], "slot").agg(
+        F.count(F.lit(1)).alias("n_included"), F.count_if("rare").alias("n_rare"))
+
+
 # --- attribute verdicts ----------------------------------------------------------------
 
 def judge_both_ways(replies: DataFrame) -> DataFrame:

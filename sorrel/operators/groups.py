@@ -53,8 +53,8 @@ def medoids(df: DataFrame, keys: Sequence[str], ident: str, vec: str = "vec", fu
             dim: int | None = None) -> DataFrame:
     """The member nearest its group mean, lowest id on ties, as (keys, ident, sim)."""
     keys = list(keys)
-    m = vector_mean(df, keys, vec, "_mean", dim)
-    score = cosine(vec, "_mean") if full_cosine else dot(vec, unit("_mean"))
+    m = vector_mean(df, keys, vec, "_mean", dim) if full_cosine else centroids(df, keys, vec, "_mean", dim)
+    score = cosine(vec, "_mean") if full_cosine else dot(vec, "_mean")
     scored = df.join(m, keys).withColumn("_sim", score)
     best = F.min(F.struct((-F.col("_sim")).alias("_neg"), F.col(ident).alias(ident))).alias("_best")
     return scored.groupBy(*keys).agg(best).select(

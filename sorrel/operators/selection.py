@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sorrel.functions.vectors import dot
-from sorrel.operators.groups import centroids
+from sorrel.functions.vectors import dot, unit
+from sorrel.operators.groups import centroids, vector_mean
 from sorrel.operators.similarity import count_above, top_k
 
 
@@ -43,6 +43,39 @@ def nearest_to_centroid(items: DataFrame, k: int, *, hub: str = "hub_id", ident:
     return capped(slim, [hub], concept, order, k, cap)
 
 
+def hub_borrowed(items: DataFrame, k: int, *, hub: str = "hub_id", ident: str = "doc_id", concept: str = "concept", vec: str = "vec",
+                 cap: int = 2, dim: int | None = None, block_rows: int = 4096) -> DataFrame:
+    """Per (hub, concept) the hub members of other concepts nearest to the centroid of those members.
+
+    The centroid without a concept is the hub's sum less the concept's own, so no concept
+    rereads its hub. Columns: hub, concept, ident, score, rank.
+    """
+    members = items.where(F.col(hub) != -1)
+    size = lambda keys, n: members.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+    whole = vector_mean(members, [hub], vec, "_all", dim).join(size([hub], "_n"), hub)
+    own = vector_mean(members, [hub, concept], vec, "_own", dim).join(size([hub, concept], "_k"), [hub, concept])
+    j = own.join(whole, hub).where(F.col("_n") > F.col("_k"))
+    rest = F.zip_with("_all", "_own", lambda a, o: (a * F.col("_n") - o * F.col("_k")) / (F.col("_n") - F.col("_k")))
+    key = F.concat_ws("\u0001", F.col(hub).cast("string"), F.col(concept).cast("string"))
+    q = j.select(key.alias("query_id"), hub, concept, rest.alias("_rest")).withColumn("vec", unit("_rest"))
+    pool = members.select(F.col(ident).alias("doc_id"), hub, concept, F.col(vec).alias("vec"))
+    hits = top_k(q, pool, k, tag=concept, group=hub, cap=cap, block_rows=block_rows)
+    return q.select("query_id", hub, concept).join(hits, "query_id").select(hub, concept, F.col("doc_id").alias(ident), "score", "rank")
+
+
+def effective_k(items: DataFrame, k: int, *, hub: str = "hub_id", ident: str = "id", concept: str = "concept", part: str = "part", cap: int = 2) -> DataFrame:
+    """How many items each (concept, part) can borrow from its hub: at most ``k`` and ``cap`` per other concept.
+
+    The hub is that of the concept's first item of the part; 0 without one.
+    """
+    first = items.groupBy(concept, part).agg(F.min_by(hub, ident).alias(hub), F.count(F.lit(1)).alias("n_own"))
+    room = items.where(F.col(hub) != -1).groupBy(hub, concept).agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("_c"))
+    total = room.groupBy(hub).agg(F.sum("_c").alias("_t"))
+    j = first.join(total, hub, "left").join(room, [hub, concept], "left")
+    other = F.coalesce(F.col("_t"), F.lit(0)) - F.coalesce(F.col("_c"), F.lit(0))
+    return j.select(concept, part, "n_own", hub, F.least(F.lit(k), other).alias("k_eff"))
+
+
 def sibling_rank(queries: DataFrame, pool: DataFrame, *, family: str = "family", concept: str = "concept",
                  part: str = "part", query_id: str = "query_id", doc_id: str = "doc_id", vec: str = "vec") -> DataFrame:
     """Rank (from 1) of the nearest same-family sibling among other concepts, and the sibling count.
