@@ -151,7 +151,7 @@ rs AS (SELECT *, CASE WHEN h IS NULL THEN 'unhashable' WHEN dirty THEN 'contamin
 
 def _pool(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang", "source", F.when(F.length("text") >= 40, names.content_sha256("text")).alias("digest"))
-    return d.where("source <> 'src0'"), d.where("source = 'src0'")
+    return d.where("source <> 'src0'").drop("source"), d.where("source = 'src0'").drop("source")
 
 
 @query("eligible_pool", f"WITH {_POOL} SELECT doc_id, lang, coalesce(reason, 'eligible') AS reason FROM rs")

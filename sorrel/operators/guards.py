@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sorrel.functions.scores import finite
 from sorrel.functions.text import norm
+from sorrel.session import cut
 
 
 def violation(df: DataFrame, severity: str, code: str, ident, message: Column) -> DataFrame:
@@ -53,17 +54,21 @@ def eligible_pool(pool: DataFrame, evaluation: DataFrame, key: str, order: str,
     (key, digest); they are matched back by the unique order, not by the digest, so a
     digest shared by a third of the rows does not pile up in one task. Only the
     contamination flag is joined by digest, against one row per evaluation hash.
+    Keys and digests are written out once, so contents are read and hashed a single time.
     """
-    seen = pool.where(F.col(digest).isNotNull()).groupBy(key, digest).agg(F.min(order).alias("_first"))
-    dirty = evaluation.where(F.col(digest).isNotNull()).select(key, digest).distinct().withColumn("_dirty", F.lit(True))
+    more = [c for c in pool.columns if c not in {key, order, digest}]
+    slim = cut(pool.select(key, order, digest))
+    seen = slim.where(F.col(digest).isNotNull()).groupBy(key, digest).agg(F.min(order).alias("_first"))
+    dirty = cut(evaluation.where(F.col(digest).isNotNull()).select(key, digest).distinct()).withColumn("_dirty", F.lit(True))
     kept = seen.join(dirty, [key, digest], "left_anti").select(F.col("_first").alias(order), F.lit(True).alias("_kept"))
-    marked = pool.join(kept, order, "left")
+    marked = slim.join(kept, order, "left")
     flagged = marked.where(F.col("_kept").isNull() & F.col(digest).isNotNull()).join(dirty, [key, digest], "left_semi").select(
         order, F.lit(True).alias("_dirty"))
     marked = marked.join(flagged, order, "left")
     reason = (F.when(F.col(digest).isNull(), "unhashable").when(F.col("_kept"), F.lit(None).cast("string"))
               .when(F.col("_dirty"), "contamination").otherwise("duplicate"))
-    return marked.withColumn("reason", reason).drop("_kept", "_dirty")
+    out = marked.withColumn("reason", reason).drop("_kept", "_dirty")
+    return out.join(pool.select(order, *more), order) if more else out
 
 
 def kept_in_eval(pool: DataFrame, eval_paths: DataFrame, key: str, path: str) -> DataFrame:
