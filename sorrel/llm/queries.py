@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sorrel.llm import packing, repeats, simhash
+from sorrel.llm import packing, pieces, repeats, simhash
 from sorrel.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
 
 
+@query("op9_piece_backtracking")
+def op9_piece_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_report(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op10_repeated_windows")
 def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_report(read_table(spark, sf_dir, "documents"), threshold=400)
