@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sorrel.llm import language, packing, pieces, repeats, simhash
+from sorrel.llm import language, packing, pieces, repeats, simhash, toxicity
 from sorrel.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_ordinal_toxicity")
+def op2_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels")))
+
+
 @query("op5_simhash_golay")
 def op5_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(read_table(spark, sf_dir, "documents"))
