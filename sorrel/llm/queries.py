@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sorrel.llm import language, packing, pieces, repeats, simhash, toxicity
+from sorrel.llm import chat, language, packing, pieces, repeats, simhash, toxicity
 from sorrel.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,32 @@ def op2_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels")))
 
 
+_ESC = r"regexp_replace({}, '(<|\[)(\\*)(/?(?:s>|INST\]))', '\1\\\2\3', 'g')"
+
+
+@query("op4_prefix_target_chat", rf"""
+WITH raw AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+turns AS (
+  SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n,
+    length('<s>[INST]' || {_ESC.format('role')} || '[/INST]' || {_ESC.format('text')} || '</s>') AS chars
+  FROM raw WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+upto AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY place) AS prefix FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY place), '')) AS loss_sha256,
+  sum(CASE WHEN role = 'assistant' OR place = n THEN prefix ELSE 0 END)::BIGINT AS formatted_chars
+FROM upto GROUP BY conv_id""")
+def op4_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(own).alias("text"))
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.expand(rows))
+
+
 @query("op5_simhash_golay")
 def op5_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(read_table(spark, sf_dir, "documents"))

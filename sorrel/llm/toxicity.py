@@ -70,7 +70,9 @@ class OrdinalModel:
         return _logistic(score - self.thresholds)
 
     def severity(self, text: str | None) -> tuple[float, int]:
-        """(expected severity, most probable grade)."""
+        """(expected severity, most probable grade); a text without a word has no severity."""
+        if not _WORD.search(text or ""):
+            return 0.0, 0
         p = self.above(self.score(text))
         each = -np.diff(np.r_[1.0, p, 0.0])
         return float(p.sum()), int(np.argmax(each))
@@ -169,7 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", reject: float = REJECT) -> DataFrame:
     """(id, expected_severity, grade, toxic) per row of ``docs``.
 
-    Null and empty texts have no feature and get the score of a document that tells nothing.
+    Null text and text without a word are of severity and grade 0.
     Repeated rows and null ids are rows like any other; an empty table gives none.
     """
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
