@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sorrel.llm import chat, language, packing, pieces, repeats, simhash, toxicity
+from sorrel.llm import chat, language, merkle, packing, pieces, repeats, sharding, simhash, toxicity
 from sorrel.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,28 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+_TREE = r"""list_transform(string_split({}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)),
+    lambda p: list_transform(regexp_extract_all(p, '(?:[\x09-\x0D\x20]*[^\x09-\x0D\x20]+){{1,8}}|[\x09-\x0D\x20]+'), lambda w: md5(w))))"""
+_ROOT = """sha256(array_to_string(list_transform({0}, lambda s: sha256(array_to_string(list_transform(s,
+    lambda p: sha256(array_to_string(p, ''))), ''))), ''))"""
+_LIKE = """CASE WHEN r{0} = r{1} THEN 1.0::DOUBLE WHEN len(l{0}) + len(l{1}) = 0 THEN 0.0::DOUBLE
+    ELSE 2.0::DOUBLE * len(list_intersect(l{0}, l{1})) / (len(l{0}) + len(l{1})) END"""
+_PARTS = "list_transform(flatten({}), lambda p: sha256(array_to_string(p, '')))"
+
+
+@query("op1_merkle_fingerprints", f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS nxt FROM d),
+e AS (SELECT *, substring(text, 1, length(text) - length(text) // 3) || substring(nxt, 1, length(text) // 3) AS edited FROM n),
+t AS (SELECT *, {_TREE.format('text')} AS ta, {_TREE.format('edited')} AS te, {_TREE.format('nxt')} AS tn FROM e),
+r AS (SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, {_PARTS.format('ta')} AS pa, {_PARTS.format('te')} AS pe,
+  {', '.join(f"{_ROOT.format('t' + x)} AS r{x}, list_distinct(flatten(flatten(t{x}))) AS l{x}" for x in 'aen')} FROM t)
+SELECT doc_id, n_chars, edited_sha256, ra AS fingerprint, re AS edited_fingerprint, {_LIKE.format('a', 'e')} AS near_edited, {_LIKE.format('a', 'n')} AS near_next,
+  list_min(list_filter(range(greatest(len(pa), len(pe))), lambda i: pa[i + 1] IS DISTINCT FROM pe[i + 1])) AS first_edit FROM r""")
+def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 @query("op2_ordinal_toxicity")
 def op2_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
@@ -73,6 +95,22 @@ def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
 
 
+_BID = "1.0 / -ln((('0x' || substring(md5(doc_id::VARCHAR || '/' || '{0}'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)"
+# CRC-32 bit by bit, lowest bit of each byte first
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(regexp_extract_all(hex({0}), '..'),
+  lambda h: [((('0x' || h)::BIGINT) >> k) & 1 for k in range(8)]))), lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"""
+
+
+@query("op8_rendezvous_sharding", f"""
+WITH r AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, {_CRC.format("coalesce(text, '')")} AS text_crc32 FROM documents),
+b AS (SELECT *, [{', '.join(_BID.format(s) for s in range(16))}] AS bids, {_BID.format(16)} AS grown FROM r),
+s AS (SELECT *, (list_position(bids, list_max(bids)) - 1)::INTEGER AS shard FROM b)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot,
+  (CASE WHEN grown > list_max(bids) THEN 16 ELSE shard END)::INTEGER AS grown_shard FROM s""")
+def op8_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_records(read_table(spark, sf_dir, "documents"))
+
+
 @query("op9_piece_backtracking")
 def op9_piece_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_report(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
