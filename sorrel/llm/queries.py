@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sorrel.llm import chat, language, merkle, packing, pieces, repeats, sharding, simhash, toxicity
+from sorrel.llm import chat, language, merkle, neighbours, packing, pieces, repeats, sharding, simhash, toxicity
 from sorrel.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,12 @@ def op2_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels")))
 
 
+@query("op3_kmeans_tree_search")
+def op3_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    return neighbours.search(rows.where(F.col("vec_id") % 20 == 0), rows, k=20)
+
+
 _ESC = r"regexp_replace({}, '(<|\[)(\\*)(/?(?:s>|INST\]))', '\1\\\2\3', 'g')"
 
 
