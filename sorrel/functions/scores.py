@@ -108,3 +108,10 @@ def signed_rank_upper_tail(n: pd.Series, w: pd.Series) -> pd.Series:
         return sum(ways[int(math.ceil(stat)):]) / 2.0 ** size
 
     return pd.Series([None if pd.isna(a) or pd.isna(b) else tail(int(a), float(b)) for a, b in zip(n, w)], dtype="float64")
+
+
+def finite_score(value: str) -> Column:
+    """A score as a double; NULL, NaN and infinity are errors, so no row is lost or ranked highest."""
+    v = F.col(value).cast("double")
+    bad = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    return F.when(bad, F.raise_error(F.concat(F.lit(f"{value} is not a finite number: "), F.coalesce(v.cast("string"), F.lit("NULL")))).cast("double")).otherwise(v)

@@ -39,18 +39,25 @@ EDIT_PROMPT = ("Replace only the {coarse} with a {concept}. Preserve its pose, p
                "copy its background, text, people, framing or artistic style. The result must still depict: {prompt}.")
 
 _LETTER = "[\\p{L}\\p{N}_]"
+# every character that counts as white space in Unicode text, as the inside of a class
+_SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(v) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(col(v).cast("string"), f"\\A[{_SPACE}]++|[{_SPACE}]++\\z", "")
+
+
 def norm(v) -> Column:
-    return F.lower(F.trim(col(v).cast("string")))
+    return F.lower(strip(v))
 
 
 def squash(v) -> Column:
-    return F.lower(F.trim(F.regexp_replace(col(v), "\\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(col(v), f"[{_SPACE}]+", " ")))
 
 
 def is_visible(v) -> Column:
@@ -71,8 +78,8 @@ def should_reask(v, threshold: float = 0.5) -> Column:
 
 def phrase_pattern(phrase) -> Column:
     """Pattern of a word-bounded phrase with flexible inner space, for use with ``rlike``."""
-    escaped = F.regexp_replace(squash(phrase), "([^\\p{L}\\p{N}_\\s])", "\\\\$1")
-    return F.concat(F.lit(f"(?<!{_LETTER})"), F.regexp_replace(escaped, " ", "\\\\s+"), F.lit(f"(?!{_LETTER})"))
+    escaped = F.regexp_replace(squash(phrase), f"([^\\p{{L}}\\p{{N}}_{_SPACE}])", "\\\\$1")
+    return F.concat(F.lit(f"(?<!{_LETTER})"), F.regexp_replace(escaped, " ", f"[{_SPACE}]+".replace("\\", "\\\\")), F.lit(f"(?!{_LETTER})"))
 
 
 def mentions(text, phrase) -> Column:
@@ -81,7 +88,7 @@ def mentions(text, phrase) -> Column:
 
 def word_tokens(text) -> Column:
     """Lower-cased words in order; every other character but space becomes a stop word of its own."""
-    return F.split(F.trim(F.regexp_replace(F.lower(col(text)), "[^\\p{L}\\p{N}_\\s]+", " \u0001 ")), "\\s+")
+    return F.split(strip(F.regexp_replace(F.lower(col(text)), f"[^\\p{{L}}\\p{{N}}_{_SPACE}]+", " \u0001 ")), f"[{_SPACE}]+")
 
 
 def ngrams(words, lengths) -> Column:
@@ -169,7 +176,7 @@ def first_object(text) -> Column:
 def read_slot(obj: Column, slot: str) -> Column:
     """A slot's text, "not visible" when missing or blank."""
     v = F.try_variant_get(obj, f"$.{slot}", "string")
-    return F.when(F.trim(F.coalesce(v, F.lit(""))) != "", v).otherwise("not visible")
+    return F.when(strip(F.coalesce(v, F.lit(""))) != "", v).otherwise("not visible")
 
 
 def string_list(text) -> Column:
@@ -182,13 +189,15 @@ def string_list(text) -> Column:
 def judge_reply(text) -> Column:
     """struct(ok, degenerate, issues): a reply must be an object with verdict PASS or FAIL.
 
-    The garbage mark, a missing or unknown verdict, and a PASS listing issues are degenerate.
+    The garbage mark, a missing or unknown verdict, and a PASS listing issues are degenerate;
+    an issue counts if it names a concept at all, be it only white space.
     """
     obj = first_object(text)
-    verdict = F.upper(F.trim(F.when(F.schema_of_variant(F.coalesce(F.try_variant_get(obj, "$.verdict", "variant"), F.parse_json(F.lit("null")))) == "STRING",
+    verdict = F.upper(strip(F.when(F.schema_of_variant(F.coalesce(F.try_variant_get(obj, "$.verdict", "variant"), F.parse_json(F.lit("null")))) == "STRING",
                                     F.try_variant_get(obj, "$.verdict", "string"))))
     listed = F.coalesce(F.try_variant_get(obj, "$.issues", "array<variant>"), F.array().cast("array<variant>"))
-    issues = F.filter(F.transform(listed, lambda i: F.trim(F.try_variant_get(i, "$.concept", "string"))), lambda c: c.isNotNull() & (c != ""))
+    named = F.filter(F.transform(listed, lambda i: F.try_variant_get(i, "$.concept", "string")), lambda c: c.isNotNull() & (c != ""))
+    issues = F.transform(named, strip)
     bad = (F.contains(col(text), F.lit(GARBAGE_MARK)) | F.coalesce(~verdict.isin("PASS", "FAIL"), F.lit(True))
            | ((verdict == "PASS") & (F.size(issues) > 0)))
     return F.struct((~bad & (verdict == "PASS")).alias("ok"), bad.alias("degenerate"),
@@ -201,7 +210,7 @@ def reference_judge_reply(text) -> Column:
 
     def texts(name):
         listed = F.coalesce(F.try_variant_get(obj, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
-        return F.filter(listed, lambda x: (F.schema_of_variant(x) == "STRING") & (F.trim(F.try_variant_get(x, "$", "string")) != ""))
+        return F.filter(listed, lambda x: (F.schema_of_variant(x) == "STRING") & (strip(F.try_variant_get(x, "$", "string")) != ""))
 
     n_traits, n_evidence, n_miss = F.size(texts("reference_traits")), F.size(texts("candidate_evidence")), F.size(texts("mismatches"))
     thin = base["ok"] & ((n_traits < 3) | (n_evidence < n_traits) | (n_miss > 0))

@@ -9,14 +9,15 @@ from sorrel.functions.text import mentions, ngrams, norm, squash, word_tokens
 from sorrel.operators.sampling import corpus_sample
 from sorrel.session import widen
 
-_BROADCAST_CONCEPTS = 200_000
+#: Bytes of concepts, counted, up to which they are sent to every task.
+_BROADCAST_BYTES = 32 << 20
 
 
 def phrase_matches(captions: DataFrame, concepts: DataFrame, ident: str, text: str = "text") -> DataFrame:
     """(ident, concept) for every caption mentioning a concept as a whole word or phrase.
 
     Texts become distinct n-grams of the lengths the concepts have, joined by equality.
-    The concept side is broadcast while its counted size is small; beyond that the join is
+    The concept side is broadcast while its counted bytes are few; beyond that the join is
     a shuffle on the n-gram. Concepts with other signs than letters, digits and spaces are
     matched by pattern against the captions having their first word.
     """
@@ -25,9 +26,10 @@ def phrase_matches(captions: DataFrame, concepts: DataFrame, ident: str, text: s
     c = concepts.select("concept").distinct().withColumn("_phrase", squash("concept")).select(
         "concept", F.when(~odd, F.col("_phrase")).alias("_plain"), F.when(odd, F.regexp_extract("_phrase", "[\\p{L}\\p{N}_]+", 0)).alias("_head"),
         F.size(F.split("_phrase", " ")).alias("_len"))
-    size = c.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("_plain").isNotNull(), F.col("_len"))).alias("lengths"), F.count("_head").alias("odd")).first()
+    size = c.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("_plain").isNotNull(), F.col("_len"))).alias("lengths"), F.count("_head").alias("odd"),
+        F.coalesce(F.sum(2 * F.octet_length("concept") + 64), F.lit(0)).alias("bytes")).first()
     found = captions.select(ident).limit(0).withColumn("concept", F.lit(None).cast("string"))
-    side = F.broadcast if size["n"] <= _BROADCAST_CONCEPTS else (lambda d: d)
+    side = F.broadcast if size["bytes"] <= _BROADCAST_BYTES else (lambda d: d)
     words = widen(captions.select(ident, text)).select(ident, word_tokens(text).alias("_words"))
     if size["lengths"]:
         grams = words.select(ident, F.explode(ngrams("_words", sorted(size["lengths"]))).alias("_gram"))

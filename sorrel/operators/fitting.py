@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sorrel.functions.scores import mcc, ratio
+from sorrel.functions.scores import finite_score, mcc, ratio
 from sorrel.operators.scan import ordered_scan
 from sorrel.session import cut
 
@@ -28,7 +28,7 @@ HARM_MARGIN = -0.02
 
 def _distinct_axis(rows: DataFrame, keys: Sequence[str], value: str, tallies: dict[str, Column]) -> DataFrame:
     """Distinct values with running tallies, position, neighbours and range."""
-    counted = rows.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(
+    counted = rows.groupBy(*keys, finite_score(value).alias("v")).agg(
         F.count(F.lit(1)).alias("n_v"), *[c.alias(n) for n, c in tallies.items()])
     outputs = {"pos": ("sum", F.lit(1), "upto"), "prv": ("max", "v", "before"), "nxt": ("min", "v", "after"),
                "v_min": ("min", "v", "all"), "v_max": ("max", "v", "all")}
@@ -139,7 +139,7 @@ def detector_grid(rows: DataFrame, text: str = "text_relevance", reference: str
     """
     t_axis, r_axis = cut(_distinct_axis(rows, [], text, {})), cut(_distinct_axis(rows, [], reference, {}))
     n_r = r_axis.agg(F.max("pos")).first()[0] or 0
-    typed = (rows.select("semantic_ok", "truth_fail", F.col(text).cast("double").alias("_t"), F.col(reference).cast("double").alias("_r"))
+    typed = (rows.select("semantic_ok", "truth_fail", finite_score(text).alias("_t"), finite_score(reference).alias("_r"))
              .groupBy("semantic_ok", "truth_fail", "_t", "_r").agg(F.count(F.lit(1)).alias("n")))
     typed = typed.join(t_axis.select(F.col("v").alias("_t"), F.col("pos").alias("a"), F.col("n_v").alias("n_t"), F.col("prv").alias("t_prv"), F.col("nxt").alias("t_nxt")), "_t")
     typed = cut(typed.join(r_axis.select(F.col("v").alias("_r"), F.col("pos").alias("b"), F.col("n_v").alias("n_r"), F.col("prv").alias("r_prv"), F.col("nxt").alias("r_nxt")), "_r"))
@@ -230,6 +230,7 @@ def gain_margins(rows: DataFrame, signal: str, case: str = "case_id") -> DataFra
 
 def _selector_base(rows: DataFrame, judged: bool, case: str) -> DataFrame:
     """Attempts with gains, answer delta, the case's oracle, and what beats them."""
+    rows = rows.withColumns({c: finite_score(c) for c in ("text_relevance", "reference_relevance")})
     d = rows.where(F.col("attempt") == 0).select(case, F.col("text_relevance").alias("_dt"), F.col("reference_relevance").alias("_dr"), F.col("dino").alias("_dd"))
     oracle = rows.groupBy(case).agg(F.min_by("attempt", F.struct(-F.col("dino"), F.col("attempt"))).alias("oracle"))
     a = rows.where(F.col("attempt") > 0).join(d, case).join(oracle, case)

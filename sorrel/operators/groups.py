@@ -7,31 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sorrel.functions.vectors import as_vector, cosine, dot, norm, unit
+from sorrel.functions.vectors import as_vector, cosine, dot, unit
 from sorrel.operators.similarity import threshold_forest
 from sorrel.session import cut
 
-_WIDE = 256
-
 
 def vector_mean(df: DataFrame, keys: Sequence[str], vec: str = "vec", out: str = "mean", dim: int | None = None) -> DataFrame:
-    """Component-wise mean per key with partial sums on the map side.
+    """Component-wise mean per key, one partial sum per component; NULL vectors take no part.
 
-    Narrow vectors become one sum per component; wide ones are exploded by position.
+    ``dim`` is looked up over all rows unless given. A vector of another length is an error.
     """
     keys = list(keys)
     if dim is None:
-        first = df.where(F.col(vec).isNotNull()).select(F.size(vec).alias("n")).first()
-        dim = first["n"] if first else 0
+        low, high = df.where(F.col(vec).isNotNull()).agg(F.min(F.size(vec)), F.max(F.size(vec))).first()
+        if low != high:
+            raise ValueError(f"vectors of {low} to {high} components")
+        dim = high or 0
     if dim == 0:
         return df.groupBy(*keys).agg(F.array().cast("array<double>").alias(out))
-    if dim <= _WIDE:
-        parts = df.groupBy(*keys).agg(*[F.avg(F.get(F.col(vec), F.lit(i)).cast("double")).alias(f"_{i}") for i in range(dim)])
-        return parts.select(*keys, F.array(*[F.col(f"_{i}") for i in range(dim)]).alias(out))
-    long = df.select(*keys, F.posexplode(as_vector(vec)).alias("_p", "_x"))
-    means = long.groupBy(*keys, "_p").agg(F.avg("_x").alias("_x"))
-    packed = means.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_p", "_x"))).alias("_v"))
-    return packed.select(*keys, F.col("_v._x").alias(out))
+    checked = F.when(F.col(vec).isNull() | (F.size(vec) == dim), F.col(vec)).otherwise(
+        F.raise_error(F.lit(f"a vector does not have {dim} components")).cast("array<double>"))
+    parts = df.select(*keys, checked.alias("_vec")).groupBy(*keys).agg(
+        *[F.avg(F.get(F.col("_vec"), F.lit(i)).cast("double")).alias(f"_{i}") for i in range(dim)])
+    return parts.select(*keys, F.array(*[F.col(f"_{i}") for i in range(dim)]).alias(out))
 
 
 def centroids(df: DataFrame, keys: Sequence[str], vec: str = "vec", out: str = "centroid", dim: int | None = None) -> DataFrame:
@@ -147,6 +145,3 @@ def nearest_other_centroid(items: DataFrame, cents: DataFrame, ident: str, own:
     return mine.join(other, ident, "left").withColumn(
         "prototype_margin", F.col("positive_similarity") - F.col("nearest_negative_similarity"))
 
-
-def with_norm(df: DataFrame, vec: str = "vec") -> DataFrame:
-    return df.withColumn("norm", norm(vec))

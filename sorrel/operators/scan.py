@@ -36,25 +36,31 @@ def bucketed(df: DataFrame, keys: Sequence[str], order: str, rows_per_bucket: in
     """Add a bucket number that grows with ``order`` inside each key.
 
     Cut points are approximate quantiles, so bucket sizes are even whatever the
-    distribution; equal values share a bucket, so aggregate repeated values first.
+    distribution; a key of more than ``max_buckets`` buckets has each range between two
+    quantiles cut further by value. Equal values share a bucket, so aggregate repeated
+    values first.
     The result is checkpointed because quantile sketches may differ between runs
     while every reader must see the same buckets.
     """
     probs = [i / max_buckets for i in range(1, max_buckets)]
     cuts = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx(F.col(order), probs, 10_000).alias("_cuts"))
+        F.count(F.lit(1)).alias("_n"), F.min(order).cast("double").alias("_min"), F.max(order).cast("double").alias("_max"), F.percentile_approx(F.col(order), probs, 10_000).alias("_cuts"))
     wanted = F.least(F.lit(max_buckets), F.ceil(F.col("_n") / rows_per_bucket))
     step = F.lit(max_buckets) / wanted
     chosen = F.when(wanted <= 1, F.array().cast("array<double>")).otherwise(
         F.array_distinct(F.transform(
             F.sequence(F.lit(1), (wanted - 1).cast("int")),
             lambda i: F.get(F.col("_cuts"), F.floor(i * step).cast("int") - 1).cast("double"))))
-    cuts = cuts.select(*keys, chosen.alias("_cuts"))
+    finer = F.greatest(F.lit(1), F.ceil(F.col("_n") / (rows_per_bucket * max_buckets)))
+    cuts = cuts.select(*keys, chosen.alias("_cuts"), finer.alias("_finer"), "_min", "_max")
     if list(keys) == ["_whole"]:
         cuts = F.broadcast(cuts)  # one row
     marked = df.join(cuts, list(keys))
     value = F.col(order).cast("double")
-    marked = marked.withColumn(bucket, F.size(F.filter("_cuts", lambda c: c < value))).drop("_cuts")
+    place = F.size(F.filter("_cuts", lambda c: c < value))
+    low, high = F.coalesce(F.get("_cuts", place - 1), F.col("_min")), F.coalesce(F.get("_cuts", place), F.col("_max"))
+    inside = F.when(high > low, F.least(F.floor((value - low) / (high - low) * F.col("_finer")), F.col("_finer") - 1)).otherwise(0)
+    marked = marked.withColumn(bucket, place * F.col("_finer") + F.greatest(inside, F.lit(0))).drop("_cuts", "_finer", "_min", "_max")
     return cut(marked)
 
 
@@ -88,6 +94,19 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[
         for n, (k, _, f) in outputs.items()])
 
 
+def dense_numbers(names: DataFrame, column: str, out: str) -> DataFrame:
+    """Number the distinct values of a column of any type from 0 in their order.
+
+    Values are dealt to ranges of the whole value, which are numbered apart; only the size of
+    each range crosses between them.
+    """
+    ranged = cut(names.select(column).distinct().repartitionByRange(column).withColumn("_part", F.spark_partition_id()))
+    before = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_c")).withColumn(
+        "_off", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(column))
+    return ranged.withColumn("_own", own).join(before.select("_part", "_off"), "_part").select(column, (F.col("_own") - 1 + F.col("_off")).cast("long").alias(out))
+
+
 def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, out: str) -> DataFrame:
     """Linear-interpolation quantile per key from value counts, without buffering a key."""
     keys = list(keys)

@@ -17,14 +17,27 @@ from pyspark.sql import types as T
 
 from sorrel.functions.vectors import as_vector
 
-_EPS = 1e-9
 _CHUNK = 256
 
 
 def _matrix(table: pa.Table, name: str) -> np.ndarray:
+    """The vectors of a column as rows; unequal lengths and non-finite components are errors."""
     col = table.column(name).combine_chunks()
+    if not len(col):
+        return np.zeros((0, 0))
+    widths = np.unique(np.asarray(col.value_lengths()))
+    if len(widths) > 1:
+        raise ValueError(f"vectors of {widths[0]} to {widths[-1]} components")
     flat = col.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 0))
+    if not np.isfinite(flat).all():
+        raise ValueError("a vector has a component that is no finite number")
+    return flat.reshape(len(col), -1)
+
+
+def _slack(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Per query, a bound of how far a block product can be from the sequential sum."""
+    longest = np.sqrt((c * c).sum(axis=1)).max(initial=0.0)
+    return 16 * q.shape[1] * np.finfo(float).eps * longest * np.sqrt((q * q).sum(axis=1)) + np.finfo(float).tiny
 
 
 def _codes(a: pa.ChunkedArray, b: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +86,7 @@ def _topk_kernel(k: int, cap: int | None):
         if not len(q) or not len(c):
             return schema.empty_table()
         qcode, ccode = _codes(left.column("_qtag"), right.column("_ctag"))
+        slack = _slack(q, c)
         by_tag = np.argsort(ccode, kind="stable")
         starts = np.flatnonzero(np.r_[True, ccode[by_tag][1:] != ccode[by_tag][:-1]])
         keep_q, keep_c, keep_s = [], [], []
@@ -85,7 +99,7 @@ def _topk_kernel(k: int, cap: int | None):
                 floor = np.partition(best, best.shape[1] - k, axis=1)[:, -k] if best.shape[1] >= k else None
             pool = s > -np.inf
             if floor is not None:
-                pool &= s >= floor[:, None] - _EPS
+                pool &= s >= (floor - slack[lo:lo + _CHUNK])[:, None]
             qi, ci = np.nonzero(pool)
             exact = _sequential_dot(q[lo:lo + _CHUNK], c, qi, ci)
             order = np.lexsort((ci, -exact, qi))
@@ -115,12 +129,13 @@ def _above_kernel(left: pa.Table, right: pa.Table) -> pa.Table:
     mark = left.column("_mark").to_numpy()
     mark_id = left.column("_mark_id").to_numpy()
     cid = right.column("_cid").to_numpy()
+    slack = _slack(q, c)
     above = np.zeros(len(q), np.int64)
     for lo in range(0, len(q), _CHUNK):
         s = _masked_scores(q, c, qcode, ccode, lo)
-        m = mark[lo:lo + _CHUNK, None]
-        above[lo:lo + _CHUNK] = (s > m + _EPS).sum(axis=1)
-        qi, ci = np.nonzero(np.abs(s - m) <= _EPS)
+        m, near = mark[lo:lo + _CHUNK, None], slack[lo:lo + _CHUNK, None]
+        above[lo:lo + _CHUNK] = (s > m + near).sum(axis=1)
+        qi, ci = np.nonzero(np.abs(s - m) <= near)
         exact = _sequential_dot(q[lo:lo + _CHUNK], c, qi, ci)
         m_i, id_i = mark[lo + qi], mark_id[lo + qi]
         before = (exact > m_i) | ((exact == m_i) & (cid[ci] < id_i))
@@ -137,11 +152,11 @@ def _forest_kernel(threshold: float):
         qid, cid = left.column("_qid").to_numpy(), right.column("_cid").to_numpy()
         ids, code = np.unique(np.concatenate([qid, cid]), return_inverse=True)
         qn, cn = code[: len(qid)], code[len(qid):]
-        label = np.arange(len(ids))
+        label, slack = np.arange(len(ids)), _slack(q, c)
         for lo in range(0, len(q), _CHUNK):
             s = q[lo:lo + _CHUNK] @ c.T
-            qi, ci = np.nonzero(s >= threshold - _EPS)
-            near = s[qi, ci] <= threshold + _EPS
+            qi, ci = np.nonzero(s >= threshold - slack[lo:lo + _CHUNK, None])
+            near = s[qi, ci] <= threshold + slack[lo + qi]
             ok = ~near
             ok[near] = _sequential_dot(q[lo:lo + _CHUNK], c, qi[near], ci[near]) >= threshold
             u, v = qn[lo + qi[ok]], cn[ci[ok]]

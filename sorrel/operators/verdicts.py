@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sorrel.functions.scores import confusion_metrics, counts, finite, ratio, wilson
+from sorrel.functions.scores import confusion_metrics, counts, finite, finite_score, ratio, wilson
 
 # fixed values
 FAILING_STATES = ("MISSING", "FINE_MISMATCH")
@@ -278,6 +278,8 @@ def select_repair(candidates: DataFrame, text_margin: float, reference_margin: f
     text, then reference (unless judged), then lower attempt; else 0.
     """
     ulp = 1e-12
+    # both signals are checked for every attempt, so a broken score can neither win nor pass for a rejection
+    candidates = candidates.withColumns({c: finite_score(c) for c in ("text_relevance", "reference_relevance")})
     draft = candidates.where(F.col("attempt") == 0).select(
         case, F.col("text_relevance").alias("_dt"), F.col("reference_relevance").alias("_dr"))
     j = candidates.where(F.col("attempt") > 0).join(draft, case)
@@ -376,17 +378,19 @@ def stratum_report(rows: DataFrame) -> DataFrame:
         F.avg("preservation").alias("preservation"), F.avg("clip").alias("clip"))
 
 
-def gate_table(values: DataFrame, gates: Sequence[tuple[str, str, str, float]]) -> DataFrame:
+def gate_table(values: DataFrame, gates: Sequence[tuple[str, str, str, float]], null_fails: bool = False) -> DataFrame:
     """Long gate rows (name, value, threshold, passed) from a one-row frame.
 
     A gate is (name, value column, operator among >=, <=, >, ==, threshold); a NULL value
-    leaves ``passed`` NULL.
+    leaves ``passed`` NULL, or fails the gate with ``null_fails``.
     """
     ops = {">=": lambda v, t: v >= t, "<=": lambda v, t: v <= t, ">": lambda v, t: v > t, "==": lambda v, t: v == t}
     cells = [F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("value"), F.lit(float(t)).alias("threshold"),
                       ops[o](F.col(c).cast("double"), F.lit(float(t))).alias("passed")) for n, c, o, t in gates]
-    return values.select(F.explode(F.array(*cells)).alias("_g")).select("_g.*").withColumn(
-        "reason", F.when(F.col("passed").isNull(), "no data").when(F.col("passed"), "ok").otherwise(
+    table = values.select(F.explode(F.array(*cells)).alias("_g")).select("_g.*")
+    if null_fails:
+        table = table.withColumn("passed", F.coalesce("passed", F.lit(False)))
+    return table.withColumn("reason", F.when(F.col("value").isNull(), "no data").when(F.col("passed"), "ok").otherwise(
             F.concat(F.col("name"), F.lit(" out of bounds"))))
 
 

@@ -42,6 +42,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table folder is there, on whatever file system the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def widen(df: DataFrame) -> DataFrame:
     """Spread an input of few splits before costly expressions; larger inputs pass through."""
     wanted = df.sparkSession.sparkContext.defaultParallelism

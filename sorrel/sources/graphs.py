@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sorrel.functions.text import is_visible, norm
 from sorrel.functions.vectors import unit
+from sorrel.operators.scan import dense_numbers
 
 _ATTR = "struct<name string, value string, source string>"
 GRAPH_SCHEMA = (f"concept string, global_attrs array<{_ATTR}>, parts array<struct<name string, attributes array<{_ATTR}>, "
@@ -59,12 +60,7 @@ def read_part_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def taxonomy_dimension(species: DataFrame, family: str = "family") -> DataFrame:
     """Add a dense family id over sorted family names; unknown families stay NULL."""
     names = species.where(F.col(family).isNotNull()).select(family).distinct()
-    from sorrel.operators.scan import ordered_scan
-
-    # names are placed by a prefix of their bytes, then by the name itself, so the ids are global
-    prefix = F.conv(F.rpad(F.hex(F.substring(F.encode(family, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    ids = ordered_scan(names.withColumn("_p", prefix), [], "_p", [family], {"_r": ("sum", F.lit(1), "upto")})
-    return species.join(ids.select(family, (F.col("_r") - 1).cast("long").alias("family_id")), family, "left")
+    return species.join(dense_numbers(names, family, "family_id"), family, "left")
 
 
 def multi_member_families(species: DataFrame, family: str = "family") -> DataFrame:

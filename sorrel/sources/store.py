@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from sorrel.functions.names import split_global_id
 from sorrel.functions.vectors import norm, unit
 from sorrel.operators.groups import medoids
+from sorrel.operators.scan import dense_numbers
 from sorrel.operators.similarity import top_k
+from sorrel.session import exists
 
 TABLES = ("record", "item", "attribute", "relation", "posting", "vector")
 
@@ -60,34 +62,44 @@ def postings(attribute: DataFrame, relation: DataFrame, item: DataFrame) -> Data
 def write_store(tables: dict[str, DataFrame], path: str, encoder: str, dim: int) -> None:
     """Write the tables: records by dataset, postings by index and sorted by key, and the vector stamp."""
     for name in TABLES:
+        if name not in tables:
+            continue  # vectors are optional
         df = tables[name]
         w = df.write.mode("overwrite")
         if name == "record":
             w = w.partitionBy("dataset")
         elif name == "posting":
-            w = df.repartitionByRange("index", "key").sortWithinPartitions("index", "key").write.mode("overwrite").partitionBy("index")
+            w = df.repartitionByRange("index", "key", "global_id").sortWithinPartitions("index", "key", "global_id").write.mode("overwrite").partitionBy("index")
         w.parquet(f"{path}/{name}")
     stamp = tables["record"].sparkSession.range(1).select(F.lit(encoder).alias("encoder"), F.lit(dim).alias("dim"), F.lit(True).alias("normalized"))
     stamp.coalesce(1).write.mode("overwrite").parquet(f"{path}/stamp")
 
 
 def read_store(spark: SparkSession, path: str, encoder: str | None = None, dim: int | None = None) -> dict[str, DataFrame]:
-    """The store's tables, lazily; a vector stamp other than the expected one is an error."""
+    """The store's tables, lazily; a vector stamp other than the expected one is an error.
+
+    A store written without vectors has no ``vector`` entry.
+    """
     if encoder is not None or dim is not None:
         stamp = spark.read.parquet(f"{path}/stamp").first()
         if (encoder or stamp["encoder"], dim or stamp["dim"]) != (stamp["encoder"], stamp["dim"]):
             raise ValueError(f"store holds {stamp['encoder']}/{stamp['dim']}, expected {encoder}/{dim}")
-    return {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES if name != "vector"}
+    if exists(spark, f"{path}/vector"):
+        tables["vector"] = spark.read.parquet(f"{path}/vector")
+    return tables
 
 
 def build_vectors(items: DataFrame, ident: str, vec: str, kind: str = "candidate") -> DataFrame:
-    """Unit vectors with dense integer refs over the id order, and a uniform dimension enforced."""
-    from sorrel.operators.scan import ordered_scan
+    """Unit vectors with dense integer refs over the order of the ids, which may be of any type.
 
-    n = items.select(F.size(vec).alias("n")).first()["n"]
-    ok = F.when(F.size(vec) == n, unit(vec)).otherwise(F.raise_error(F.lit("vector dimension differs from the first one")).cast("array<double>"))
-    ranked = ordered_scan(items.select(ident, F.col(ident).cast("double").alias("_o"), ok.alias("vec")), [], "_o", [ident], {"_r": ("sum", F.lit(1), "upto")})
-    return ranked.select((F.col("_r") - 1).cast("long").alias("ref"), ident, F.lit(kind).alias("kind"), "vec", norm("vec").alias("norm"))
+    Vectors of different lengths are an error. Rows that repeat an id share its ref.
+    """
+    low, high = items.agg(F.min(F.size(vec)), F.max(F.size(vec))).first()
+    if low != high:
+        raise ValueError(f"vectors of {low} to {high} components")
+    refs = dense_numbers(items, ident, "ref")
+    return items.select(ident, unit(vec).alias("vec")).join(refs, ident).select("ref", ident, F.lit(kind).alias("kind"), "vec", norm("vec").alias("norm"))
 
 
 def lookup(posting: DataFrame, record: DataFrame, hub: str | None = None, attribute: tuple[str, str] | None = None,
@@ -132,7 +144,9 @@ def search_vectors(vectors: DataFrame, queries: DataFrame, k: int, *, kind=None,
 
 
 def nearest_crops(tables: dict[str, DataFrame], queries: DataFrame, k: int, part_type: str | None = None, hub: str | None = None) -> DataFrame:
-    """Nearest items narrowed by hub members and part postings before ranking."""
+    """Nearest items narrowed by hub members and part postings before ranking; none without vectors."""
+    if "vector" not in tables:
+        return queries.select("query_id", F.lit(None).cast("long").alias("ref"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank")).limit(0)
     pool = tables["vector"]
     if part_type is not None:
         refs = tables["posting"].where((F.col("index") == "part") & (F.col("key") == part_type)).select("ref").distinct()
