@@ -131,18 +131,21 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on labelled documents; a hash of the id picks about ``train_rows`` of each label.
 
     ``grade_col`` names ready grades 0, 1, 2, ... in ``labels``; without it they come from the
-    0/1 label. Rows with a null id or label are not learned from. With no row to learn from,
-    or one label only, every document is of grade 0.
+    0/1 label. Rows with a null id or label are not learned from; an id labelled more
+    than once has its highest label, one with several texts the first of them. With no row to
+    learn from, or one label only, every document is of grade 0.
     """
     labels = labels.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("_of"), F.col(grade_col or label_col).cast("int").alias("_label")).where(F.col("_label") >= 0)
     if where is not None:
         labels = labels.where(where)
+    labels = labels.groupBy("_of").agg(F.max("_label").alias("_label"))
     per_label = labels.groupBy("_label").agg((F.lit(float(train_rows)) / F.count(F.lit(1))).alias("_share"))
     dice = F.pmod(F.xxhash64(F.col("_of").cast("string")), F.lit(1_000_000)) / 1e6
     chosen = labels.join(per_label, "_label").where(dice < F.col("_share")).select("_of", "_label")
+    # the chosen ids are few whatever the input, so they go to the texts and not the texts to them
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(
-        chosen, F.col("_id") == F.col("_of")).select("_label", "_text")
+        F.broadcast(chosen), F.col("_id") == F.col("_of")).groupBy("_of", "_label").agg(F.min("_text").alias("_text")).select("_label", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
