@@ -65,17 +65,26 @@ def wilson(k, n, z: float = 1.96) -> tuple[Column, Column]:
     return low, high
 
 
+def _log_factorial(k: Column) -> Column:
+    """log k! by Stirling's series, for the counts beyond a few hundred that need it."""
+    x = k.cast("double") + 1.0
+    return (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+
+
 def binomial_two_sided(b, c) -> Column:
     """Exact two-sided sign test on discordant counts (1 when there are none).
 
-    Log-binomial terms keep it usable for counts of any size: the tail up to min(b, c) is
-    summed relative to its largest term.
+    The tail up to min(b, c) is summed over its largest terms only: those more than some twelve
+    standard deviations below the count add nothing that a double can hold. The first of them
+    is taken from Stirling's series, unless the sum starts at zero anyway.
     """
     lo = F.least(col(b), col(c)).cast("long")
     n = (col(b) + col(c)).cast("long")
     # log C(n, i) grows by log((n - i) / (i + 1)); each term is scaled by 2^-n at the end
-    steps = F.when(lo > 0, F.sequence(F.lit(0).cast("long"), lo - 1)).otherwise(F.array().cast("array<bigint>"))
-    start = F.struct(F.lit(0.0).alias("log"), F.exp(-n * math.log(2.0)).alias("sum"))
+    begin = F.greatest(F.lit(0).cast("long"), lo - F.ceil(12 * F.sqrt(n.cast("double")) + 200))
+    steps = F.when(lo > begin, F.sequence(begin, lo - 1)).otherwise(F.array().cast("array<bigint>"))
+    first = F.when(begin == 0, F.lit(0.0)).otherwise(_log_factorial(n) - _log_factorial(begin) - _log_factorial(n - begin))
+    start = F.struct(first.alias("log"), F.exp(first - n * math.log(2.0)).alias("sum"))
     acc = F.aggregate(
         steps, start,
         lambda s, i: F.struct(

@@ -72,29 +72,55 @@ def heldout_labels(reads: DataFrame, build: DataFrame, keys: Sequence[str], path
 def family_majority(attrs: DataFrame, vectors: DataFrame | None = None, vec: str = "vec") -> DataFrame:
     """Majority value among same-family siblings, per (concept, slot).
 
-    ``attrs`` is one row (concept, family, part, slot, value) per concept and slot. Counts
-    of the whole family minus the concept's own vote give sibling counts without pairing
-    siblings. A tie goes to the tied value of the most similar sibling by ``vectors``
-    (concept, part, unit vector), an exact top-1 per tied value, else to the lowest value.
+    ``attrs`` is one row (concept, family, part, slot, value) per concept and slot. Taking a
+    concept's own vote from its family's counts can only touch its own value, so the highest
+    and second highest counts of a family tell every member's majority: one row a concept,
+    however many values a family has. A tie goes to the tied value of the most similar
+    sibling by ``vectors`` (concept, part, unit vector), one exact top-1 among the holders of
+    tied values, else to the lowest value.
     """
     known = attrs.where(F.col("family").isNotNull())
-    votes = known.groupBy("family", "slot", "value").agg(F.count(F.lit(1)).alias("_n"))
+    place = ["family", "slot"]
+    votes = known.groupBy(*place, "value").agg(F.count(F.lit(1)).alias("_n"))
+    first = votes.groupBy(*place).agg(F.max("_n").alias("_n1"))
+    leading = cut(votes.join(first, place))
+    top, rest = F.col("_n") == F.col("_n1"), F.col("_n") < F.col("_n1")
+    stats = leading.groupBy(*place).agg(
+        F.first("_n1").alias("_n1"), F.count_if(top).alias("_k1"), F.min(F.when(top, F.col("value"))).alias("_low1"),
+        F.max(F.when(rest, F.col("_n"))).alias("_n2"))
+    second = leading.join(stats.select(*place, "_n2", "_low1"), place).groupBy(*place).agg(
+        F.min(F.when(top & (F.col("value") != F.col("_low1")), F.col("value"))).alias("_next1"),
+        F.count_if(F.col("_n") == F.col("_n2")).alias("_k2"), F.min(F.when(F.col("_n") == F.col("_n2"), F.col("value"))).alias("_low2"))
+    # a value's class: 1 among the highest counts, 2 among the second highest
+    ranked = leading.join(stats.select(*place, "_n2"), place).select(*place, "value", "_n", F.when(top, 1).when(F.col("_n") == F.col("_n2"), 2).alias("_class"))
     mine = known.select("concept", "family", "part", "slot", F.col("value").alias("_own"))
-    opts = mine.join(votes, ["family", "slot"]).withColumn("_n", F.col("_n") - (F.col("value") == F.col("_own")).cast("int")).where(F.col("_n") > 0)
-    top = opts.groupBy("concept", "slot").agg(F.max("_n").alias("_top"))
-    # read four times below: written once instead of replanned
-    tied = cut(opts.join(top, ["concept", "slot"]).where(F.col("_n") == F.col("_top")))
-    per = tied.groupBy("concept", "slot").agg(F.count(F.lit(1)).alias("_k"), F.min("value").alias("_low"))
+    own = ranked.select(*place, F.col("value").alias("_own"), F.col("_n").alias("_mine"))
+    j = mine.join(own, [*place, "_own"]).join(stats, place).join(second, place)
+    sole = (F.col("_mine") == F.col("_n1")) & (F.col("_k1") == 1)
+    shared = (F.col("_mine") == F.col("_n1")) & (F.col("_k1") > 1)
+    level = F.coalesce(F.col("_n1") - 1 == F.col("_n2"), F.lit(False))
+    per = j.where(~(sole & (F.col("_n1") == 1) & F.col("_n2").isNull())).select(
+        "concept", "family", "part", "slot", "_own", (sole & level).alias("_second"),
+        F.when(sole, F.when(level, F.col("_k2") + 1).otherwise(1)).when(shared, F.col("_k1") - 1).otherwise(F.col("_k1")).alias("_k"),
+        F.when(sole, F.when(level, F.least("_own", "_low2")).otherwise(F.col("_own"))).when(
+            shared & (F.col("_own") == F.col("_low1")), F.col("_next1")).otherwise(F.col("_low1")).alias("_low"))
     if vectors is None:
         return per.select("concept", "slot", F.col("_low").alias("prediction"))
+    per = cut(per)
     key = lambda *c: F.concat_ws("\u0001", *[F.col(x).cast("string") for x in c])
-    open_ties = tied.join(per.where(F.col("_k") > 1).select("concept", "slot"), ["concept", "slot"], "left_semi").join(vectors, ["concept", "part"])
-    asks = open_ties.select(key("concept", "slot", "value").alias("query_id"), key("family", "slot", "value").alias("_grp"), "concept", "slot", "value", F.col(vec).alias("vec"))
-    pool = known.join(vectors, ["concept", "part"]).select(F.col("concept").alias("doc_id"), key("family", "slot", "value").alias("_grp"), "concept", F.col(vec).alias("vec"))
-    near = top_k(asks, pool, 1, tag="concept", group="_grp").select("query_id", "doc_id", "score")
-    won = asks.select("query_id", "concept", "slot", "value").join(near, "query_id").groupBy("concept", "slot").agg(
-        F.min_by("value", F.struct(-F.col("score"), F.col("doc_id"))).alias("_near"))
-    return per.join(won, ["concept", "slot"], "left").select("concept", "slot", F.when(
+    # the own value is out among equals; where it is level with the second only the own row is
+    mode = lambda second, value: F.when(second, F.struct(F.lit("level").alias("m"), F.col("concept").cast("string").alias("t"))).otherwise(
+        F.struct(F.lit("equal").alias("m"), F.col(value).cast("string").alias("t")))
+    asks = per.where(F.col("_k") > 1).withColumn("_mode", mode(F.col("_second"), "_own")).join(vectors, ["concept", "part"]).select(
+        key("concept", "slot").alias("query_id"), key(*place, "_mode.m").alias("_grp"), F.col("_mode.t").alias("_tag"), "concept", "slot", F.col(vec).alias("vec"))
+    holders = known.join(ranked.where(F.col("_class").isNotNull()).select(*place, "value", "_class"), [*place, "value"]).withColumn(
+        "_mode", F.explode(F.filter(F.array(F.when(F.col("_class") == 1, mode(F.lit(False), "value")), mode(F.lit(True), "value")), lambda m: m.isNotNull())))
+    holders = holders.join(vectors, ["concept", "part"]).select(
+        F.col("concept").alias("doc_id"), key(*place, "_mode.m").alias("_grp"), F.col("_mode.t").alias("_tag"), F.col(vec).alias("vec"))
+    near = top_k(asks, holders, 1, tag="_tag", group="_grp").select("query_id", "doc_id")
+    won = asks.select("query_id", "concept", "slot").join(near, "query_id").join(
+        known.select(F.col("concept").alias("doc_id"), "slot", F.col("value").alias("_near")), ["doc_id", "slot"])
+    return per.join(won.select("concept", "slot", "_near"), ["concept", "slot"], "left").select("concept", "slot", F.when(
         F.col("_k") == 1, F.col("_low")).otherwise(F.coalesce("_near", "_low")).alias("prediction"))
 
 

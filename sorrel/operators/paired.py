@@ -212,7 +212,9 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str], value: str = "delta", *, n_
     sizes = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.avg("_value").alias("_mean"), *[F.first(k).alias(k) for k in keys])
     depth = F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("_n") / block_rows))).cast("int")
     sizes = sizes.withColumn("_depth", depth)
-    placed = rows.select("_key", "_value", salt.alias("_salt")).join(sizes.select("_key", "_n", "_depth"), "_key")
+    # keys too small for an interval are not resampled
+    enough = F.col("_n") >= MIN_INTERVAL_N
+    placed = rows.select("_key", "_value", salt.alias("_salt")).join(sizes.where(enough).select("_key", "_n", "_depth"), "_key")
     placed = placed.withColumn("_block", F.pmod("_salt", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_depth"))))
     blocks = placed.groupBy("_key", "_block", "_depth").agg(F.count(F.lit(1)).alias("_c"))
     nodes = blocks.select("_key", "_depth", "_c", F.explode(F.when(F.col("_depth") > 0, F.transform(
@@ -234,10 +236,8 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str], value: str = "delta", *, n_
     means = drawn.groupBy("_key", "_rep").agg(F.sum("_sum").alias("_sum")).join(sizes.select("_key", "_n"), "_key")
     bounds = means.groupBy("_key").agg(F.percentile(F.col("_sum") / F.col("_n"), F.array(
         F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("_ci"))
-    enough = F.col("_n") >= MIN_INTERVAL_N
-    return sizes.join(bounds, "_key").select(
-        *keys, F.col("_n").alias("n"), F.col("_mean").alias("mean"),
-        F.when(enough, F.get("_ci", F.lit(0))).alias("ci_low"), F.when(enough, F.get("_ci", F.lit(1))).alias("ci_high"))
+    return sizes.join(bounds, "_key", "left").select(
+        *keys, F.col("_n").alias("n"), F.col("_mean").alias("mean"), F.get("_ci", F.lit(0)).alias("ci_low"), F.get("_ci", F.lit(1)).alias("ci_high"))
 
 
 def harm_verdict(low, high) -> Column:

@@ -161,11 +161,21 @@ def sweep_tau(scores: DataFrame, cases: DataFrame, grid: Sequence[float] = TAU_G
     low = scores.groupBy("case_id").agg(F.min("sim").alias("_low"))
     total = scores.agg(ratio(F.count_if(F.col("sim").isNull()), F.count(F.lit(1))).alias("abstain_rate"))
     j = cases.join(low, "case_id", "left")
-    # cases with equal truth, judge verdict and similarity are one weighted row
-    j = j.groupBy("is_fail", "ok", "_low").agg(F.count(F.lit(1)).alias("_w"))
-    g = j.withColumn("tau", F.explode(F.array(*[F.lit(float(t)) for t in grid])))
-    grounded = F.coalesce(F.col("_low") < F.col("tau"), F.lit(False))
-    return _arm_confusions(g, "tau", grounded).join(F.broadcast(total))
+    g = _over_grid(j, ["is_fail", "ok"], "_low", grid, "tau")
+    return _arm_confusions(g, "tau", F.col("_reached")).join(F.broadcast(total))
+
+
+def _over_grid(rows: DataFrame, keys: Sequence[str], level: str, grid: Sequence[float], name: str) -> DataFrame:
+    """Weighted rows (keys, grid value, _reached, _w): whether ``level`` lies below each grid value.
+
+    A row is put into its cell of the grid once and rows of a cell are counted together, so
+    only keys times grid cells meet the grid. NULL and NaN levels are below nothing.
+    """
+    grid = sorted(float(t) for t in grid)
+    points = F.array(*[F.lit(t) for t in grid])
+    cell = F.when(F.col(level).isNull(), len(grid)).otherwise(F.size(F.filter(points, lambda t: ~(F.col(level) < t))))
+    counted = rows.groupBy(*keys, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_w"))
+    return counted.select(*keys, "_cell", "_w", F.posexplode(points).alias("_at", name)).withColumn("_reached", F.col("_at") >= F.col("_cell"))
 
 
 def _arm_confusions(g: DataFrame, grid_col: str, grounded: Column) -> DataFrame:
@@ -191,9 +201,8 @@ def sweep_delta(scores: DataFrame, cases: DataFrame, margin: Column, tau: float
                 grid: Sequence[float] = DELTA_GRID) -> DataFrame:
     """Per delta and arm, the confusion at a pinned tau; same reduction as the tau sweep."""
     j = cases.join(case_fail_level(scores, margin, tau), "case_id", "left")
-    j = j.groupBy("is_fail", "ok", "missing", "low_margin").agg(F.count(F.lit(1)).alias("_w"))
-    g = j.withColumn("delta", F.explode(F.array(*[F.lit(float(t)) for t in grid])))
-    grounded = F.coalesce(F.col("missing"), F.lit(False)) | F.coalesce(F.col("low_margin") < F.col("delta"), F.lit(False))
+    g = _over_grid(j, ["is_fail", "ok", "missing"], "low_margin", grid, "delta")
+    grounded = F.coalesce(F.col("missing"), F.lit(False)) | F.col("_reached")
     return _arm_confusions(g, "delta", grounded)
 
 
@@ -212,9 +221,8 @@ def baseline_split(scores: DataFrame, cases: DataFrame, margin: Column, tau: flo
 
 def evaluate_rule(split: DataFrame, grid: Sequence[float] = DELTA_GRID, min_catch: int = 4) -> DataFrame:
     """Per delta: newly caught, new false positives, old catches retained, and the verdict."""
-    g = split.groupBy("part", "ok", "missing", "low_margin").agg(F.count(F.lit(1)).alias("_w"))
-    g = g.withColumn("delta", F.explode(F.array(*[F.lit(float(t)) for t in grid])))
-    fails = F.coalesce("missing", F.lit(False)) | ~F.col("ok") | F.coalesce(F.col("low_margin") < F.col("delta"), F.lit(False))
+    g = _over_grid(split, ["part", "ok", "missing"], "low_margin", grid, "delta")
+    fails = F.coalesce("missing", F.lit(False)) | ~F.col("ok") | F.col("_reached")
     tally = lambda cond: F.sum(F.when(cond, F.col("_w")).otherwise(0))
     out = g.groupBy("delta").agg(
         tally((F.col("part") == "missed") & fails).alias("caught"),

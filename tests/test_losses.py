@@ -125,3 +125,18 @@ def test_vector_table_of_text_ids_and_store_without_vectors(spark, tmp_path):
     back = store.read_store(spark, f"{tmp_path}/s")
     assert "vector" not in back and store.lookup(back["posting"], back["record"], hub="h").count() == 1
     assert store.nearest_crops(back, things.select(F.col("ref").alias("query_id"), "vec"), 3).count() == 0
+
+
+def test_sign_test_for_counts_of_any_size(spark):
+    from math import comb, erfc, sqrt
+
+    from sorrel.functions.scores import binomial_two_sided
+
+    pairs = [(0, 0), (3, 9), (400, 380), (5000, 5200), (0, 900), (3_000_000_000, 3_000_100_000)]
+    df = spark.createDataFrame(pairs, "b long, c long")
+    got = [r[0] for r in df.select(binomial_two_sided("b", "c")).collect()]
+    for (b, c), p in zip(pairs[:-1], got):
+        n, lo = b + c, min(b, c)
+        assert p == pytest.approx(min(1.0, 2 * sum(comb(n, i) for i in range(lo + 1)) / 2 ** n) if n else 1.0, rel=1e-9)
+    z = (100_000 - 1) / sqrt(6_000_100_000)
+    assert got[-1] == pytest.approx(erfc(z / sqrt(2)), rel=1e-3)
