@@ -200,10 +200,10 @@ def id_set_diff(spark, sf):
 
 @query("hash_mismatch", """SELECT 'error' AS severity, 'hash_mismatch' AS code, d.doc_id::VARCHAR AS ident,
  CASE WHEN l.doc_id IS NULL THEN 'no frozen hash' ELSE 'hash differs from the frozen one' END AS message
-FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR (l.toxic = 1 AND md5(text) <> md5(text || '!'))""")
+FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR md5(text) <> md5(CASE WHEN toxic = 1 THEN upper(text) ELSE text END)""")
 def hash_mismatch(spark, sf):
     d, l = table(spark, sf, "documents"), table(spark, sf, "labels")
-    frozen = l.join(d, "doc_id").select("doc_id", F.md5(F.when(F.col("toxic") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("digest"))
+    frozen = l.join(d, "doc_id").select("doc_id", F.md5(F.when(F.col("toxic") == 1, F.upper("text")).otherwise(F.col("text"))).alias("digest"))
     return guards.hash_mismatch(d.select("doc_id", F.md5("text").alias("digest")), frozen, "doc_id", "digest")
 
 

@@ -142,16 +142,26 @@ def restore_selection(spark, sf):
     return near.unionByName(rand).unionByName(own)
 
 
-@query("run_sanity", """SELECT (SELECT bool_and(n <= 1) FROM (SELECT count(DISTINCT c_nationkey % 3) AS n FROM customer GROUP BY c_nationkey)) AS k_eff_equal, false AS arms_comparable,
- (SELECT count(*) = 0 FROM supplier WHERE s_nationkey = s_suppkey % 25) AS no_contamination, false AS passed""")
+@query("run_sanity", """WITH r AS (SELECT c_nationkey AS concept, c_custkey % 3 AS level, c_custkey % 50 AS draw, (['isolated', 'random', 'rawnn', 'hub'])[1 + c_custkey % 4] AS condition, c_nationkey % 3 AS k, c_acctbal AS dino FROM customer),
+run AS (SELECT 1 AS run, concept, level, draw, condition, k, dino FROM r UNION ALL
+ SELECT 2, concept, level, draw, unnest(['isolated', 'random', 'rawnn', 'hub']), k, dino FROM r UNION ALL
+ SELECT 3, concept, level, draw, unnest(['isolated', 'random', 'rawnn', 'hub']), level, dino FROM r),
+kk AS (SELECT run, bool_and(n <= 1) AS k_eff_equal FROM (SELECT run, concept, count(DISTINCT k) AS n FROM run WHERE condition <> 'isolated' GROUP BY run, concept) GROUP BY run),
+aa AS (SELECT run, bool_and(n = 4 AND fin) AS arms_comparable FROM (SELECT run, concept, level, draw, count(DISTINCT condition) AS n, bool_and(coalesce(isfinite(dino::DOUBLE), false)) AS fin FROM run GROUP BY run, concept, level, draw) GROUP BY run),
+cc AS (SELECT run, count(*) FILTER (run <> 2 AND s_nationkey = s_suppkey % 25) = 0 AS no_contamination FROM supplier, (VALUES (1), (2), (3)) v(run) GROUP BY run)
+SELECT run, k_eff_equal, arms_comparable, no_contamination, k_eff_equal AND arms_comparable AND no_contamination AS passed FROM kk JOIN aa USING (run) JOIN cc USING (run)""")
 def run_sanity(spark, sf):
-    """Flags of a run whose arms are not all present in every cell."""
+    """Flags of three runs: arms missing, all in order, unequal k with borrowed own items."""
     c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
-    cond = F.when(F.col("c_custkey") % 4 == 0, "isolated").when(F.col("c_custkey") % 4 == 1, "random").when(F.col("c_custkey") % 4 == 2, "rawnn").otherwise("hub")
-    rows = c.select(F.col("c_nationkey").alias("concept"), F.lit("p").alias("part"), (F.col("c_custkey") % 3).alias("level"), (F.col("c_custkey") % 50).alias("draw"), cond.alias("condition"),
-                    (F.col("c_nationkey") % 3).alias("k_eff"), F.col("c_acctbal").alias("dino"))
+    arms = ["isolated", "random", "rawnn", "hub"]
+    every = F.array(*[F.lit(a) for a in arms])
+    rows = c.select(F.col("c_nationkey").alias("concept"), F.lit("p").alias("part"), (F.col("c_custkey") % 3).alias("level"), (F.col("c_custkey") % 50).alias("draw"),
+                    F.get(every, (F.col("c_custkey") % 4).cast("int")).alias("condition"), (F.col("c_nationkey") % 3).alias("k_eff"), F.col("c_acctbal").alias("dino"))
+    full = rows.withColumn("condition", F.explode(every))
     borrowed = s.select(F.col("s_nationkey").alias("concept"), (F.col("s_suppkey") % 25).alias("item_concept"))
-    return guards.run_sanity(rows, borrowed, ["isolated", "random", "rawnn", "hub"])
+    runs = ((rows, borrowed), (full, borrowed.where("concept <> item_concept")), (full.withColumn("k_eff", F.col("level")), borrowed))
+    flags = [guards.run_sanity(x, b, arms).select(F.lit(i + 1).alias("run"), "*") for i, (x, b) in enumerate(runs)]
+    return flags[0].unionByName(flags[1]).unionByName(flags[2])
 
 
 # --- files ---------------------------------------------------------------------------------------
@@ -337,8 +347,10 @@ def hub_of_instance(spark, sf):
 @query("cell_results", """SELECT doc_id, quality::BIGINT AS quality FROM labels""")
 def cell_results(spark, sf):
     l, path = table(spark, sf, "labels"), scratch_path(spark, "cells")
-    l.select("doc_id", "quality").repartition(8).write.json(path)
-    return spark.read.schema("doc_id long, quality long").json(f"{path}/part-*.json")
+    # a file holds one object or a list of them: here a list of at most 500
+    one = l.groupBy(F.floor(F.col("doc_id") / 500).alias("b")).agg(F.to_json(F.collect_list(F.struct("doc_id", "quality"))).alias("value"))
+    one.write.partitionBy("b").text(path)
+    return files.cell_results(spark, f"{path}/b=*/part-*", "doc_id long, quality long")
 
 
 @query("result_sinks", """SELECT lang, count(*)::BIGINT AS n FROM documents GROUP BY lang""")

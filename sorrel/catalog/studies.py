@@ -173,7 +173,9 @@ def hash_vectors(texts):
     return np.array([np.frombuffer(hashlib.sha256(str(t).encode()).digest(), dtype=np.uint8)[:16].astype(float) + 1 for t in texts]).reshape(len(texts), 16)
 
 
-@query("embedded_documents")
+@query("embedded_documents", """WITH b AS (SELECT doc_id, list_transform(range(16), lambda i: (('0x' || substring(sha256(text), 2 * i + 1, 2))::INT + 1)::DOUBLE) AS v FROM documents),
+n AS (SELECT doc_id, v, sqrt(list_inner_product(v, v)) AS len FROM b)
+SELECT doc_id, round(v[1] / len, 6) AS v0, round(sqrt(list_sum(list_transform(v, lambda x: (x / len) * (x / len)))), 6) AS norm FROM n""")
 def embedded_documents(spark, sf):
     """Batch embedding of whole texts by a stand-in function."""
     d = table(spark, sf, "documents").select("doc_id", "text")

@@ -149,15 +149,15 @@ def loo_nearest_accuracy(spark, sf):
 @query("class_centroid_accuracy", f"""WITH {ITEMS}, {_MEANS.format(k='concept', src="(SELECT * FROM items WHERE part < 3)")},
 cand AS (SELECT i.id, i.concept, c.concept AS cand, list_inner_product(i.vec, c.cen) AS sim
  FROM items i JOIN cen c ON i.concept % 5 = c.concept % 5 WHERE i.part = 3),
-w AS (SELECT id, concept, arg_max(cand, sim) AS won FROM cand GROUP BY id, concept)
+w AS (SELECT id, concept, first(cand ORDER BY sim DESC, cand) AS won FROM cand GROUP BY id, concept)
 SELECT count(*)::BIGINT AS n, round(avg((won = concept)::INT), 9) AS accuracy FROM w""")
 def class_centroid_accuracy(spark, sf):
-    """Nearest centroid among an item's own class and its siblings."""
+    """Nearest centroid among an item's own class and its siblings, the lower class on ties."""
     it = items(spark, sf)
     cents = groups.centroids(it.where("part < 3"), ["concept"]).select(
         F.col("concept").alias("candidate"), (F.col("concept") % 5).alias("family"), "centroid")
     tests = it.where("part = 3").select("id", "concept", "family", "vec")
-    won = tests.join(cents, "family").groupBy("id", "concept").agg(F.max_by("candidate", dot("vec", "centroid")).alias("won"))
+    won = tests.join(cents, "family").groupBy("id", "concept").agg(F.max_by("candidate", F.struct(dot("vec", "centroid"), -F.col("candidate"))).alias("won"))
     return won.agg(big(F.count(F.lit(1))).alias("n"), r(F.avg((F.col("won") == F.col("concept")).cast("int")), 9).alias("accuracy"))
 
 
@@ -241,7 +241,7 @@ def retrieval_quality(spark, sf):
 
 
 @query("item_fidelity", f"""WITH {ITEMS} SELECT a.id, count(*)::BIGINT AS n_refs, round(avg(list_cosine_similarity(a.vec, b.vec)), 6) AS fidelity
-FROM items a JOIN items b ON a.concept = b.concept AND a.part = 0 AND b.part = 3 GROUP BY a.id""")
+FROM items a JOIN items b ON a.concept = b.concept AND a.part % 2 = 0 AND b.part % 2 = 1 GROUP BY a.id""")
 def item_fidelity(spark, sf):
     """Mean cosine of an item to its concept's held-out references.
 
@@ -249,9 +249,9 @@ def item_fidelity(spark, sf):
     mean replaces every item-reference pair.
     """
     it = items(spark, sf)
-    refs = it.where("part = 3").select("concept", unit("vec").alias("vec"))
+    refs = it.where("part % 2 = 1").select("concept", unit("vec").alias("vec"))
     mean = groups.vector_mean(refs, ["concept"]).join(refs.groupBy("concept").agg(F.count(F.lit(1)).alias("n_refs")), "concept")
-    out = it.where("part = 0").join(mean, "concept")
+    out = it.where("part % 2 = 0").join(mean, "concept")
     return out.select("id", big("n_refs").alias("n_refs"), r(dot(unit("vec"), "mean")).alias("fidelity"))
 
 
