@@ -273,7 +273,8 @@ def store_tables(spark, sf):
     ds = F.when(F.col("n_regionkey") < 2, "north").otherwise("south")
     ids = n.select("n_nationkey", F.concat_ws(":", ds, F.col("n_name")).alias("global_id"), "n_name", "n_regionkey")
     species = ids.select("global_id", F.col("n_name").alias("scientific_name"), F.lit(None).cast("string").alias("common_name"),
-                         F.create_map(F.lit("family"), F.col("n_regionkey").cast("string")).alias("taxonomy"))
+                         F.create_map(F.lit("family"), F.col("n_regionkey").cast("string")).alias("taxonomy"),
+                         F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")).alias("provenance"))
     it = items(spark, sf).join(ids, F.col("concept") == F.col("n_nationkey"))
     item = it.select("global_id", F.col("id").alias("ref"), F.concat(F.lit("img/"), F.col("id").cast("string")).alias("path"),
                      F.when(F.col("part") < 3, F.concat(F.lit("t"), F.col("part").cast("string"))).alias("part"), F.col("id").alias("ord"), "vec")
@@ -323,7 +324,13 @@ def store_summary(spark, sf):
     return s.select("dataset", *[big(c).alias(c) for c in ("n_species", "species_with_attributes", "attribute_slots", "n_medoids", "n_crops", "n_candidates")])
 
 
-@query("store_round_trip", f"""WITH {_STORE} SELECT rec.global_id, dataset, count(DISTINCT tgt.slot)::BIGINT AS n_attributes, max(tgt.value) FILTER (tgt.slot = 'segment') AS segment FROM rec LEFT JOIN tgt ON tgt.concept = rec.k GROUP BY ALL""")
+@query("store_round_trip", f"""WITH {_STORE}, sl AS (SELECT concept, count(DISTINCT slot)::BIGINT AS n, max(value) FILTER (slot = 'segment') AS segment FROM tgt GROUP BY concept),
+li AS (SELECT concept, array_to_string(list('img/' || id ORDER BY id), ' ') AS candidates FROM items GROUP BY concept),
+cr AS (SELECT concept, array_to_string(list('t' || part || '=' || id ORDER BY part), ' ') AS crops FROM (SELECT concept, part, min(id) AS id FROM items WHERE part < 3 GROUP BY concept, part) GROUP BY concept),
+mp AS (SELECT concept, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM items), mm AS (SELECT concept, pos, avg(x) AS x FROM mp GROUP BY ALL), mv AS (SELECT concept, list(x ORDER BY pos) AS mean FROM mm GROUP BY concept),
+md AS (SELECT concept, first(id ORDER BY list_cosine_similarity(vec, mean) DESC, id) AS medoid FROM items JOIN mv USING (concept) GROUP BY concept)
+SELECT rec.global_id, dataset, coalesce(sl.n, 0) AS n_attributes, segment, 'nation ' || rec.k AS provenance, md.medoid, candidates, crops, 'instance_of family:' || n_regionkey AS relations
+FROM rec LEFT JOIN sl ON sl.concept = rec.k JOIN li ON li.concept = rec.k LEFT JOIN cr ON cr.concept = rec.k JOIN md ON md.concept = rec.k""")
 def store_round_trip(spark, sf):
     """Store written to the shared folder, read back with its stamp checked, records fetched by id."""
     from sorrel.session import scratch_path
@@ -332,7 +339,12 @@ def store_round_trip(spark, sf):
     store.write_store(store_tables(spark, sf), path, "demo", 64)
     t = store.read_store(spark, path, "demo", 64)
     rec = store.get_records(t, t["record"].select("global_id"))
-    return rec.select("global_id", "dataset", big(F.coalesce(F.size("attributes"), F.lit(0))).alias("n_attributes"), F.try_element_at("attributes", F.lit("segment"))["value"].alias("segment"))
+    joined = lambda column, one: F.concat_ws(" ", F.transform(column, one))
+    return rec.select(
+        "global_id", "dataset", big(F.coalesce(F.size("attributes"), F.lit(0))).alias("n_attributes"), F.try_element_at("attributes", F.lit("segment"))["value"].alias("segment"),
+        "provenance", F.col("medoid.ref").alias("medoid"), joined("candidates", lambda x: x["path"]).alias("candidates"),
+        joined("part_crops", lambda x: F.concat(x["part_type"], F.lit("="), x["ref"].cast("string"))).alias("crops"),
+        joined("relations", lambda x: F.concat_ws(" ", x["type"], x["target"])).alias("relations"))
 
 
 @query("nearest_crops", f"""WITH {_STORE}, c AS (SELECT items.* FROM items JOIN rec ON rec.k = items.concept WHERE n_regionkey = 1 AND id IN (SELECT ref FROM po WHERE index = 'part' AND key = 't1')),

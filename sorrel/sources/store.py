@@ -15,7 +15,7 @@ from sorrel.functions.vectors import norm, unit
 from sorrel.operators.groups import medoids
 from sorrel.operators.scan import dense_numbers
 from sorrel.operators.similarity import top_k
-from sorrel.session import exists
+from sorrel.session import cut, exists
 
 TABLES = ("record", "item", "attribute", "relation", "posting", "vector")
 
@@ -25,11 +25,13 @@ def build_records(species: DataFrame, items: DataFrame, attributes: DataFrame, r
 
     species (global_id, scientific_name, common_name, taxonomy map), items (global_id,
     ref, path, part, ord, vec), attributes (global_id, slot, value, support,
-    visible_count, source), relations (global_id, type, target). The medoid is the item
+    visible_count, source), relations (global_id, type, target). Further columns of the
+    species, such as provenance, stay with the record. The medoid is the item
     nearest its species mean; the first item of each part is its crop. Species without
     items go to ``skipped``.
     """
-    med = medoids(items, ["global_id"], "ref", full_cosine=True).select("global_id", F.col("ref").alias("medoid_ref"))
+    # read by several tables, each written by its own job
+    med = cut(medoids(items, ["global_id"], "ref", full_cosine=True).select("global_id", F.col("ref").alias("medoid_ref")))
     n = items.groupBy("global_id").agg(F.count(F.lit(1)).alias("k_images"))
     record = species.join(n, "global_id").join(med, "global_id").withColumn("dataset", split_global_id("global_id")[0])
     crops = (items.where(F.col("part").isNotNull()).groupBy("global_id", F.col("part").alias("part_type"))
@@ -118,10 +120,23 @@ def members(posting: DataFrame, hub: str) -> DataFrame:
 
 
 def get_records(tables: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
-    """Records of the asked ids with their attributes as a map (bounded by the slots)."""
+    """Full records of the asked ids, one row each: the columns of ``record`` (``provenance`` among
+    them where the species had it), ``attributes`` as a map, ``medoid``, ``candidates`` and
+    ``part_crops`` by ref, and ``relations``. A record holds all items of its species.
+    """
     attrs = tables["attribute"].join(ids, "global_id", "left_semi").groupBy("global_id").agg(F.map_from_entries(F.collect_list(F.struct(
         "slot", F.struct("value", "support", "visible_count", "source")))).alias("attributes"))
-    return tables["record"].join(ids, "global_id", "left_semi").join(attrs, "global_id", "left")
+    entry = F.struct("ref", "path")
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    items = tables["item"].join(ids, "global_id", "left_semi").groupBy("global_id").agg(
+        F.min(of("medoid", entry)).alias("medoid"), F.sort_array(F.collect_list(of("candidate", entry))).alias("candidates"),
+        F.sort_array(F.collect_list(of("part_crop", F.struct("part_type", "ref", "path")))).alias("part_crops"))
+    relations = tables["relation"].join(ids, "global_id", "left_semi").groupBy("global_id").agg(
+        F.sort_array(F.collect_list(F.struct("type", "target"))).alias("relations"))
+    out = tables["record"].join(ids, "global_id", "left_semi")
+    for part in (attrs, items, relations):
+        out = out.join(part, "global_id", "left")
+    return out
 
 
 def part_images(item: DataFrame, ids: DataFrame, parts: list[str] | None = None) -> DataFrame:
