@@ -122,6 +122,17 @@ def op9_piece_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_report(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-@query("op10_repeated_windows")
+@query("op10_repeated_windows", """
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(n_bytes - 399)) AS p FROM d WHERE n_bytes >= 400)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
+g AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (
+  SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400 THEN 0 ELSE 1 END AS fresh FROM r)),
+s AS (SELECT doc_id, run, min(p) AS a, max(p) + 400 AS b FROM g GROUP BY doc_id, run),
+l AS (SELECT doc_id, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN starts IS NULL THEN h ELSE array_to_string(list_transform(range(len(starts) + 1), lambda i: substr(h,
+    2 * CASE WHEN i = 0 THEN 0 ELSE ends[i] END + 1, 2 * (CASE WHEN i = len(starts) THEN n_bytes ELSE starts[i + 1] END - CASE WHEN i = 0 THEN 0 ELSE ends[i] END))), '') END)) AS kept_sha256
+FROM d LEFT JOIN l USING (doc_id)""")
 def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_report(read_table(spark, sf_dir, "documents"), threshold=400)
