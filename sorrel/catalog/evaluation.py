@@ -607,11 +607,19 @@ def study_rows(spark, sf):
 
 
 @query("arm_report", f"""WITH {_STUDY} SELECT cohort, arm, count(*)::BIGINT AS n, round(avg(delta), 6) AS mean_delta, round(avg(whole_clip), 6) AS whole_clip, round(avg(whole_siglip), 6) AS whole_siglip, round(min(preservation), 6) AS preservation_min,
- count(*) FILTER (delta > 0)::BIGINT AS improved, count(*) FILTER (delta = 0)::BIGINT AS unchanged, count(*) FILTER (delta < 0)::BIGINT AS worsened, count(*) FILTER (generation_failed)::BIGINT AS generation_failed FROM ar GROUP BY cohort, arm""")
+ count(*) FILTER (delta > 0)::BIGINT AS improved, count(*) FILTER (delta = 0)::BIGINT AS unchanged, count(*) FILTER (delta < 0)::BIGINT AS worsened, count(*) FILTER (generation_failed)::BIGINT AS generation_failed,
+ CASE WHEN count(delta) >= 5 THEN true END AS interval_holds_mean, CASE WHEN count(delta) >= 5 THEN min(delta) = max(delta) END AS interval_is_point FROM ar GROUP BY cohort, arm""")
 def arm_report(spark, sf):
     a = verdicts.arm_report(study_rows(spark, sf))
     return a.select("cohort", "arm", big("n").alias("n"), *[r(c).alias(c) for c in ("mean_delta", "whole_clip", "whole_siglip", "preservation_min")],
-                    *[big(c).alias(c) for c in ("improved", "unchanged", "worsened", "generation_failed")])
+                    *[big(c).alias(c) for c in ("improved", "unchanged", "worsened", "generation_failed")],
+                    F.col("mean_delta").between(F.col("ci_low") - 1e-12, F.col("ci_high") + 1e-12).alias("interval_holds_mean"),
+                    (F.col("ci_high") - F.col("ci_low") < 1e-12).alias("interval_is_point"))
+
+
+@query("failed_cases", f"""WITH {_STUDY} SELECT cohort, arm, case_id FROM ar WHERE generation_failed""")
+def failed_cases(spark, sf):
+    return verdicts.failed_cases(study_rows(spark, sf)).select("cohort", "arm", "case_id")
 
 
 @query("study_gates", f"""WITH {_STUDY}, v AS (SELECT avg(delta) FILTER (cohort = 'en' AND arm = 'arm3') AS m, count(*) FILTER (arm = 'arm3' AND delta < -0.02) AS h, min(preservation) FILTER (arm <> 'arm1') AS p, avg(delta) FILTER (cohort = 'none') AS x FROM ar)
@@ -648,10 +656,12 @@ def assembled_arms(spark, sf):
 
 
 @query("stratum_report", f"""WITH {_CAND}, {_WINNER}, x AS (SELECT w.case_id, CASE WHEN w.case_id % 2 = 0 THEN 'target' ELSE 'control' END AS kind, CASE WHEN w.case_id % 3 = 0 THEN 'bridge' ELSE 'common' END AS cohort,
- CASE WHEN draft_ok THEN 'healthy' WHEN winner <> 0 THEN 'repaired' ELSE 'unrepairable' END AS bucket, winner AS selected, a.dino - d.dino AS dd, a.score AS clip FROM w JOIN cand a ON a.case_id = w.case_id AND a.attempt = w.winner JOIN cand d ON d.case_id = w.case_id AND d.attempt = 0)
+ CASE WHEN draft_ok THEN 'healthy' WHEN winner <> 0 THEN 'repaired' ELSE 'unrepairable' END AS bucket, winner AS selected, a.dino - d.dino AS dd, a.score AS clip, w.case_id % 11 = 0 AS mask_failed, 1 - a.score / 10 AS preservation, a.dino AS dino_whole FROM w JOIN cand a ON a.case_id = w.case_id AND a.attempt = w.winner JOIN cand d ON d.case_id = w.case_id AND d.attempt = 0)
 SELECT kind, cohort, count(*)::BIGINT AS n, count(*) FILTER (bucket = 'healthy')::BIGINT AS healthy, count(*) FILTER (bucket = 'repaired')::BIGINT AS repaired, count(*) FILTER (bucket = 'unrepairable')::BIGINT AS unrepairable,
  round(count(*) FILTER (bucket = 'repaired') / nullif(count(*) FILTER (bucket <> 'healthy'), 0)::DOUBLE, 9) AS repair_rate, round(avg(dd) FILTER (bucket <> 'healthy'), 6) AS dino_delta,
- count(*) FILTER (bucket <> 'healthy' AND (dd = 0 OR selected = 0))::BIGINT AS unchanged, count(*) FILTER (bucket <> 'healthy' AND selected <> 0 AND dd > 0)::BIGINT AS improved, count(*) FILTER (bucket <> 'healthy' AND selected <> 0 AND dd < 0)::BIGINT AS worsened, round(avg(clip), 6) AS clip
+ count(*) FILTER (bucket <> 'healthy' AND (dd = 0 OR selected = 0))::BIGINT AS unchanged, count(*) FILTER (bucket <> 'healthy' AND selected <> 0 AND dd > 0)::BIGINT AS improved, count(*) FILTER (bucket <> 'healthy' AND selected <> 0 AND dd < 0)::BIGINT AS worsened, round(avg(clip), 6) AS clip,
+ count(*) FILTER (mask_failed)::BIGINT AS mask_failed, round(avg(preservation), 6) AS preservation, round(avg(dino_whole), 6) AS dino_whole, CASE WHEN count(dd) FILTER (bucket <> 'healthy') >= 5 THEN true END AS interval_holds_mean,
+ count(dd) FILTER (bucket <> 'healthy') < 5 AS underpowered
 FROM x GROUP BY kind, cohort""")
 def stratum_report(spark, sf):
     c = candidates(spark, sf)
@@ -659,10 +669,12 @@ def stratum_report(spark, sf):
     w = verdicts.select_winner(c).join(d, "case_id").join(c.select("case_id", F.col("attempt").alias("winner"), "dino", "score"), ["case_id", "winner"])
     i = F.col("case_id")
     rows = w.select(F.when(i % 2 == 0, "target").otherwise("control").alias("kind"), F.when(i % 3 == 0, "bridge").otherwise("common").alias("cohort"), verdicts.outcome("draft_ok", "winner").alias("bucket"),
-                    F.col("winner").alias("selected"), (F.col("dino") - F.col("d0")).alias("dino_delta"), F.lit(False).alias("mask_failed"), F.lit(1.0).alias("preservation"), F.col("score").alias("clip"))
+                    F.col("winner").alias("selected"), (F.col("dino") - F.col("d0")).alias("dino_delta"), (i % 11 == 0).alias("mask_failed"), (1 - F.col("score") / 10).alias("preservation"), F.col("score").alias("clip"),
+                    F.col("dino").alias("dino_whole"), "case_id")
     s = verdicts.stratum_report(rows)
-    ints = ("n", "healthy", "repaired", "unrepairable", "unchanged", "improved", "worsened")
-    return s.select("kind", "cohort", *[big(x).alias(x) for x in ints], r("repair_rate", 9).alias("repair_rate"), r("dino_delta").alias("dino_delta"), r("clip").alias("clip"))
+    ints = ("n", "healthy", "repaired", "unrepairable", "unchanged", "improved", "worsened", "mask_failed")
+    return s.select("kind", "cohort", *[big(x).alias(x) for x in ints], r("repair_rate", 9).alias("repair_rate"), *[r(x).alias(x) for x in ("dino_delta", "clip", "preservation", "dino_whole")],
+                    F.col("dino_delta").between(F.col("ci_low") - 1e-12, F.col("ci_high") + 1e-12).alias("interval_holds_mean"), (F.col("delta_verdict") == "UNDERPOWERED").alias("underpowered"))
 
 
 _COHORT = f"""{_LABELLED}, cd AS (SELECT case_id AS ord, truth_fail, semantic_ok AS eligible, reference_relevance < 0.1 AS contaminated FROM lab), okc AS (SELECT *, eligible AND NOT contaminated AS ok FROM cd WHERE truth_fail),

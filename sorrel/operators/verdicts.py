@@ -341,14 +341,25 @@ def pairwise_quality(candidates: DataFrame, feature: str, answer: str, *, case:
 
 # --- reports and gates -----------------------------------------------------------
 
-def arm_report(rows: DataFrame) -> DataFrame:
-    """Per cohort and arm: n, mean delta, whole scores, preservation floor, signs, failures."""
+def arm_report(rows: DataFrame, n_boot: int = 10_000) -> DataFrame:
+    """Per cohort and arm: n, mean delta with its interval, whole scores, preservation floor, signs, failures.
+
+    The interval (``ci_low``, ``ci_high``) is that of ``bootstrap_ci``: NULL below five deltas.
+    """
+    from sorrel.operators.paired import bootstrap_ci
+
     d = F.col("delta")
+    interval = bootstrap_ci(rows, ["cohort", "arm"], "delta", n_boot=n_boot, ident="case_id").select("cohort", "arm", "ci_low", "ci_high")
     return rows.groupBy("cohort", "arm").agg(
         F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean_delta"), F.avg("whole_clip").alias("whole_clip"),
         F.avg("whole_siglip").alias("whole_siglip"), F.min("preservation").alias("preservation_min"),
         F.count_if(d > 0).alias("improved"), F.count_if(d == 0).alias("unchanged"), F.count_if(d < 0).alias("worsened"),
-        F.count_if(F.coalesce("generation_failed", F.lit(False))).alias("generation_failed"))
+        F.count_if(F.coalesce("generation_failed", F.lit(False))).alias("generation_failed")).join(interval, ["cohort", "arm"], "left")
+
+
+def failed_cases(rows: DataFrame) -> DataFrame:
+    """(cohort, arm, case_id) of the rows whose generation failed."""
+    return rows.where(F.coalesce("generation_failed", F.lit(False))).select("cohort", "arm", "case_id")
 
 
 def arm_totals(rows: DataFrame, harm: float = -0.02) -> DataFrame:
@@ -371,8 +382,20 @@ def assemble_arms(cases: DataFrame) -> DataFrame:
     return cases.select("case_id", "cohort", F.explode(arms).alias("_a")).select("case_id", "cohort", "_a.*")
 
 
-def stratum_report(rows: DataFrame) -> DataFrame:
-    """Per kind and cohort: outcome counts, repair rate over needed cases, means over their own rows."""
+#: Further scores of a stratum whose means are reported where the rows have them.
+STRATUM_SCORES = ("dino_cropped", "dino_cropped_draft", "dino_whole", "siglip")
+
+
+def stratum_report(rows: DataFrame, n_boot: int = 10_000) -> DataFrame:
+    """Per kind and cohort: outcome counts, repair rate over needed cases, means over their own rows.
+
+    The mean delta of needed cases comes with its interval (NULL below five) and the gain
+    verdict on it.
+    """
+    from sorrel.operators.paired import bootstrap_ci, gain_verdict
+
+    needed = rows.where((F.col("bucket") != "healthy") & F.col("dino_delta").isNotNull())
+    interval = bootstrap_ci(needed, ["kind", "cohort"], "dino_delta", n_boot=n_boot, ident="case_id").select("kind", "cohort", "ci_low", "ci_high")
     need = F.col("bucket") != "healthy"
     acted = need & (F.col("selected") != 0)
     d = F.col("dino_delta")
@@ -383,7 +406,9 @@ def stratum_report(rows: DataFrame) -> DataFrame:
         ratio(n_rep, n_rep + n_un, None).alias("repair_rate"), F.avg(F.when(need, d)).alias("dino_delta"),
         F.count_if(need & (F.coalesce(d == 0, F.lit(False)) | (F.col("selected") == 0))).alias("unchanged"),
         F.count_if(acted & (d > 0)).alias("improved"), F.count_if(acted & (d < 0)).alias("worsened"),
-        F.avg("preservation").alias("preservation"), F.avg("clip").alias("clip"))
+        F.avg("preservation").alias("preservation"), F.avg("clip").alias("clip"),
+        *[F.avg(c).alias(c) for c in STRATUM_SCORES if c in rows.columns]).join(
+            interval, ["kind", "cohort"], "left").withColumn("delta_verdict", gain_verdict("dino_delta", "ci_low", "ci_high"))
 
 
 def gate_table(values: DataFrame, gates: Sequence[tuple[str, str, str, float]], null_fails: bool = False) -> DataFrame:
