@@ -674,7 +674,7 @@ def stratum_report(spark, sf):
     s = verdicts.stratum_report(rows)
     ints = ("n", "healthy", "repaired", "unrepairable", "unchanged", "improved", "worsened", "mask_failed")
     return s.select("kind", "cohort", *[big(x).alias(x) for x in ints], r("repair_rate", 9).alias("repair_rate"), *[r(x).alias(x) for x in ("dino_delta", "clip", "preservation", "dino_whole")],
-                    F.col("dino_delta").between(F.col("ci_low") - 1e-12, F.col("ci_high") + 1e-12).alias("interval_holds_mean"), (F.col("delta_verdict") == "UNDERPOWERED").alias("underpowered"))
+                    F.col("dino_delta").between(F.col("ci_low") - 1e-12, F.col("ci_high") + 1e-12).alias("interval_holds_mean"), F.col("delta_verdict").isNull().alias("underpowered"))
 
 
 _COHORT = f"""{_LABELLED}, cd AS (SELECT case_id AS ord, truth_fail, semantic_ok AS eligible, reference_relevance < 0.1 AS contaminated FROM lab), okc AS (SELECT *, eligible AND NOT contaminated AS ok FROM cd WHERE truth_fail),

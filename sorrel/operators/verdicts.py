@@ -389,10 +389,10 @@ STRATUM_SCORES = ("dino_cropped", "dino_cropped_draft", "dino_whole", "siglip")
 def stratum_report(rows: DataFrame, n_boot: int = 10_000) -> DataFrame:
     """Per kind and cohort: outcome counts, repair rate over needed cases, means over their own rows.
 
-    The mean delta of needed cases comes with its interval (NULL below five) and the gain
-    verdict on it.
+    The mean delta of needed cases comes with its interval and the harm verdict on it (both
+    NULL below five).
     """
-    from sorrel.operators.paired import bootstrap_ci, gain_verdict
+    from sorrel.operators.paired import bootstrap_ci, harm_verdict
 
     needed = rows.where((F.col("bucket") != "healthy") & F.col("dino_delta").isNotNull())
     interval = bootstrap_ci(needed, ["kind", "cohort"], "dino_delta", n_boot=n_boot, ident="case_id").select("kind", "cohort", "ci_low", "ci_high")
@@ -408,7 +408,7 @@ def stratum_report(rows: DataFrame, n_boot: int = 10_000) -> DataFrame:
         F.count_if(acted & (d > 0)).alias("improved"), F.count_if(acted & (d < 0)).alias("worsened"),
         F.avg("preservation").alias("preservation"), F.avg("clip").alias("clip"),
         *[F.avg(c).alias(c) for c in STRATUM_SCORES if c in rows.columns]).join(
-            interval, ["kind", "cohort"], "left").withColumn("delta_verdict", gain_verdict("dino_delta", "ci_low", "ci_high"))
+            interval, ["kind", "cohort"], "left").withColumn("delta_verdict", harm_verdict("ci_low", "ci_high"))
 
 
 def gate_table(values: DataFrame, gates: Sequence[tuple[str, str, str, float]], null_fails: bool = False) -> DataFrame:
