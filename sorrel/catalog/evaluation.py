@@ -628,11 +628,20 @@ def study_gates(spark, sf):
     return _gates(spark, sf).select("name", r("value").alias("value"), "passed")
 
 
-def _gates(spark, sf):
+@query("end_to_end_gates", f"""WITH {_STUDY}, v AS (SELECT avg(delta) FILTER (cohort = 'en' AND arm = 'arm3') AS m, count(*) FILTER (arm = 'arm3' AND delta < -0.02) AS h, min(preservation) FILTER (arm <> 'arm1') AS p, avg(delta) FILTER (cohort = 'none') AS x FROM ar)
+SELECT 'rare_mean_positive' AS name, round(m, 6) AS value, coalesce(m > 0, false) AS passed, m IS NULL AS no_data FROM v UNION ALL SELECT 'harmful', h, coalesce(h <= 1, false), h IS NULL FROM v
+UNION ALL SELECT 'preservation', round(p, 6), coalesce(p = 1, false), p IS NULL FROM v UNION ALL SELECT 'absent_cohort', x, coalesce(x > 0, false), x IS NULL FROM v""")
+def end_to_end_gates(spark, sf):
+    """The form in which a gate without data fails."""
+    g = _gates(spark, sf, null_fails=True)
+    return g.select("name", r("value").alias("value"), "passed", (F.col("reason") == "no data").alias("no_data"))
+
+
+def _gates(spark, sf, null_fails=False):
     rows = study_rows(spark, sf)
     vals = rows.agg(F.avg(F.when((F.col("cohort") == "en") & (F.col("arm") == "arm3"), F.col("delta"))).alias("m"), F.avg(F.when(F.col("cohort") == "none", F.col("delta"))).alias("x"))
     vals = vals.join(F.broadcast(verdicts.arm_totals(rows)))
-    return verdicts.gate_table(vals, [("rare_mean_positive", "m", ">", 0.0), ("harmful", "harmful", "<=", 1.0), ("preservation", "preservation_min", "==", 1.0), ("absent_cohort", "x", ">", 0.0)])
+    return verdicts.gate_table(vals, [("rare_mean_positive", "m", ">", 0.0), ("harmful", "harmful", "<=", 1.0), ("preservation", "preservation_min", "==", 1.0), ("absent_cohort", "x", ">", 0.0)], null_fails)
 
 
 @query("study_readiness", f"""WITH {_STUDY}, v AS (SELECT avg(delta) FILTER (cohort = 'en' AND arm = 'arm3') > 0 AS a, count(*) FILTER (arm = 'arm3' AND delta < -0.02) <= 1 AS b, min(preservation) FILTER (arm <> 'arm1') = 1 AS c FROM ar)
