@@ -435,6 +435,28 @@ def leave_one_out_fit(spark, sf):
     return f.select("cohort", "text_relevance", "truth_fail", big("n").alias("n"), r("threshold", 9).alias("threshold"), "predicted_fail")
 
 
+_WILSON = """round(greatest(0, (({a} / {n}::DOUBLE + 1.96 * 1.96 / (2 * {n})) - 1.96 * sqrt({a} / {n}::DOUBLE * (1 - {a} / {n}::DOUBLE) / {n} + 1.96 * 1.96 / (4 * {n} * {n}))) / (1 + 1.96 * 1.96 / {n})), 6)"""
+
+
+@query("signal_report", f"""WITH {_LABELLED}, lg AS (SELECT 'text_relevance' AS signal, case_id, text_relevance AS x, truth_fail FROM lab UNION ALL SELECT 'reference_relevance', case_id, reference_relevance, truth_fail FROM lab),
+f AS (SELECT signal, case_id AS fold, x AS own, truth_fail AS own_truth FROM lg UNION ALL SELECT DISTINCT signal, -1, NULL::DOUBLE, NULL::BOOLEAN FROM lg),
+g AS (SELECT f.signal, f.fold, lg.x, count(*) FILTER (truth_fail) AS nf, count(*) FILTER (NOT truth_fail) AS np FROM f JOIN lg ON lg.signal = f.signal AND lg.case_id <> f.fold GROUP BY ALL),
+e AS (SELECT signal, fold, min(x) AS lo, max(x) AS hi, greatest(1e-9, (max(x) - min(x)) * 1e-6) AS eps FROM g GROUP BY signal, fold),
+c AS (SELECT signal, fold, (x + lead(x) OVER (PARTITION BY signal, fold ORDER BY x)) / 2 AS t FROM g UNION ALL SELECT signal, fold, lo - eps FROM e UNION ALL SELECT signal, fold, hi + eps FROM e),
+s AS (SELECT c.signal, c.fold, c.t, coalesce(sum(nf) FILTER (x < t), 0) / nullif(sum(nf), 0)::DOUBLE AS rec, coalesce(sum(np) FILTER (x >= t), 0) / nullif(sum(np), 0)::DOUBLE AS spec FROM c JOIN g USING (signal, fold) WHERE t IS NOT NULL GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY signal, fold ORDER BY round((coalesce(rec, 0) + coalesce(spec, 0)) / 2, 12) DESC, coalesce(spec, 0) DESC, t) AS rn FROM s),
+w AS (SELECT * FROM k WHERE rn = 1), whole AS (SELECT signal, t FROM w WHERE fold = -1),
+p AS (SELECT f.signal, 'leave_one_out' AS sample, own_truth AS t, own < w.t AS p FROM f JOIN w USING (signal, fold) WHERE fold <> -1 UNION ALL SELECT lg.signal, 'in_sample', truth_fail, x < whole.t FROM lg JOIN whole USING (signal)),
+q AS (SELECT signal, sample, count(*) FILTER (t AND p)::BIGINT AS tp, count(*) FILTER (NOT t AND p)::BIGINT AS fp, count(*) FILTER (NOT t AND NOT p)::BIGINT AS tn, count(*) FILTER (t AND NOT p)::BIGINT AS fn FROM p GROUP BY ALL)
+SELECT signal, sample, round(whole.t, 9) AS threshold, tp, fp, tn, fn, round(tp / (tp + fn)::DOUBLE, 9) AS recall, round(tn / (tn + fp)::DOUBLE, 9) AS specificity,
+ {_WILSON.format(a='tp', n='(tp + fn)')} AS recall_low, {_WILSON.format(a='tn', n='(tn + fp)')} AS specificity_low FROM q JOIN whole USING (signal)""")
+def signal_report(spark, sf):
+    """Each signal alone as a detector, on its own rows and left one out."""
+    s = fitting.signal_report(labelled(spark, sf), ["text_relevance", "reference_relevance"], F.col("truth_fail"))
+    return s.select("signal", "sample", r("threshold", 9).alias("threshold"), *[big(c).alias(c) for c in ("tp", "fp", "tn", "fn")], r("recall", 9).alias("recall"), r("specificity", 9).alias("specificity"),
+                    r("recall_low").alias("recall_low"), r("specificity_low").alias("specificity_low"))
+
+
 @query("fit_two_thresholds", f"""WITH {_LABELLED}, tv AS (SELECT DISTINCT text_relevance AS x FROM lab), rv AS (SELECT DISTINCT reference_relevance AS x FROM lab),
 tt AS (SELECT t FROM (SELECT (x + lead(x) OVER (ORDER BY x)) / 2 AS t FROM tv) WHERE t IS NOT NULL UNION ALL SELECT min(x) - 1 FROM tv UNION ALL SELECT max(x) + 1 FROM tv),
 rt AS (SELECT t FROM (SELECT (x + lead(x) OVER (ORDER BY x)) / 2 AS t FROM rv) WHERE t IS NOT NULL UNION ALL SELECT min(x) - 1 FROM rv UNION ALL SELECT max(x) + 1 FROM rv),

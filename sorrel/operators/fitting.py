@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sorrel.functions.scores import finite_score, mcc, ratio
+from sorrel.functions.scores import finite_score, mcc, ratio, wilson
 from sorrel.operators.scan import ordered_scan
 from sorrel.session import cut
 
@@ -122,6 +122,27 @@ def loo_thresholds(rows: DataFrame, score: str, truth: Column, keys: Sequence[st
         "predicted_fail", F.col(score) < F.col("threshold"))
 
 
+def signal_report(rows: DataFrame, signals: Sequence[str], truth: Column) -> DataFrame:
+    """Per signal, the rule "score < threshold means FAIL" on its own rows and left one out.
+
+    (signal, sample, tp, fp, tn, fn, recall, specificity) with Wilson bounds; ``sample`` is
+    in_sample or leave_one_out, ``threshold`` the one fitted on all rows.
+    """
+    long = rows.select(truth.alias("_truth"), F.explode(F.array(*[
+        F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("score")) for s in signals])).alias("_s")).select("_truth", "_s.*")
+    t = F.col("_truth")
+    fit = fit_threshold(long, "score", t, ["signal"]).select("signal", "threshold")
+    own = long.join(fit, "signal").select("signal", F.lit("in_sample").alias("sample"), t.alias("t"), (F.col("score") < F.col("threshold")).alias("p"), F.lit(1).cast("long").alias("n"))
+    out = loo_thresholds(long, "score", t, ["signal"]).select("signal", F.lit("leave_one_out").alias("sample"), F.col("truth_fail").alias("t"), F.col("predicted_fail").alias("p"), "n")
+    part = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    t, p = F.col("t"), F.col("p")
+    c = own.unionByName(out).groupBy("signal", "sample").agg(part(t & p).alias("tp"), part(~t & p).alias("fp"), part(~t & ~p).alias("tn"), part(t & ~p).alias("fn"))
+    (rl, rh), (sl, sh) = wilson("tp", F.col("tp") + F.col("fn")), wilson("tn", F.col("tn") + F.col("fp"))
+    return c.join(fit, "signal").select(
+        "signal", "sample", "threshold", "tp", "fp", "tn", "fn", ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"),
+        ratio(F.col("tn"), F.col("tn") + F.col("fp")).alias("specificity"), rl.alias("recall_low"), rh.alias("recall_high"), sl.alias("specificity_low"), sh.alias("specificity_high"))
+
+
 # --- two thresholds ----------------------------------------------------------------
 
 def _axis_with_floor(axis: DataFrame, index: str, label: str, pad: float = 1.0) -> DataFrame:
