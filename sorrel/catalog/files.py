@@ -300,14 +300,17 @@ def usable_graphs(spark, sf):
     return concept_graphs(spark, sf).select("concept", guards.usable_records().alias("usable"))
 
 
-@query("graph_prompts", """WITH g AS (SELECT p_brand AS concept, p_type AS part, count(*) AS n FROM part GROUP BY 1, 2) SELECT concept, sum(n)::BIGINT AS n_phrases FROM g GROUP BY concept""")
+@query("graph_prompts", """WITH a AS (SELECT p_brand AS concept, p_type || ' ' || p_name || ': ' || CASE WHEN p_size < 5 THEN 'Not Visible' ELSE ' V' || p_size || ' ' END AS phrase,
+ row_number() OVER (PARTITION BY p_brand ORDER BY p_type, p_name, CASE WHEN p_size < 5 THEN 'Not Visible' ELSE ' V' || p_size || ' ' END) AS rn FROM part)
+SELECT concept, count(*)::BIGINT AS n_phrases, 'a photo of a ' || concept || ', ' || string_agg(phrase, ', ' ORDER BY rn) FILTER (rn <= 8) AS prompt FROM a GROUP BY concept""")
 def graph_prompts(spark, sf):
-    """Attribute phrases of each concept graph and the prompt they give."""
+    """Attribute phrases of each concept graph and the prompt they give; parts and attributes by name."""
     g = concept_graphs(spark, sf)
+    by_name = lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)
+    parts = F.transform(F.array_sort("parts", by_name), lambda p: F.struct(p["name"].alias("name"), F.sort_array(p["attributes"]).alias("attributes")))
+    g = g.withColumn("parts", parts).withColumn("global_attrs", F.coalesce("global_attrs", F.array().cast("array<struct<name:string,value:string,source:string>>")))
     phrases = names.attribute_phrases("global_attrs", "parts")
-    g = g.withColumn("global_attrs", F.coalesce("global_attrs", F.array().cast("array<struct<name:string,value:string,source:string>>")))
-    prompt = names.compose_prompt("concept", phrases, False)
-    return g.select("concept", big(F.size(phrases)).alias("n_phrases"), prompt.alias("p")).where(F.col("p").startswith("a photo of a Brand")).select("concept", "n_phrases")
+    return g.select("concept", big(F.size(phrases)).alias("n_phrases"), names.compose_prompt("concept", phrases, False).alias("prompt"))
 
 
 @query("part_instances", """SELECT vec_id::VARCHAR AS id, label::VARCHAR AS concept, round(embedding[1]::DOUBLE, 6) AS v0 FROM embeddings""")
