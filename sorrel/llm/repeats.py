@@ -34,8 +34,9 @@ from pyspark.sql import types as T
 from sorrel.llm.common import id_text, texts_of
 from sorrel.session import cut
 
-#: Surroundings of one anchor above which its windows are counted as rows instead of in a packet.
-OPEN_AS_ROWS = 128
+#: Surroundings of one anchor (about 500 bytes each) above which its windows are counted as rows
+#: instead of in a packet: a megabyte of them.
+OPEN_AS_ROWS = 2000
 #: Anchor rows of the corpus per packet of pass 3 (a few in a hundred of them get there).
 ROWS_PER_PACKET = 20_000
 #: Window starts handled at once, so a text of any length needs bounded memory.
