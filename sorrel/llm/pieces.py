@@ -10,15 +10,16 @@ Two tokens are compatible if joining their characters by the model's own rule gi
 these two tokens back; the answers are remembered per pair. Pieces that their own characters
 do not merge to are left out of the automaton, since no encoding contains them.
 
-No piece of the model holds a space mark after another character or any of the characters
-found to stand in no longer piece, so texts are encoded between such places, and frequent
-stretches are remembered within a bound.
+No token crosses a place where two characters meet that no piece holds side by side, so
+texts are encoded between such places (before every space mark, around line ends, between a
+word and a stop after it), and frequent stretches are remembered within a bound.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +34,7 @@ from sorrel.llm.common import id_text, texts_of
 
 SPACE = "▁"
 #: Stretches remembered per worker (two generations of half as many), and pairs.
-REMEMBERED, PAIRS = 160_000, 400_000
+REMEMBERED, PAIRS = 300_000, 400_000
 #: Longer stretches are not remembered.
 _LONG = 48
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -67,14 +68,18 @@ class PieceModel:
             raise ValueError("a piece holds a space mark after another character")
         inner = {c for p in self.ids if len(p) > 1 for c in p}
         alone = "".join(c for c in "\n\t\r" if c not in inner)
-        self._stretch = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else ""))
+        after_word = {p[i] for p in self.ids for i in range(1, len(p)) if p[i - 1].isalnum()}
+        stops = re.escape("".join(c for c in ".,;:!?" if c not in after_word))
+        word = f"{SPACE}*[^{SPACE}{alone}{stops}]++(?<=[^\\W_])(?=[{stops}])|" if stops else ""
+        self._stretch = re.compile(f"{word}{SPACE}*[^{SPACE}{alone}]++|{SPACE}+" + (f"|[{alone}]" if alone else ""))
         usable = [p for p in self.ids if self._merge(p) == [p]]
         self._automaton = ahocorasick.Automaton()
         for p in usable:
-            self._automaton.add_word(p, p)
+            self._automaton.add_word(p, (p, len(p) - 1))
         self._automaton.make_automaton()
         known = set(usable)
         self._shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in known), None) for p in usable}
+        self._shown = [p.replace(SPACE, " ") for p in self.pieces]
         self._pairs: dict[tuple[str, str], bool] = {}
         self._young: dict[str, tuple[bytes, str]] = {}
         self._old: dict[str, tuple[bytes, str]] = {}
@@ -101,44 +106,34 @@ class PieceModel:
 
     def _tokens(self, text: str) -> list[str]:
         """Pieces of a stretch; a character in no piece stands for itself."""
-        tokens, at = [], 0
-        for end, piece in self._automaton.iter_long(text):
-            begin = end + 1 - len(piece)
-            tokens.extend(text[at:begin])
-            tokens.append(piece)
-            at = end + 1
-        tokens.extend(text[at:])
-        if all(map(self._compatible, tokens, tokens[1:])):
-            return tokens
-        return self._search(text)
-
-    def _search(self, text: str) -> list[str]:
-        n = len(text)
-        longest: list[str | None] = [None] * n
-        for end, piece in self._automaton.iter(text):
-            begin = end + 1 - len(piece)
-            if longest[begin] is None or len(piece) > len(longest[begin]):
-                longest[begin] = piece
-        failed, tokens, at = 0, [], 0
-        token = longest[0] or text[0]
+        # matches of one place come from short to long, so the last is the longest
+        longest = {end - more: piece for end, (piece, more) in self._automaton.iter(text)}
+        pairs, shorter, n = self._pairs, self._shorter, len(text)
+        failed, tokens, at, last = 0, [], 0, None
+        token = longest.get(0) or text[0]
         while True:
             while token is not None:
                 end = at + len(token)
-                if not failed >> end & 1 and (not tokens or self._compatible(tokens[-1], token)):
-                    break
-                token = self._shorter.get(token)
+                if not failed >> end & 1:
+                    if last is None:
+                        break
+                    fits = pairs.get((last, token))
+                    if fits or fits is None and self._compatible(last, token):
+                        break
+                token = shorter.get(token)
             if token is None:
                 # nothing fits here: the last token was wrong, its end leads nowhere
                 failed |= 1 << at
                 token = tokens.pop()
+                last = tokens[-1] if tokens else None
                 at -= len(token)
-                token = self._shorter.get(token)
+                token = shorter.get(token)
                 continue
             tokens.append(token)
-            at = end
-            if at == n:
+            if end == n:
                 return tokens
-            token = longest[at] or text[at]
+            at, last = end, token
+            token = longest.get(at) or text[at]
 
     def _ids_of(self, token: str) -> list[int]:
         i = self.ids.get(token)
@@ -149,8 +144,12 @@ class PieceModel:
     def _remember(self, stretch: str) -> tuple[bytes, str]:
         found = self._old.get(stretch)
         if found is None:
-            ids = [i for token in self._tokens(stretch) for i in self._ids_of(token)]
-            found = np.array(ids, "<u4").tobytes(), self._surface(ids)
+            ids = list(map(self.ids.get, self._tokens(stretch)))
+            if None in ids:
+                ids = [i for token in self._tokens(stretch) for i in self._ids_of(token)]
+                found = struct.pack(f"<{len(ids)}I", *ids), self._surface(ids)
+            else:
+                found = struct.pack(f"<{len(ids)}I", *ids), "".join([self._shown[i] for i in ids])
         if len(stretch) <= _LONG:
             if len(self._young) >= REMEMBERED // 2:
                 self._old, self._young = self._young, {}
