@@ -11,9 +11,9 @@ order of promise. How many leaves to visit is calibrated: a bounded set of queri
 by brute force over all rows, and visits widen until their recall reaches ``TARGET_RECALL``.
 
 Leaves are gathered to packets of bounded size, and a leaf that holds more (copies of one vector,
-say) is cut over several; a query goes once to every packet in which it visits a leaf. Tasks
-return their k best, and scores are recomputed in double precision in one fixed order, so ties
-are real ties.
+say) is cut over several; a query goes once to every packet in which it visits a leaf. A task
+takes one packet and a bounded block of queries and returns their k best; scores are recomputed
+in double precision in one fixed order, so ties are real ties.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ SAMPLE_ROWS, SAMPLE_NUMBERS = 16_384, 4_000_000
 BRANCH, LEAF_ROWS, LEAST_SAMPLE = 8, 128, 16
 #: Queries answered by brute force, and the recall that their visits must reach.
 CALIBRATION, TARGET_RECALL = 128, 0.95
-#: Rows of a packet.
-PACKET = 2048
+#: Numbers in a packet of rows (16,384 rows of 64), and queries answered by one task.
+PACKET_NUMBERS, QUERY_BLOCK = 1 << 20, 4096
 _CHUNK = 256
 _ROUNDS = 12
 
@@ -170,7 +170,7 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def search(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
-           target_recall: float = TARGET_RECALL, packet: int = PACKET) -> DataFrame:
+           target_recall: float = TARGET_RECALL, packet: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of ``corpus`` of largest inner product found for each query.
 
     Ranks start from 1, ties go to the smaller id. A query never finds rows of its own id, and
@@ -203,7 +203,9 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id"
         sizes[leaf] = count
     visits = _calibrated(tree, indexed, asks, k, target_recall, scale, reach, width)
 
-    # packets: small leaves share one, a large leaf is cut over several
+    # packets: small leaves share one, a large leaf is cut over several; a task gets a packet and a block of queries
+    packet = packet or max(1, PACKET_NUMBERS // width)
+    blocks = 1 + asks.count() // QUERY_BLOCK
     first, parts, number, held = np.zeros(tree.leaves, np.int64), np.ones(tree.leaves, np.int64), 0, 0
     for leaf in range(tree.leaves):
         if held and held + sizes[leaf] > packet:
@@ -254,7 +256,9 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id"
     salted = indexed.withColumn("salt", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(1 << 20)))
     placed = salted.mapInArrow(place, "id long, vec array<double>, leaf int, packet long")
     sent = asks.mapInArrow(ask, "qid long, qvec array<double>, packet long, leaves array<int>")
-    hits = sent.groupBy("packet").cogroup(placed.groupBy("packet")).applyInArrow(lambda l, r: answer(l, r), "qid long, id long, score double")
+    sent = sent.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
+    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    hits = sent.groupBy("packet", "block").cogroup(placed.groupBy("packet", "block")).applyInArrow(lambda l, r: answer(l, r), "qid long, id long, score double")
     place_in = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id"))
     return hits.withColumn("rank", place_in).where(F.col("rank") <= k).select(
         F.col("qid").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")

@@ -36,9 +36,10 @@ def test_recall_of_the_query(spark):
     assert hit / total >= 0.9, hit / total
 
 
-@pytest.mark.parametrize("packet", [2048, 7])
+@pytest.mark.parametrize("packet", [None, 7])
 def test_ties_copies_and_odd_rows(spark, monkeypatch, packet):
     monkeypatch.setattr(neighbours, "LEAF_ROWS", 8)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 5 if packet else 4096)
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(120)]
     rows += [(200 + i, [1.0, 2.0, 3.0, 50.0]) for i in range(60)] + [(7, [9.0, 9.0, 9.0, 9.0])]
