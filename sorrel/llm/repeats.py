@@ -17,11 +17,15 @@ byte. Here suffixes go through the same radix passes in bundles:
 Passes 1 and 2 are grouped counts with partial sums. Pass 3 runs in small packets; an anchor
 with very many differing surroundings is opened into rows instead and counted the same way,
 so no task ever holds a whole hot group. Digits are compared by 64-bit hashes.
+
+The unit of depth is the byte (``width`` 1) or the word (``width`` 8): then a text is the
+sequence of its words' 64-bit hashes, windows start at words and their length counts words.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +50,15 @@ _POSITION_BITS = 26
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _digest = xxhash.xxh64_intdigest
+BYTE, WORD = 1, 8
+_SPACED = re.compile(r"\S+")
+
+
+def encoded(text: str | None, width: int = BYTE) -> bytes:
+    """The text's bytes, or eight bytes for each of its words."""
+    if width == BYTE:
+        return (text or "").encode()
+    return b"".join(xxhash.xxh64_digest(w.encode()) for w in _SPACED.findall(text or ""))
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,15 +72,15 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def bundles(data: bytes, threshold: int, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bundles(data: bytes, threshold: int, segment: int = SEGMENT, *, width: int = BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first, last): each run of window starts first..last whose windows share an anchor."""
     half = threshold // 2
     span = threshold - half + 1
-    starts = len(data) - threshold + 1
+    starts = len(data) // width - threshold + 1
     out = []
     for begin in range(0, max(starts, 0), segment):
         m = min(segment, starts - begin)
-        a = np.frombuffer(data, np.uint8, m + threshold - 1, begin)
+        a = np.frombuffer(data, f"u{width}", m + threshold - 1, begin * width)
         up, down = _power_tables(len(a) + 1)
         sums = np.zeros(len(a) + 1, np.uint64)
         np.cumsum(a * up[:len(a)], out=sums[1:])
@@ -91,25 +104,25 @@ def bundles(data: bytes, threshold: int, segment: int = SEGMENT) -> tuple[np.nda
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _second_digits(data: bytes, anchor: np.ndarray, first: np.ndarray, last: np.ndarray, threshold: int) -> np.ndarray:
-    """Hash of all bytes a bundle spans, seeded with where its anchor lies in them."""
-    return np.fromiter((_digest(data[f:e + threshold], a - f) for a, f, e in zip(anchor.tolist(), first.tolist(), last.tolist())),
+def _second_digits(data: bytes, anchor: np.ndarray, first: np.ndarray, last: np.ndarray, threshold: int, width: int) -> np.ndarray:
+    """Hash of all units a bundle spans, seeded with where its anchor lies in them."""
+    return np.fromiter((_digest(data[f * width:(e + threshold) * width], a - f) for a, f, e in zip(anchor.tolist(), first.tolist(), last.tolist())),
                        np.uint64, len(anchor)).view(np.int64)
 
 
-def _digit_rows(threshold: int):
+def _digit_rows(threshold: int, width: int):
     half = threshold // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, h, c, n = [], [], [], []
             for i, text in enumerate(texts_of(batch)):
-                data = (text or "").encode()
-                if len(data) < threshold:
+                data = encoded(text, width)
+                if len(data) < threshold * width:
                     continue
-                anchor, first, last = bundles(data, threshold)
-                second, at, count = np.unique(_second_digits(data, anchor, first, last, threshold), return_index=True, return_counts=True)
-                h.append(np.fromiter((_digest(data[a:a + half]) for a in anchor[at].tolist()), np.uint64, len(at)).view(np.int64))
+                anchor, first, last = bundles(data, threshold, width=width)
+                second, at, count = np.unique(_second_digits(data, anchor, first, last, threshold, width), return_index=True, return_counts=True)
+                h.append(np.fromiter((_digest(data[a * width:(a + half) * width]) for a in anchor[at].tolist()), np.uint64, len(at)).view(np.int64))
                 c.append(second)
                 n.append(count)
                 row.append(np.full(len(at), i))
@@ -120,7 +133,7 @@ def _digit_rows(threshold: int):
     return run
 
 
-def _surroundings(threshold: int):
+def _surroundings(threshold: int, width: int):
     """The bytes of the bundles that pass 3 needs, each from the one document that brings it."""
     half = threshold // 2
 
@@ -130,24 +143,24 @@ def _surroundings(threshold: int):
             row, h, c, at, body = [], [], [], [], []
             for i, text in enumerate(texts_of(batch)):
                 want = dict.fromkeys(needed[i].as_py())
-                data = (text or "").encode()
-                anchor, first, last = bundles(data, threshold)
+                data = encoded(text, width)
+                anchor, first, last = bundles(data, threshold, width=width)
                 for a, f, e, digit in zip(anchor.tolist(), first.tolist(), last.tolist(),
-                                          _second_digits(data, anchor, first, last, threshold).tolist()):
+                                          _second_digits(data, anchor, first, last, threshold, width).tolist()):
                     if digit in want:
                         del want[digit]
                         row.append(i)
-                        h.append(np.uint64(_digest(data[a:a + half])).view(np.int64))
+                        h.append(np.uint64(_digest(data[a * width:(a + half) * width])).view(np.int64))
                         c.append(digit)
                         at.append(a - f)
-                        body.append(data[f:e + threshold])
+                        body.append(data[f * width:(e + threshold) * width])
             yield pa.record_batch([batch.column(0).take(pa.array(row, pa.int64())), pa.array(h, pa.int64()), pa.array(c, pa.int64()),
                                    pa.array(at, pa.int64()), pa.array(body, pa.binary())], ["_id", "h", "c", "at", "body"])
 
     return run
 
 
-def _open_packet(threshold: int):
+def _open_packet(threshold: int, width: int):
     """Order the windows of a packet digit by digit; groups of one leave after each pass."""
     step = max(1, threshold // 4)
 
@@ -155,7 +168,7 @@ def _open_packet(threshold: int):
         bodies = table.column("body").to_pylist()
         offsets = table.column("at").to_numpy()
         hashes = table.column("h").to_numpy()
-        n = np.array([len(b) - threshold + 1 for b in bodies], np.int64)
+        n = np.array([len(b) // width - threshold + 1 for b in bodies], np.int64)
         ctx = np.repeat(np.arange(len(bodies)), n)
         start = np.arange(len(ctx)) - np.repeat(np.cumsum(n) - n, n)
         group = np.zeros(len(ctx), np.int64)
@@ -170,7 +183,7 @@ def _open_packet(threshold: int):
             ctx, start, group = ctx[order][stay], start[order][stay], number[stay]
             if depth >= threshold:
                 break
-            digits = [np.fromiter((_digest(bodies[j][s + depth:s + min(depth + step, threshold)]) for j, s in zip(ctx.tolist(), start.tolist())),
+            digits = [np.fromiter((_digest(bodies[j][(s + depth) * width:(s + min(depth + step, threshold)) * width]) for j, s in zip(ctx.tolist(), start.tolist())),
                                   np.uint64, len(ctx)).view(np.int64)]
             depth += step
         order = np.lexsort((start, ctx))
@@ -185,12 +198,12 @@ def _open_packet(threshold: int):
     return run
 
 
-def _open_rows(threshold: int):
+def _open_rows(threshold: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, (at, body) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
-                n = len(body) - threshold + 1
-                w = np.fromiter((_digest(body[s:s + threshold]) for s in range(n)), np.uint64, n).view(np.int64)
+                n = len(body) // width - threshold + 1
+                w = np.fromiter((_digest(body[s * width:(s + threshold) * width]) for s in range(n)), np.uint64, n).view(np.int64)
                 same = pa.array(np.full(n, i))
                 yield pa.record_batch([batch.column(0).take(same), batch.column(1).take(same), batch.column(2).take(same),
                                        pa.array(at - np.arange(n)), pa.array(w), pa.array(np.arange(n))], ["_id", "h", "c", "o", "w", "lo"])
@@ -198,7 +211,7 @@ def _open_rows(threshold: int):
     return run
 
 
-def repeated_bundles(docs: DataFrame, threshold: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_bundles(docs: DataFrame, threshold: int, id_col: str = "doc_id", text_col: str = "text", width: int = BYTE) -> DataFrame:
     """(_id, marks): for each document with repeated windows, array of (c, lo, hi).
 
     ``c`` names a bundle of the document; windows lo..hi of it are repeated, all of them when
@@ -213,7 +226,7 @@ def repeated_bundles(docs: DataFrame, threshold: int, id_col: str = "doc_id", te
     def longs(*names: str) -> list[T.StructField]:
         return [T.StructField(n, T.LongType()) for n in names]
 
-    rows = cut(base.mapInArrow(_digit_rows(threshold), shape(*longs("h", "c", "n"))))
+    rows = cut(base.mapInArrow(_digit_rows(threshold, width), shape(*longs("h", "c", "n"))))
     packets = 1 + rows.count() // ROWS_PER_PACKET
     first = rows.groupBy("h").agg(F.sum("n").alias("total"), (F.min("c") != F.max("c")).alias("differ")).where(F.col("total") > 1)
     met = rows.join(first.select("h", "differ"), "h")
@@ -224,30 +237,30 @@ def repeated_bundles(docs: DataFrame, threshold: int, id_col: str = "doc_id", te
 
     needed = second.groupBy("_id").agg(F.collect_list("c").alias("_need")).withColumnRenamed("_id", "_rep")
     opened = base.join(needed, F.col("_id").eqNullSafe(F.col("_rep"))).select("_id", "_text", "_need").mapInArrow(
-        _surroundings(threshold), shape(*longs("h", "c", "at"), T.StructField("body", T.BinaryType())))
+        _surroundings(threshold, width), shape(*longs("h", "c", "at"), T.StructField("body", T.BinaryType())))
     many = second.groupBy("h").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > OPEN_AS_ROWS).select("h", F.lit(True).alias("_many"))
     opened = cut(opened.join(many, "h", "left").select("_id", "h", "c", "at", "body", F.coalesce("_many", F.lit(False)).alias("_many")))
     marks = shape(*longs("c", "lo", "hi"))
     packed = opened.where(~F.col("_many")).select("_id", "h", "c", "at", "body").withColumn(
-        "_packet", F.pmod(F.xxhash64("h"), F.lit(packets))).groupBy("_packet").applyInArrow(_open_packet(threshold), marks)
+        "_packet", F.pmod(F.xxhash64("h"), F.lit(packets))).groupBy("_packet").applyInArrow(_open_packet(threshold, width), marks)
     windows = opened.where("_many").select("_id", "h", "c", "at", "body").mapInArrow(
-        _open_rows(threshold), shape(*longs("h", "c", "o", "w", "lo")))
+        _open_rows(threshold, width), shape(*longs("h", "c", "o", "w", "lo")))
     twice = windows.groupBy("h", "o", "w").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("h", "o", "w")
     by_row = windows.join(twice, ["h", "o", "w"]).select("_id", "c", "lo", F.col("lo").alias("hi"))
     found = whole.select("_id", "c", F.lit(-1).cast("long").alias("lo"), F.lit(-1).cast("long").alias("hi")).unionByName(packed).unionByName(by_row)
     return found.groupBy("_id").agg(F.collect_list(F.struct("c", "lo", "hi")).alias("marks"))
 
 
-def removed_spans(data: bytes, marks: list, threshold: int) -> list[tuple[int, int]]:
-    """Maximal runs of repeated bytes of one text, from the marks of its bundles."""
+def removed_spans(data: bytes, marks: list, threshold: int, width: int = BYTE) -> list[tuple[int, int]]:
+    """Maximal runs of repeated units of one text, from the marks of its bundles."""
     by_digit: dict[int, list] = {}
     for m in marks or ():
         by_digit.setdefault(m["c"], []).append((m["lo"], m["hi"]))
     if not by_digit:
         return []
-    anchor, first, last = bundles(data, threshold)
+    anchor, first, last = bundles(data, threshold, width=width)
     spans: list[list[int]] = []
-    for f, e, digit in zip(first.tolist(), last.tolist(), _second_digits(data, anchor, first, last, threshold).tolist()):
+    for f, e, digit in zip(first.tolist(), last.tolist(), _second_digits(data, anchor, first, last, threshold, width).tolist()):
         for lo, hi in sorted(by_digit.get(digit, ())):
             s, t = (f, e + threshold) if lo < 0 else (f + lo, f + hi + threshold)
             if spans and s <= spans[-1][1]:
@@ -295,29 +308,58 @@ def removal_report(docs: DataFrame, threshold: int = 400, id_col: str = "doc_id"
         T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]))
 
 
-def remove_repeats(docs: DataFrame, threshold: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _word_spans(text: str, marks: list, words: int) -> list[tuple[int, int]]:
+    """Repeated runs of words as spans of bytes, with the white space between their words."""
+    found = removed_spans(encoded(text, WORD), marks, words, WORD)
+    if not found:
+        return []
+    at = [m.span() for m in _SPACED.finditer(text)]
+    edges = sorted({0, *(at[s][0] for s, _ in found), *(at[t - 1][1] for _, t in found)})
+    sizes = np.cumsum([0, *(len(text[a:b].encode()) for a, b in zip(edges, edges[1:]))])
+    byte = dict(zip(edges, sizes.tolist()))
+    return [(byte[at[s][0]], byte[at[t - 1][1]]) for s, t in found]
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, t in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], t)
+        else:
+            out.append((s, t))
+    return out
+
+
+def remove_repeats(docs: DataFrame, threshold: int = 400, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
     """The documents with repeated bytes cut from their text; every column and row stays.
 
-    A character of which only some bytes are repeated goes with them, so the text stays valid.
-    Null text stays null.
+    With ``words``, runs of so many words that start at a second place go too, however few bytes
+    they have; words are what white space separates, and any white space between them counts as
+    equal. A character of which only some bytes are repeated goes with them, so the text stays
+    valid. Null text stays null.
     """
-    joined = _with_marks(docs, threshold, id_col, text_col).select(
-        F.col("_row"), F.when(F.col("marks").isNotNull(), F.col("_text")).alias("_text"), "marks")
+    joined = _with_marks(docs, threshold, id_col, text_col)
+    if words is None:
+        joined = joined.withColumn("_words", F.lit(None).cast("array<struct<c:bigint,lo:bigint,hi:bigint>>"))
+    else:
+        more = repeated_bundles(docs, words, id_col, text_col, WORD).select(F.col("_id").alias("_at"), F.col("marks").alias("_words"))
+        joined = joined.join(more, F.col("_id").eqNullSafe(F.col("_at")), "left")
+    joined = joined.select(F.col("_row"), F.when(F.coalesce("marks", "_words").isNotNull(), F.col("_text")).alias("_text"), "marks", "_words")
 
     def run(batches):
         for batch in batches:
             kept = []
-            for text, marks in zip(texts_of(batch), batch.column(2)):
+            for text, marks, by_word in zip(texts_of(batch), batch.column(2), batch.column(3)):
                 if text is None:
                     kept.append(None)
                     continue
                 data, parts, at = text.encode(), [], 0
-                for s, t in removed_spans(data, marks.as_py(), threshold):
+                for s, t in _merged(removed_spans(data, marks.as_py(), threshold) + (_word_spans(text, by_word.as_py(), words) if words else [])):
                     parts.append(data[at:s].decode(errors="ignore"))
                     at = t
                 parts.append(data[at:].decode(errors="ignore"))
                 kept.append("".join(parts))
-            yield pa.record_batch([batch.column(0), pa.array(kept, pa.string()), pa.array([m.is_valid for m in batch.column(2)])],
+            yield pa.record_batch([batch.column(0), pa.array(kept, pa.string()), pa.array([m.is_valid or w.is_valid for m, w in zip(batch.column(2), batch.column(3))])],
                                   ["_row", "_kept", "_cut"])
 
     out = joined.mapInArrow(run, T.StructType([
