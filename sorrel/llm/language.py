@@ -26,6 +26,8 @@ from sorrel.llm.common import texts_of
 PROFILE = 300
 #: Labelled documents that a language's profile is learned from, about as many at most.
 TRAIN_DOCS = 3000
+#: N-grams from which a text is long enough to be told from gibberish, and the share of a usual low score that it must reach.
+TELLING, LOW_SHARE = 60, 0.6
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -93,16 +95,26 @@ class Profiles:
         return self.languages[best], 1.0 - float(distance[best]) / (len(document) * self.size)
 
 
-def learn_profiles(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, size: int = PROFILE, train_docs: int = TRAIN_DOCS) -> Profiles:
-    """Profiles from rows with a language; a hash of the id picks about ``train_docs`` rows a language.
+def _sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, train_docs: int) -> DataFrame:
+    """(_lang, _text) of about ``train_docs`` rows a language, picked by a hash of the id.
 
-    What reaches the driver is ``size`` n-grams for each language.
+    The chosen ids, at most that many a language, go to the texts; no text is shuffled.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("string").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
-    per_lang = rows.groupBy("_lang").agg((F.lit(float(train_docs)) / F.count(F.lit(1))).alias("_share")).withColumnRenamed("_lang", "_of")
+    names = rows.select("_id", "_lang")
+    per_lang = names.groupBy("_lang").agg((F.lit(float(train_docs)) / F.count(F.lit(1))).alias("_share"))
     dice = F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) / 1e6
-    sample = rows.join(per_lang, F.col("_lang") == F.col("_of")).where(dice < F.col("_share")).select("_lang", "_text")
+    chosen = names.where(F.col("_id").isNotNull()).join(per_lang, "_lang").where(dice < F.col("_share")).select("_id", "_lang").distinct()
+    return rows.join(F.broadcast(chosen), ["_id", "_lang"], "left_semi").select("_lang", "_text")
+
+
+def learn_profiles(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, size: int = PROFILE, train_docs: int = TRAIN_DOCS) -> Profiles:
+    """Profiles from rows with a language; a hash of the id picks about ``train_docs`` rows a language.
+
+    What reaches the driver is ``size`` n-grams for each language.
+    """
+    sample = _sample(labelled, id_col, text_col, lang_col, train_docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = _Grams()
@@ -149,21 +161,35 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.05, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def _as_rows(profiles: Profiles, texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """(score, grams) of texts: how well the nearest language fits, and how many n-grams tell it."""
+    grams = _Grams()
+    for batch in texts:
+        ranks = [ranked(gram_counts(t.as_py(), grams)) for t in batch]
+        yield pa.StructArray.from_arrays([pa.array([profiles.nearest(r)[1] for r in ranks], pa.float64()), pa.array([len(r) for r in ranks], pa.int32())],
+                                         ["score", "grams"])
+
+
+def keep_identified(docs: DataFrame, min_score: float | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                    train_docs: int = TRAIN_DOCS) -> DataFrame:
     """The documents that read as one of the languages of the corpus; every column stays.
 
-    A document goes if it has no letter, or if its n-grams lie so far out of place in every
-    language (score below ``min_score``, where 0 means none is listed) that it reads as none.
+    A document goes if it has no letter, or if it has ``TELLING`` n-grams at least and they lie so far
+    out of place in every language that its score is below ``min_score``. Unless given, that is
+    ``LOW_SHARE`` of the score that all but a hundredth of the sample reach which the profiles are learned from.
     """
     training = docs.where(~held_out(id_col) & F.col(id_col).isNotNull())
-    profiles = learn_profiles(training, id_col, text_col, lang_col)
-    base = docs.select(F.col(text_col).cast("string").alias("_text"), F.struct(*docs.columns).alias("_row"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = _Grams()
-        for batch in batches:
-            found = [profiles.nearest(ranked(gram_counts(t, grams))) for t in texts_of(batch)]
-            yield pa.record_batch([batch.column(1)], ["_row"]).filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found]))
-
-    kept = base.mapInArrow(run, T.StructType([T.StructField("_row", base.schema["_row"].dataType)]))
-    return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    profiles = learn_profiles(training, id_col, text_col, lang_col, train_docs=train_docs)
+
+    def judged(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _as_rows(profiles, texts)
+
+    fit = F.arrow_udf(judged, "score double, grams int")
+    if min_score is None:
+        known = _sample(training, id_col, text_col, lang_col, train_docs).select(fit("_text").alias("_fit")).where(F.col("_fit.grams") >= TELLING)
+        low = known.agg(F.percentile_approx("_fit.score", 0.01, 10_000)).first()[0]
+        min_score = LOW_SHARE * (low or 0.0)
+    text = F.col(text_col).cast("string")
+    found = docs.withColumn("_fit_of_text", fit(text))
+    told = (F.col("_fit_of_text.grams") > 0) & (F.col("_fit_of_text.score") > 0.0)
+    return found.where(told & ((F.col("_fit_of_text.grams") < TELLING) | (F.col("_fit_of_text.score") >= min_score))).select(*docs.columns)

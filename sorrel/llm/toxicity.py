@@ -194,13 +194,11 @@ def severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text", reject: float = REJECT) -> DataFrame:
     """The documents below ``reject``; every column and repeated row stays."""
-    base = docs.select(F.col(text_col).cast("string").alias("_text"), F.struct(*docs.columns).alias("_row"))
     weights, thresholds = model.weights, model.thresholds
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = OrdinalModel(weights, thresholds)
-        for batch in batches:
-            yield pa.record_batch([batch.column(1)], ["_row"]).filter(pa.array([own.severity(t)[0] < reject for t in texts_of(batch)], pa.bool_()))
+        for batch in texts:
+            yield pa.array([own.severity(t.as_py())[0] < reject for t in batch], pa.bool_())
 
-    kept = base.mapInArrow(run, T.StructType([T.StructField("_row", base.schema["_row"].dataType)]))
-    return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    return docs.where(F.arrow_udf(clean, "boolean")(F.col(text_col).cast("string")))
