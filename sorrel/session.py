@@ -31,17 +31,27 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, owned: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
     Later stages neither recompute the input nor see it differently, a lost executor costs
-    nothing that was written, and column pruning still works on what is read back.
+    nothing that was written, and column pruning still works on what is read back. The path is
+    added to ``owned``, for ``drop_tables`` once nothing reads the table any more.
     """
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
+    if owned is not None:
+        owned.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, owned: list[str]) -> None:
+    """Remove tables that ``cut`` has written and that only finished steps have read."""
+    while owned:
+        p = spark._jvm.org.apache.hadoop.fs.Path(owned.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a table folder is there, on whatever file system the path names."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
