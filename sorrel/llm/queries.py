@@ -129,13 +129,21 @@ r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY k) AS
 g AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (
   SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400 THEN 0 ELSE 1 END AS fresh FROM r)),
 s AS (SELECT doc_id, run, min(p) AS a, max(p) + 400 AS b FROM g GROUP BY doc_id, run),
-l AS (SELECT doc_id, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
-SELECT d.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+l AS (SELECT doc_id, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id),
+x AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS words, regexp_extract_all(text, '\\S+\\s*') AS spaced FROM documents WHERE text IS NOT NULL),
+xw AS (SELECT doc_id, p, md5(array_to_string(words[p + 1:p + 51], ' ')) AS k FROM (SELECT *, unnest(range(len(words) - 50)) AS p FROM x WHERE len(words) > 50)),
+xr AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY k) AS n FROM xw) WHERE n > 1),
+xg AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (
+  SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 51 THEN 0 ELSE 1 END AS fresh FROM xr)),
+xs AS (SELECT doc_id, min(p) AS a, max(p) + 51 AS b FROM xg GROUP BY doc_id, run),
+xl AS (SELECT doc_id, count(*) AS n_passages, sum(list_sum(list_transform(spaced[a + 1:b - 1], lambda u: strlen(u))) + strlen(words[b]))::BIGINT AS passage_bytes
+  FROM xs JOIN x USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_passages, 0) AS n_passages, coalesce(passage_bytes, 0) AS passage_bytes, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
   sha256(unhex(CASE WHEN starts IS NULL THEN h ELSE array_to_string(list_transform(range(len(starts) + 1), lambda i: substr(h,
     2 * CASE WHEN i = 0 THEN 0 ELSE ends[i] END + 1, 2 * (CASE WHEN i = len(starts) THEN n_bytes ELSE starts[i + 1] END - CASE WHEN i = 0 THEN 0 ELSE ends[i] END))), '') END)) AS kept_sha256
-FROM d LEFT JOIN l USING (doc_id)""")
+FROM d LEFT JOIN l USING (doc_id) LEFT JOIN xl USING (doc_id)""")
 def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.removal_report(read_table(spark, sf_dir, "documents"), threshold=400)
+    return repeats.removal_report(read_table(spark, sf_dir, "documents"), threshold=400, words=51)
 
 
 @query("op11_residue_negatives", """

@@ -31,12 +31,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sorrel.llm.common import id_text, texts_of
-from sorrel.session import cut
+from sorrel.llm.common import texts_of
+from sorrel.session import cut, drop_tables
 
 #: Surroundings of one anchor (about 500 bytes each) above which its windows are counted as rows
 #: instead of in a packet: a megabyte of them.
@@ -211,13 +211,19 @@ def _open_rows(threshold: int, width: int):
     return run
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A key of id and text: rows under one id or a null id are told apart, equal rows are marked alike."""
+    return F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
+
+
 def repeated_bundles(docs: DataFrame, threshold: int, id_col: str = "doc_id", text_col: str = "text", width: int = BYTE) -> DataFrame:
     """(_id, marks): for each document with repeated windows, array of (c, lo, hi).
 
-    ``c`` names a bundle of the document; windows lo..hi of it are repeated, all of them when
-    lo is -1. Documents without repeated windows have no row.
+    ``_id`` is ``row_key`` of the document. ``c`` names a bundle of it; windows lo..hi of the bundle
+    are repeated, all of them when lo is -1. Documents without repeated windows have no row.
     """
-    base = id_text(docs, id_col, text_col)
+    spark, owned = docs.sparkSession, []
+    base = docs.select(row_key(id_col, text_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     ident = base.schema["_id"].dataType
 
     def shape(*more: T.StructField) -> T.StructType:
@@ -226,20 +232,20 @@ def repeated_bundles(docs: DataFrame, threshold: int, id_col: str = "doc_id", te
     def longs(*names: str) -> list[T.StructField]:
         return [T.StructField(n, T.LongType()) for n in names]
 
-    rows = cut(base.mapInArrow(_digit_rows(threshold, width), shape(*longs("h", "c", "n"))))
+    rows = cut(base.mapInArrow(_digit_rows(threshold, width), shape(*longs("h", "c", "n"))), owned)
     packets = 1 + rows.count() // ROWS_PER_PACKET
     first = rows.groupBy("h").agg(F.sum("n").alias("total"), (F.min("c") != F.max("c")).alias("differ")).where(F.col("total") > 1)
     met = rows.join(first.select("h", "differ"), "h")
     differing = met.where("differ")
-    second = cut(differing.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min("_id").alias("_id")))
+    second = cut(differing.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min("_id").alias("_id")), owned)
     whole = met.where(~F.col("differ")).select("_id", "c").unionByName(
         differing.join(second.where(F.col("n") > 1).select("h", "c"), ["h", "c"]).select("_id", "c"))
 
-    needed = second.groupBy("_id").agg(F.collect_list("c").alias("_need")).withColumnRenamed("_id", "_rep")
-    opened = base.join(needed, F.col("_id").eqNullSafe(F.col("_rep"))).select("_id", "_text", "_need").mapInArrow(
+    needed = second.groupBy("_id").agg(F.collect_set("c").alias("_need")).withColumnRenamed("_id", "_rep")
+    opened = base.join(needed, F.col("_id") == F.col("_rep")).select("_id", "_text", "_need").mapInArrow(
         _surroundings(threshold, width), shape(*longs("h", "c", "at"), T.StructField("body", T.BinaryType())))
     many = second.groupBy("h").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > OPEN_AS_ROWS).select("h", F.lit(True).alias("_many"))
-    opened = cut(opened.join(many, "h", "left").select("_id", "h", "c", "at", "body", F.coalesce("_many", F.lit(False)).alias("_many")))
+    opened = cut(opened.join(many, "h", "left").select("_id", "h", "c", "at", "body", F.coalesce("_many", F.lit(False)).alias("_many")), owned)
     marks = shape(*longs("c", "lo", "hi"))
     packed = opened.where(~F.col("_many")).select("_id", "h", "c", "at", "body").withColumn(
         "_packet", F.pmod(F.xxhash64("h"), F.lit(packets))).groupBy("_packet").applyInArrow(_open_packet(threshold, width), marks)
@@ -248,7 +254,9 @@ def repeated_bundles(docs: DataFrame, threshold: int, id_col: str = "doc_id", te
     twice = windows.groupBy("h", "o", "w").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("h", "o", "w")
     by_row = windows.join(twice, ["h", "o", "w"]).select("_id", "c", "lo", F.col("lo").alias("hi"))
     found = whole.select("_id", "c", F.lit(-1).cast("long").alias("lo"), F.lit(-1).cast("long").alias("hi")).unionByName(packed).unionByName(by_row)
-    return found.groupBy("_id").agg(F.collect_list(F.struct("c", "lo", "hi")).alias("marks"))
+    marked = cut(found.groupBy("_id").agg(F.collect_set(F.struct("c", "lo", "hi")).alias("marks")))
+    drop_tables(spark, owned)
+    return marked
 
 
 def removed_spans(data: bytes, marks: list, threshold: int, width: int = BYTE) -> list[tuple[int, int]]:
@@ -270,25 +278,32 @@ def removed_spans(data: bytes, marks: list, threshold: int, width: int = BYTE) -
     return [(s, t) for s, t in spans]
 
 
-def _with_marks(docs: DataFrame, threshold: int, id_col: str, text_col: str) -> DataFrame:
+def _with_marks(docs: DataFrame, threshold: int, id_col: str, text_col: str, words: int | None) -> DataFrame:
+    """(_key, _id, _text, _row, marks, _words): the marks of byte windows, and of word windows where ``words`` asks for them."""
     found = repeated_bundles(docs, threshold, id_col, text_col).select(F.col("_id").alias("_found"), "marks")
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.struct(*docs.columns).alias("_row")).join(
-        found, F.col("_id").eqNullSafe(F.col("_found")), "left")
+    joined = docs.select(row_key(id_col, text_col).alias("_key"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"),
+                         F.struct(*docs.columns).alias("_row")).join(found, F.col("_key") == F.col("_found"), "left")
+    if words is None:
+        return joined.withColumn("_words", F.lit(None).cast("array<struct<c:bigint,lo:bigint,hi:bigint>>"))
+    more = repeated_bundles(docs, words, id_col, text_col, WORD).select(F.col("_id").alias("_at"), F.col("marks").alias("_words"))
+    return joined.join(more, F.col("_key") == F.col("_at"), "left")
 
 
-def removal_report(docs: DataFrame, threshold: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) per document.
+def removal_report(docs: DataFrame, threshold: int = 400, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) per document, and (n_passages, passage_bytes) with ``words``.
 
+    The last two count the maximal runs of repeated windows of so many words, whatever their bytes,
+    and the bytes from their first word to their last; the first five do not depend on them.
     Null text counts as empty; texts below ``threshold`` bytes are never touched. Repeated rows
     count as places of their own, also under one id or a null id. An empty table gives an empty
     result.
     """
-    joined = _with_marks(docs, threshold, id_col, text_col).select("_id", "_text", "marks")
+    joined = _with_marks(docs, threshold, id_col, text_col, words).select("_id", "_text", "marks", "_words")
 
     def run(batches):
         for batch in batches:
-            n, removed, spans, sha = [], [], [], []
-            for text, marks in zip(texts_of(batch), batch.column(2)):
+            n, removed, spans, sha, passages, passage_bytes = [], [], [], [], [], []
+            for text, marks, by_word in zip(texts_of(batch), batch.column(2), batch.column(3)):
                 data = (text or "").encode()
                 cuts = removed_spans(data, marks.as_py(), threshold)
                 digest, at = hashlib.sha256(), 0
@@ -300,12 +315,16 @@ def removal_report(docs: DataFrame, threshold: int = 400, id_col: str = "doc_id"
                 removed.append(sum(t - s for s, t in cuts))
                 spans.append(len(cuts))
                 sha.append(digest.hexdigest())
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()),
-                                   pa.array(sha, pa.string())], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                found = _word_spans(text, by_word.as_py(), words) if by_word.is_valid else []
+                passages.append(len(found))
+                passage_bytes.append(sum(t - s for s, t in found))
+            columns = [*(pa.array(c, pa.int64()) for c in (n, removed, spans)), pa.array(sha, pa.string()), *(pa.array(c, pa.int64()) for c in (passages, passage_bytes))]
+            yield pa.record_batch([batch.column(0), *columns], [id_col, *names])
 
-    return joined.mapInArrow(run, T.StructType([
-        T.StructField(id_col, joined.schema["_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
-        T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]))
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes"]
+    out = joined.mapInArrow(run, T.StructType([T.StructField(id_col, joined.schema["_id"].dataType), *(
+        T.StructField(c, T.StringType() if c == "kept_sha256" else T.LongType()) for c in names)]))
+    return out if words else out.drop("n_passages", "passage_bytes")
 
 
 def _word_spans(text: str, marks: list, words: int) -> list[tuple[int, int]]:
@@ -338,12 +357,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, id_col: str = "doc_id"
     equal. A character of which only some bytes are repeated goes with them, so the text stays
     valid. Null text stays null.
     """
-    joined = _with_marks(docs, threshold, id_col, text_col)
-    if words is None:
-        joined = joined.withColumn("_words", F.lit(None).cast("array<struct<c:bigint,lo:bigint,hi:bigint>>"))
-    else:
-        more = repeated_bundles(docs, words, id_col, text_col, WORD).select(F.col("_id").alias("_at"), F.col("marks").alias("_words"))
-        joined = joined.join(more, F.col("_id").eqNullSafe(F.col("_at")), "left")
+    joined = _with_marks(docs, threshold, id_col, text_col, words)
     joined = joined.select(F.col("_row"), F.when(F.coalesce("marks", "_words").isNotNull(), F.col("_text")).alias("_text"), "marks", "_words")
 
     def run(batches):

@@ -1,3 +1,5 @@
+import base64
+import random
 import zlib
 from collections import Counter
 
@@ -62,3 +64,15 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 3
     assert language.predict(docs.limit(0)).count() == 0
     assert {r["lang_pred"] for r in language.predict(docs.withColumn("lang", docs["lang"].substr(9, 1)).where("false").unionByName(docs.where("lang IS NULL"))).collect()} == {"und"}
+
+
+def test_gibberish_and_an_unlearned_language_go(spark):
+    dice = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    letters = lambda n: " ".join("".join(dice.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(dice.randint(2, 9))) for _ in range(n))
+    odd = {-1: letters(60), -2: base64.b64encode(dice.randbytes(600)).decode(), -3: "Это предложение написано по-русски и должно исчезнуть.",
+           -4: "Wszystkie dzieci w szkole uczyły się wczoraj nowych słów, a potem poszły do domu przez park, gdzie rosły stare drzewa i kwiaty, "
+               "bo chciały jeszcze chwilę pobawić się na świeżym powietrzu przed kolacją", -5: None, -6: "12 34"}
+    more = spark.createDataFrame(list(odd.items()), "doc_id long, text string").selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")
+    kept = {r["doc_id"] for r in language.keep_identified(docs.unionByName(more)).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()}

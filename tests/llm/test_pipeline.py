@@ -2,9 +2,9 @@ import collections
 
 import numpy as np
 import public_tokenizers
-import xxhash
 from test_language import plain_rank
-from test_simhash import plain_fingerprint
+from test_near_copies import stays
+from test_word_passages import brute_cut
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -18,40 +18,6 @@ def table(df):
     return {r["doc_id"]: r.asDict() for r in df.collect()}
 
 
-def brute_links(fp):
-    root = {i: i for i in fp}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    ids = sorted(fp)
-    for a in ids:
-        for b in ids:
-            if a < b and (fp[a] ^ fp[b]).bit_count() <= 3:
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return {i: find(i) for i in ids}
-
-
-def brute_cut(texts, threshold):
-    data = {i: t.encode() for i, t in texts.items()}
-    windows = lambda d: (xxhash.xxh3_128_intdigest(d[p:p + threshold]) for p in range(len(d) - threshold + 1))
-    seen = collections.Counter(h for d in data.values() for h in windows(d))
-    out = {}
-    for i, d in data.items():
-        gone = np.zeros(len(d) + 1, int)
-        for p, h in enumerate(windows(d)):
-            if seen[h] > 1:
-                gone[p] += 1
-                gone[p + threshold] -= 1
-        gone = np.cumsum(gone)[:len(d)] > 0
-        edges = np.flatnonzero(np.diff(np.r_[True, gone, True]))
-        out[i] = "".join(d[s:e].decode(errors="ignore") for s, e in zip(edges[::2], edges[1::2]))
-    return out
-
-
 def test_every_stage_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").cache()
     rows = table(docs)
@@ -67,11 +33,11 @@ def test_every_stage_against_brute_force(spark):
     assert read.columns == docs.columns and table(read) == {i: r for i, r in rows.items() if plain_rank(r["text"])}
 
     single = steps["simhash_near_dedup"](spark, docs, SF)
-    roots = brute_links({i: plain_fingerprint(r["text"]) for i, r in rows.items()})
-    assert single.columns == docs.columns and table(single) == {i: r for i, r in rows.items() if roots[i] == i}
+    lead = stays({i: r["text"] for i, r in rows.items()})
+    assert single.columns == docs.columns and table(single) == {i: r for i, r in rows.items() if i in lead}
 
     cut = steps["suffix_array_dedup"](spark, docs, SF)
-    want = brute_cut({i: r["text"] for i, r in rows.items()}, 400)
+    want = brute_cut({i: r["text"] for i, r in rows.items()}, 400, 51)
     got = table(cut)
     assert cut.columns == docs.columns and {i: r["text"] for i, r in got.items()} == want
     assert all(r["n_chars"] == len(r["text"]) for r in got.values()) and want != {i: r["text"] for i, r in rows.items()}
