@@ -4,7 +4,13 @@ Rows of a group are hashed into blocks of bounded size; every (query block, corp
 block) pair of a group is one cogrouped Arrow task. A task emits its exact local
 answer (k hits per query, a count per query, or a spanning forest), never the pairs,
 so a group holding most rows only means more tasks. Filters and group restrictions
-apply before blocking. The work stays quadratic inside a group, as exact search is.
+apply before blocking.
+
+A side of more rows than one block is first cut around pivots (``blocks``). A query goes to its
+most promising blocks, and with the score of its k-th hit there only to the blocks that can
+hold a better one; a threshold search compares only the pairs of blocks that can reach the
+threshold. On clustered vectors a row is thus shipped a few times however many rows there are;
+where vectors have no structure nothing can be ruled out, and exact search is quadratic.
 """
 
 from __future__ import annotations
@@ -16,40 +22,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sorrel.functions.vectors import as_vector
+from sorrel.operators.blocks import Blocks, codes, matrix, nearest_first, reaching
+from sorrel.session import cut
 
 _CHUNK = 256
 
 
-def _matrix(table: pa.Table, name: str) -> np.ndarray:
-    """The vectors of a column as rows; unequal lengths and non-finite components are errors."""
-    col = table.column(name).combine_chunks()
-    if not len(col):
-        return np.zeros((0, 0))
-    widths = np.unique(np.asarray(col.value_lengths()))
-    if len(widths) > 1:
-        raise ValueError(f"vectors of {widths[0]} to {widths[-1]} components")
-    flat = col.flatten().to_numpy(zero_copy_only=False)
-    if not np.isfinite(flat).all():
-        raise ValueError("a vector has a component that is no finite number")
-    return flat.reshape(len(col), -1)
-
-
 def _slack(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Per query, a bound of how far a block product can be from the sequential sum."""
     longest = np.sqrt((c * c).sum(axis=1)).max(initial=0.0)
     return 16 * q.shape[1] * np.finfo(float).eps * longest * np.sqrt((q * q).sum(axis=1)) + np.finfo(float).tiny
 
 
-def _codes(a: pa.ChunkedArray, b: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Integer codes for two columns over one dictionary; NULL never equals anything."""
-    both = pa.chunked_array(list(a.chunks) + list(b.chunks), type=a.type).combine_chunks().dictionary_encode()
-    idx = both.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-    left, right = idx[: len(a)].copy(), idx[len(a):].copy()
-    left[left < 0] = -1
-    right[right < 0] = -2
-    return left, right
-
-
 def _sequential_dot(q: np.ndarray, c: np.ndarray, qi: np.ndarray, ci: np.ndarray) -> np.ndarray:
     """Same order of additions as the column dot, hence the same last bit."""
     acc = np.zeros(len(qi))
@@ -80,12 +64,12 @@ def _masked_scores(q, c, qcode, ccode, lo):
 def _topk_kernel(k: int, cap: int | None):
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("_cid")
-        q, c = _matrix(left, "_qvec"), _matrix(right, "_cvec")
+        q, c = matrix(left, "_qvec"), matrix(right, "_cvec")
         schema = pa.schema([left.schema.field("_qid"), right.schema.field("_cid"),
                             right.schema.field("_ctag"), pa.field("_score", pa.float64())])
         if not len(q) or not len(c):
             return schema.empty_table()
-        qcode, ccode = _codes(left.column("_qtag"), right.column("_ctag"))
+        qcode, ccode = codes(left.column("_qtag"), right.column("_ctag"))
         slack = _slack(q, c)
         by_tag = np.argsort(ccode, kind="stable")
         starts = np.flatnonzero(np.r_[True, ccode[by_tag][1:] != ccode[by_tag][:-1]])
@@ -121,11 +105,11 @@ def _topk_kernel(k: int, cap: int | None):
 def _above_kernel(left: pa.Table, right: pa.Table) -> pa.Table:
     """Per query, how many corpus rows rank before its (score, id) mark."""
     right = right.sort_by("_cid")
-    q, c = _matrix(left, "_qvec"), _matrix(right, "_cvec")
+    q, c = matrix(left, "_qvec"), matrix(right, "_cvec")
     schema = pa.schema([left.schema.field("_qid"), pa.field("_above", pa.int64())])
     if not len(q) or not len(c):
         return schema.empty_table()
-    qcode, ccode = _codes(left.column("_qtag"), right.column("_ctag"))
+    qcode, ccode = codes(left.column("_qtag"), right.column("_ctag"))
     mark = left.column("_mark").to_numpy()
     mark_id = left.column("_mark_id").to_numpy()
     cid = right.column("_cid").to_numpy()
@@ -145,7 +129,7 @@ def _above_kernel(left: pa.Table, right: pa.Table) -> pa.Table:
 
 def _forest_kernel(threshold: float):
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, c = _matrix(left, "_qvec"), _matrix(right, "_cvec")
+        q, c = matrix(left, "_qvec"), matrix(right, "_cvec")
         schema = pa.schema([pa.field("u", pa.int64()), pa.field("v", pa.int64())])
         if not len(q) or not len(c):
             return schema.empty_table()
@@ -203,6 +187,14 @@ def _side(df: DataFrame, prefix: str, ident: str, vec: str, tag: str | None, gro
         F.col("_g").isNotNull() & F.col(f"_{prefix}vec").isNotNull())
 
 
+def _best(hits: DataFrame, k: int, cap: int | None) -> DataFrame:
+    """The k best hits of each query, at most ``cap`` of one tag, with their rank from 1."""
+    best = [F.col("_score").desc(), F.col("_cid").asc()]
+    if cap is not None:
+        hits = hits.withColumn("_in", F.row_number().over(Window.partitionBy("_qid", "_ctag").orderBy(*best))).where(F.col("_in") <= cap).drop("_in")
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("_qid").orderBy(*best))).where(F.col("rank") <= k)
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "query_id", doc_id: str = "doc_id",
           vec: str = "vec", tag: str | None = None, cap: int | None = None, group: str | None = None,
           block_rows: int = 4096) -> DataFrame:
@@ -218,13 +210,16 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "que
     schema = T.StructType([
         T.StructField("_qid", queries.schema[query_id].dataType), T.StructField("_cid", corpus.schema[doc_id].dataType),
         T.StructField("_ctag", T.StringType()), T.StructField("_score", T.DoubleType())])
-    hits = _cogrouped(q, c, _topk_kernel(k, cap), schema, block_rows, group is None)
-    best = [F.col("_score").desc(), F.col("_cid").asc()]
-    if cap is not None:
-        hits = hits.withColumn("_in", F.row_number().over(
-            Window.partitionBy("_qid", "_ctag").orderBy(*best))).where(F.col("_in") <= cap)
-    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("_qid").orderBy(*best))).where(
-        F.col("rank") <= k)
+    kernel, n = _topk_kernel(k, cap), c.count()
+    if n <= block_rows:
+        hits = _best(_cogrouped(q, c, kernel, schema, block_rows, group is None), k, cap)
+    else:
+        q, blocks = cut(q), Blocks(c, n, block_rows, group is not None)
+        rows, near = blocks.keyed(), nearest_first(k)
+        first = cut(_best(_cogrouped(blocks.route(q, block_rows, near), rows, kernel, schema, block_rows, False), k, cap).drop("rank"))
+        least = first.groupBy("_qid").agg(F.count(F.lit(1)).alias("_k"), F.min("_score").alias("_least")).where(F.col("_k") >= k).select("_qid", "_least")
+        later = blocks.route(q.join(least, "_qid", "left"), block_rows, reaching("_least", near)).drop("_least")
+        hits = _best(first.unionByName(_cogrouped(later, rows, kernel, schema, block_rows, False)), k, cap)
     cols = [F.col("_qid").alias(query_id), F.col("_cid").alias(doc_id)]
     if tag:
         cols.append(F.col("_ctag").alias("doc_tag"))
@@ -238,7 +233,14 @@ def count_above(queries: DataFrame, corpus: DataFrame, mark: str, mark_id: str,
     q = _side(queries, "q", query_id, vec, tag, group, F.col(mark).alias("_mark"), F.col(mark_id).alias("_mark_id"))
     c = _side(corpus, "c", doc_id, vec, tag, group)
     schema = T.StructType([T.StructField("_qid", queries.schema[query_id].dataType), T.StructField("_above", T.LongType())])
-    counts = _cogrouped(q, c, _above_kernel, schema, block_rows, group is None)
+    n = c.count()
+    if n <= block_rows:
+        counts = _cogrouped(q, c, _above_kernel, schema, block_rows, group is None)
+    else:
+        q, blocks = cut(q), Blocks(c, n, block_rows, group is not None)
+        sent = blocks.route(q, block_rows, reaching("_mark"))
+        none = q.join(blocks.meta.select("_g").distinct(), "_g", "left_semi").select("_qid", F.lit(0).cast("long").alias("_above"))
+        counts = _cogrouped(sent, blocks.keyed(), _above_kernel, schema, block_rows, False).unionByName(none)
     return counts.groupBy(F.col("_qid").alias(query_id)).agg(F.sum("_above").alias("n_above"))
 
 
@@ -251,4 +253,12 @@ def threshold_forest(items: DataFrame, threshold: float, *, ident: str = "id", v
     """
     q = _side(items, "q", ident, vec, None, group).withColumn("_qid", F.col("_qid").cast("long"))
     c = _side(items, "c", ident, vec, None, group).withColumn("_cid", F.col("_cid").cast("long"))
-    return _cogrouped(q, c, _forest_kernel(threshold), "u long, v long", block_rows, group is None).distinct()
+    n = c.count()
+    if n <= block_rows:
+        return _cogrouped(q, c, _forest_kernel(threshold), "u long, v long", block_rows, group is None).distinct()
+    blocks = Blocks(c, n, block_rows, group is not None)
+    pairs, key = blocks.close_pairs(threshold), F.struct("_g", "_b1", "_b2").alias("_g")
+    rows = blocks.rows.drop("_away")
+    one = rows.withColumnRenamed("_b", "_b1").join(pairs, ["_g", "_b1"]).select(key, F.col("_cid").alias("_qid"), F.col("_cvec").alias("_qvec"))
+    other = rows.withColumnRenamed("_b", "_b2").join(pairs, ["_g", "_b2"]).select(key, "_cid", "_cvec")
+    return _cogrouped(one, other, _forest_kernel(threshold), "u long, v long", block_rows, False).distinct()
