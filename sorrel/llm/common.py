@@ -27,3 +27,14 @@ def texts_of(batch: pa.RecordBatch, name: str = "_text") -> Iterator[str | None]
 def signed(values):
     """Unsigned 64-bit numbers as the longs that Spark stores."""
     return values.astype("uint64").view("int64")
+
+
+#: Rows of a slice: what a worker builds for its output at once.
+SLICE = 256
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that results of long texts do not pile up in a worker."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE):
+            yield batch.slice(lo, SLICE)

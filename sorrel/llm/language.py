@@ -161,7 +161,7 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
-def _as_rows(profiles: Profiles, texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _fits(profiles: Profiles, texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """(score, grams) of texts: how well the nearest language fits, and how many n-grams tell it."""
     grams = _Grams()
     for batch in texts:
@@ -181,15 +181,19 @@ def keep_identified(docs: DataFrame, min_score: float | None = None, id_col: str
     training = docs.where(~held_out(id_col) & F.col(id_col).isNotNull())
     profiles = learn_profiles(training, id_col, text_col, lang_col, train_docs=train_docs)
 
-    def judged(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from _as_rows(profiles, texts)
-
-    fit = F.arrow_udf(judged, "score double, grams int")
     if min_score is None:
+        def judged(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            yield from _fits(profiles, texts)
+
+        fit = F.arrow_udf(judged, "struct<score: double, grams: int>")
         known = _sample(training, id_col, text_col, lang_col, train_docs).select(fit("_text").alias("_fit")).where(F.col("_fit.grams") >= TELLING)
         low = known.agg(F.percentile_approx("_fit.score", 0.01, 10_000)).first()[0]
         min_score = LOW_SHARE * (low or 0.0)
-    text = F.col(text_col).cast("string")
-    found = docs.withColumn("_fit_of_text", fit(text))
-    told = (F.col("_fit_of_text.grams") > 0) & (F.col("_fit_of_text.score") > 0.0)
-    return found.where(told & ((F.col("_fit_of_text.grams") < TELLING) | (F.col("_fit_of_text.score") >= min_score))).select(*docs.columns)
+
+    def told(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for fits in _fits(profiles, texts):
+            score, grams = (fits.field(i).to_numpy() for i in range(2))
+            yield pa.array((grams > 0) & (score > 0.0) & ((grams < TELLING) | (score >= min_score)))
+
+    # one boolean, used once: a struct read in several places would be computed in each
+    return docs.where(F.arrow_udf(told, "boolean")(F.col(text_col).cast("string")))

@@ -54,11 +54,26 @@ BYTE, WORD = 1, 8
 _SPACED = re.compile(r"\S+")
 
 
+class _Digests(dict):
+    """Digests of words; frequent ones are remembered within a bound."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= 1 << 17:
+            self.clear()
+        found = xxhash.xxh64_digest(word.encode())
+        if len(word) < 64:
+            self[word] = found
+        return found
+
+
+_word_digests = _Digests()
+
+
 def encoded(text: str | None, width: int = BYTE) -> bytes:
     """The text's bytes, or eight bytes for each of its words."""
     if width == BYTE:
         return (text or "").encode()
-    return b"".join(xxhash.xxh64_digest(w.encode()) for w in _SPACED.findall(text or ""))
+    return b"".join(map(_word_digests.__getitem__, (text or "").split()))
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -358,26 +373,26 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, id_col: str = "doc_id"
     valid. Null text stays null.
     """
     joined = _with_marks(docs, threshold, id_col, text_col, words)
-    joined = joined.select(F.col("_row"), F.when(F.coalesce("marks", "_words").isNotNull(), F.col("_text")).alias("_text"), "marks", "_words")
+    marked = F.coalesce("marks", "_words").isNotNull()
 
-    def run(batches):
-        for batch in batches:
-            kept = []
-            for text, marks, by_word in zip(texts_of(batch), batch.column(2), batch.column(3)):
+    def kept(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for texts, by_byte, by_word in columns:
+            out = []
+            for text, marks, runs in zip(texts, by_byte, by_word):
+                text = text.as_py()
                 if text is None:
-                    kept.append(None)
+                    out.append(None)
                     continue
                 data, parts, at = text.encode(), [], 0
-                for s, t in _merged(removed_spans(data, marks.as_py(), threshold) + (_word_spans(text, by_word.as_py(), words) if words else [])):
+                for s, t in _merged(removed_spans(data, marks.as_py(), threshold) + (_word_spans(text, runs.as_py(), words) if words else [])):
                     parts.append(data[at:s].decode(errors="ignore"))
                     at = t
                 parts.append(data[at:].decode(errors="ignore"))
-                kept.append("".join(parts))
-            yield pa.record_batch([batch.column(0), pa.array(kept, pa.string()), pa.array([m.is_valid or w.is_valid for m, w in zip(batch.column(2), batch.column(3))])],
-                                  ["_row", "_kept", "_cut"])
+                out.append("".join(parts))
+            yield pa.array(out, pa.string())
 
-    out = joined.mapInArrow(run, T.StructType([
-        T.StructField("_row", joined.schema["_row"].dataType), T.StructField("_kept", T.StringType()), T.StructField("_cut", T.BooleanType())]))
+    left = F.arrow_udf(kept, "string")(F.when(marked, F.col("_text")), F.col("marks"), F.col("_words"))
+    out = joined.select("_row", marked.alias("_cut"), left.alias("_kept"))
     return out.select(*[
         F.when(F.col("_cut"), F.col("_kept")).otherwise(F.col("_row")[c].cast("string")).alias(c) if c == text_col else F.col("_row")[c].alias(c)
         for c in docs.columns])
