@@ -15,7 +15,7 @@ from sorrel.session import cut
 def vector_mean(df: DataFrame, keys: Sequence[str], vec: str = "vec", out: str = "mean", dim: int | None = None) -> DataFrame:
     """Component-wise mean per key, one partial sum per component; NULL vectors take no part.
 
-    ``dim`` is looked up over all rows unless given. A vector of another length is an error.
+    A key without any vector has a NULL mean. ``dim`` is looked up over all rows unless given. A vector of another length is an error.
     """
     keys = list(keys)
     if dim is None:
@@ -24,12 +24,12 @@ def vector_mean(df: DataFrame, keys: Sequence[str], vec: str = "vec", out: str =
             raise ValueError(f"vectors of {low} to {high} components")
         dim = high or 0
     if dim == 0:
-        return df.groupBy(*keys).agg(F.array().cast("array<double>").alias(out))
+        return df.groupBy(*keys).agg(F.first(F.lit(None).cast("array<double>")).alias(out))
     checked = F.when(F.col(vec).isNull() | (F.size(vec) == dim), F.col(vec)).otherwise(
         F.raise_error(F.lit(f"a vector does not have {dim} components")).cast("array<double>"))
     parts = df.select(*keys, checked.alias("_vec")).groupBy(*keys).agg(
         *[F.avg(F.get(F.col("_vec"), F.lit(i)).cast("double")).alias(f"_{i}") for i in range(dim)])
-    return parts.select(*keys, F.array(*[F.col(f"_{i}") for i in range(dim)]).alias(out))
+    return parts.select(*keys, F.when(F.col("_0").isNotNull(), F.array(*[F.col(f"_{i}") for i in range(dim)])).alias(out))
 
 
 def centroids(df: DataFrame, keys: Sequence[str], vec: str = "vec", out: str = "centroid", dim: int | None = None) -> DataFrame:
