@@ -172,7 +172,7 @@ def reliability_sweep(spark, sf):
 def bootstrap_ci(spark, sf):
     """Percentile interval of the mean delta per stratum, with both verdicts."""
     c = with_stratum(spark, sf, cells(spark, sf)).withColumn("delta", F.col("delta") / 100)
-    ci = paired.bootstrap_ci(c, ["stratum"], "delta", n_boot=2000, ident="unit")
+    ci = paired.bootstrap_ci(c, ["stratum"], "delta", ident="unit")
     return ci.select("stratum", big("n").alias("n"), r("mean").alias("mean"), r("ci_low", 4).alias("ci_low"), r("ci_high", 4).alias("ci_high"),
                      paired.harm_verdict("ci_low", "ci_high").alias("harm"), paired.gain_verdict("mean", "ci_low", "ci_high").alias("gain"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sorrel.catalog.base import ITEMS, big, items, pool_side, queries_side, query, r
 from sorrel.functions.vectors import dot, norm, reference_weights, unit
-from sorrel.operators import groups, sampling, selection
+from sorrel.operators import density, groups, sampling, selection
 from sorrel.operators.similarity import top_k
 
 _PAIRS = """pairs AS (SELECT a.id AS query_id, b.id AS doc_id, a.concept AS qc, b.concept AS dc, a.family AS qf,
@@ -203,6 +203,20 @@ def valid_hubs(spark, sf):
                       big("n_concepts").alias("n_concepts"), r("coherence").alias("coherence"))
 
 
+@query("density_hubs")
+def density_hubs(spark, sf):
+    """Hub of every item by condensed single links; tests hold it against a plain condensation."""
+    return density.density_hubs(items(spark, sf)).select("id", "part", big("hub_id").alias("hub_id"))
+
+
+@query("valid_density_hubs")
+def valid_density_hubs(spark, sf):
+    """Density hubs that span two concepts and are tight enough, with their part, size and coherence."""
+    hub, _ = groups.hub_tables(items(spark, sf), None)
+    return hub.select(big("hub_id").alias("hub_id"), "part", big("n_members").alias("n_members"), big("n_concepts").alias("n_concepts"), r("coherence", 9).alias("coherence"))
+
+
+
 @query("unit_vectors", f"""WITH {ITEMS} SELECT id, round(sqrt(list_inner_product(vec, vec)), 6) AS norm,
  round(vec[1] / sqrt(list_inner_product(vec, vec)), 6) AS u0 FROM items""")
 def unit_vectors(spark, sf):

@@ -110,11 +110,17 @@ def valid_hubs(items: DataFrame, *, hub: str = "hub_id", concept: str = "concept
         (F.col("n_concepts") >= min_concepts) & (F.col("coherence") >= min_coherence))
 
 
-def hub_tables(items: DataFrame, threshold: float, *, ident: str = "id", part: str = "part", concept: str = "concept",
+def hub_tables(items: DataFrame, threshold: float | None, *, ident: str = "id", part: str = "part", concept: str = "concept",
                vec: str = "vec", min_concepts: int = 2, min_coherence: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(hub, hub_member): valid hubs per part and their member edges. Parts under 3 items are skipped."""
+    """(hub, hub_member): valid hubs per part and their member edges. Parts under 3 items are skipped.
+
+    Hubs are components at ``threshold``, or density clusters where it is None.
+    """
+    from sorrel.operators.density import density_hubs
+
     enough = items.groupBy(part).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 3).select(part)
-    labelled = threshold_hubs(items.join(enough, part, "left_semi"), threshold, ident=ident, part=part, vec=vec)
+    kept = items.join(enough, part, "left_semi")
+    labelled = cut(density_hubs(kept, ident=ident, part=part, vec=vec) if threshold is None else threshold_hubs(kept, threshold, ident=ident, part=part, vec=vec))
     good = valid_hubs(labelled, concept=concept, vec=vec, min_concepts=min_concepts, min_coherence=min_coherence)
     part_of = labelled.where(F.col("hub_id") != -1).groupBy("hub_id").agg(F.first(part).alias(part))
     hub = good.join(part_of, "hub_id")

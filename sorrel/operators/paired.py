@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -168,7 +168,42 @@ def audit_rates(df: DataFrame, part: str = "part") -> DataFrame:
 _BLOCK = 50_000
 
 
-def _resample_kernel(n_boot: int, seed: int, key_names: list[str]):
+#: Blocks whose replicate sums are added up by one task before those of a key meet.
+_MERGED = 1024
+_SUMS = "_key string, _block long, _n long, _sums array<double>, _low double, _high double"
+
+
+def _interval(sums: np.ndarray, n: int, alpha: float) -> tuple[float, float]:
+    low, high = np.quantile(sums / n, [alpha / 2, 1 - alpha / 2])
+    return float(low), float(high)
+
+
+def _sums_row(key: str, block: int, n: int, sums: np.ndarray | None, low: float | None, high: float | None) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([key], pa.string()), pa.array([block], pa.int64()), pa.array([n], pa.int64()), pa.array([sums], pa.list_(pa.float64())),
+                            pa.array([low], pa.float64()), pa.array([high], pa.float64())], ["_key", "_block", "_n", "_sums", "_low", "_high"])
+
+
+def _merge_sums(alpha: float | None):
+    """Adds up the packed sums of a group one block at a time; with ``alpha`` it ends in the interval."""
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, name, n = None, key[0].as_py(), 0
+        for batch in batches:
+            if batch.num_rows:
+                n = batch.column(2)[0].as_py()
+            for i in range(batch.num_rows):
+                if not batch.column(3)[i].is_valid:
+                    yield batch.slice(i, 1)
+                    continue
+                sums = batch.column(3)[i].values.to_numpy()
+                total = sums.copy() if total is None else total + sums
+        if total is not None:
+            block = key[1].as_py() if len(key) > 1 else 0
+            yield _sums_row(name, block, n, total if alpha is None else None, *((None, None) if alpha is None else _interval(total, n, alpha)))
+
+    return run
+
+
+def _resample_kernel(n_boot: int, seed: int, alpha: float):
     def draws(key: str, level: int, node: int) -> np.random.Generator:
         import hashlib
 
@@ -190,8 +225,10 @@ def _resample_kernel(n_boot: int, seed: int, key_names: list[str]):
             quota = share if not (block >> (depth - level - 1)) & 1 else quota - share
         rng = draws(key, depth, block)
         sums = np.array([values[rng.integers(0, len(values), q)].sum() for q in quota])
-        reps = pa.array(np.arange(n_boot))
-        return pa.table({"_key": pa.array([key] * n_boot, pa.string()), "_rep": reps, "_sum": pa.array(sums)})
+        n = table.column("_n")[0].as_py()
+        # the only block of its key needs no other sums
+        row = _sums_row(key, block, n, sums, None, None) if depth else _sums_row(key, block, n, None, *_interval(sums, n, alpha))
+        return pa.Table.from_batches([row])
 
     return kernel
 
@@ -202,8 +239,8 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str], value: str = "delta", *, n_
 
     Drawing n of n values with replacement is the same as first drawing how many land in
     each block (a chain of binomials down a tree of blocks) and then drawing inside the
-    blocks. So each block resamples alone and ships one sum per replicate: the cost is
-    one pass per replicate and no replicate is ever exploded or shuffled as rows.
+    blocks. So each block resamples alone and ships its sums as one packed array, added up
+    in two steps; a key of one block ends where it was drawn. No replicate is ever a row.
     """
     keys = list(keys)
     key = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys]) if keys else F.lit("all")
@@ -231,13 +268,11 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str], value: str = "delta", *, n_
              .groupBy("_key", "_block").agg(F.sort_array(F.collect_list(F.when(F.col("level").isNotNull(), F.struct(
                  "level", "left", "right")))).alias("_path")))
     fed = placed.join(paths, ["_key", "_block"]).select("_key", "_block", "_n", "_path", "_value")
-    drawn = fed.groupBy("_key", "_block").applyInArrow(
-        _resample_kernel(n_boot, seed, keys), "_key string, _rep long, _sum double")
-    means = drawn.groupBy("_key", "_rep").agg(F.sum("_sum").alias("_sum")).join(sizes.select("_key", "_n"), "_key")
-    bounds = means.groupBy("_key").agg(F.percentile(F.col("_sum") / F.col("_n"), F.array(
-        F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("_ci"))
+    drawn = fed.groupBy("_key", "_block").applyInArrow(_resample_kernel(n_boot, seed, alpha), _SUMS)
+    some = drawn.groupBy("_key", F.floor(F.col("_block") / _MERGED).alias("_part")).applyInArrow(_merge_sums(None), _SUMS)
+    bounds = some.groupBy("_key").applyInArrow(_merge_sums(alpha), _SUMS).select("_key", "_low", "_high")
     return sizes.join(bounds, "_key", "left").select(
-        *keys, F.col("_n").alias("n"), F.col("_mean").alias("mean"), F.get("_ci", F.lit(0)).alias("ci_low"), F.get("_ci", F.lit(1)).alias("ci_high"))
+        *keys, F.col("_n").alias("n"), F.col("_mean").alias("mean"), F.col("_low").alias("ci_low"), F.col("_high").alias("ci_high"))
 
 
 def harm_verdict(low, high) -> Column:
