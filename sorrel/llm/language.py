@@ -15,6 +15,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -182,12 +183,12 @@ def keep_identified(docs: DataFrame, min_score: float | None = None, id_col: str
     profiles = learn_profiles(training, id_col, text_col, lang_col, train_docs=train_docs)
 
     if min_score is None:
-        def judged(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            yield from _fits(profiles, texts)
+        def telling(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for fits in _fits(profiles, texts):
+                yield pa.compute.if_else(pa.compute.greater_equal(fits.field(1), TELLING), fits.field(0), None)
 
-        fit = F.arrow_udf(judged, "struct<score: double, grams: int>")
-        known = _sample(training, id_col, text_col, lang_col, train_docs).select(fit("_text").alias("_fit")).where(F.col("_fit.grams") >= TELLING)
-        low = known.agg(F.percentile_approx("_fit.score", 0.01, 10_000)).first()[0]
+        known = _sample(training, id_col, text_col, lang_col, train_docs).select(F.arrow_udf(telling, "double")("_text").alias("_fit"))
+        low = known.agg(F.percentile_approx("_fit", 0.01, 10_000)).first()[0]
         min_score = LOW_SHARE * (low or 0.0)
 
     def told(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

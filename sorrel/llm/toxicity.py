@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sorrel.llm.common import texts_of
+from sorrel.llm.common import sliced, texts_of
+from sorrel.session import cut, drop_tables
 
 #: Labelled documents that the fit uses, about as many at most for each label.
 TRAIN_ROWS = 3000
@@ -148,11 +149,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         F.broadcast(chosen), F.col("_id") == F.col("_of")).groupBy("_of", "_label").agg(F.min("_text").alias("_text")).select("_label", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [np.fromiter(sorted(f), np.int64, len(f)) for f in map(features, texts_of(batch))]
             yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["label", "found"])
 
-    table = sample.mapInArrow(run, "label int, found array<long>").toArrow()
+    # only features of LEAST_DOCS documents reach the driver
+    owned: list[str] = []
+    rows = cut(sample.mapInArrow(run, "label int, found array<long>").withColumn("row", F.monotonically_increasing_id()), owned)
+    each = rows.select("row", F.explode("found").alias("f"))
+    kept = each.join(each.groupBy("f").count().where(F.col("count") >= LEAST_DOCS).select("f"), "f", "left_semi")
+    table = rows.select("row", "label").join(kept.groupBy("row").agg(F.collect_list("f").alias("found")), "row", "left").select("label", "found").toArrow()
+    drop_tables(docs.sparkSession, owned)
     label = table.column("label").to_numpy().astype(np.int64)
     found = table.column("found").combine_chunks()
     size = np.asarray(found.value_lengths().fill_null(0)) if len(label) else np.zeros(0, np.int64)
