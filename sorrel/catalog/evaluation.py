@@ -597,6 +597,16 @@ def leave_one_out_selector(spark, sf):
     return m.join(a, "case_id").select("case_id", r("text_margin", 9).alias("text_margin"), "feasible", "selected", r("dino_delta", 9).alias("dino_delta"), "exact", big("n_pairs").alias("n_pairs"), big("right_pairs").alias("right_pairs"))
 
 
+@query("leave_one_out_selector_margins")
+def leave_one_out_selector_margins(spark, sf):
+    """Text and reference margins per held-out case and the selection they give; equal to plain refits in the tests."""
+    c = candidates(spark, sf)
+    m = fitting.loo_selector(c)
+    a = fitting.apply_margins(c, m)
+    return m.join(a, "case_id").select("case_id", *[r(x, 9).alias(x) for x in ("text_margin", "reference_margin")], "feasible", "selected", r("dino_delta", 9).alias("dino_delta"),
+                                       "exact", big("n_pairs").alias("n_pairs"), big("right_pairs").alias("right_pairs"))
+
+
 @query("pairwise_selector", f"""WITH {_CAND}, d AS (SELECT case_id, text_relevance AS df, dino AS da FROM cand WHERE attempt = 0), j AS (SELECT c.*, df, da FROM cand c JOIN d USING (case_id)),
 p AS (SELECT case_id, count(*) FILTER (attempt > 0) AS n, count(*) FILTER (attempt > 0 AND (text_relevance > df) = (dino > da)) AS rt, arg_min(attempt, (-text_relevance, attempt)) AS sel,
  arg_min(dino, (-text_relevance, attempt)) - any_value(da) AS delta, arg_min(attempt, (-dino, attempt)) AS orc FROM j GROUP BY case_id)

@@ -38,11 +38,25 @@ def detector_study(spark, sf):
 
 @query("development_study")
 def development_study(spark, sf):
-    """Detector and selector folds with the readiness gates."""
+    """Detector and selector folds with the readiness gates, cohort intervals and both policies fitted on all rows, as (part, name, value, passed)."""
     cand = ev.candidates(spark, sf)
     cohorts = cand.select("case_id").distinct().withColumn("cohort", F.when(F.col("case_id") % 3 == 0, "bridge").otherwise("common"))
-    s = studies.development_study(ev.labelled(spark, sf), cand, cohorts, _REF, judged=True, n_boot=1000)
-    return s["gates"].join(F.broadcast(s["readiness"])).select("name", r("value", 9).alias("value"), "passed", "readiness")
+    s = studies.development_study(ev.labelled(spark, sf), cand, cohorts, _REF, judged=True)
+    none = F.lit(None).cast("boolean")
+
+    def rows(part, df, key, names):
+        cells = F.array(*[F.struct(F.concat_ws("/", key, F.lit(c)).alias("name"), F.col(c).cast("double").alias("value")) for c in names])
+        return df.select(F.lit(part).alias("part"), F.explode(cells).alias("_c")).select("part", "_c.name", r("_c.value", 6).alias("value"), none.alias("passed"))
+
+    every = F.lit("all")
+    gates = s["gates"].join(F.broadcast(s["readiness"])).select(F.concat(F.lit("gate "), "readiness").alias("part"), "name", r("value", 6).alias("value"), "passed")
+    return (gates.unionByName(rows("cohort", s["cohorts"], F.col("cohort"), ["n", "mean", "ci_low", "ci_high", "improved", "unchanged", "worsened"]))
+            .unionByName(rows("detector folds", s["folds"].groupBy("text_threshold", "reference_threshold").agg(F.sum("n").alias("n")),
+                              F.concat_ws(",", r("text_threshold", 9), r("reference_threshold", 9)), ["n"]))
+            .unionByName(rows("selector folds", s["margins"].groupBy("text_margin", "reference_margin").agg(F.count(F.lit(1)).alias("n")),
+                              F.concat_ws(",", r("text_margin", 9), r("reference_margin", 9)), ["n"]))
+            .unionByName(rows("detector policy", s["detector_policy"], every, ["text_threshold", "reference_threshold", "feasible", "recall", "mcc"]))
+            .unionByName(rows("selector policy", s["selector_policy"], every, ["text_margin", "reference_margin", "feasible", "mean_delta", "exact_best_rate"])))
 
 
 _RETRO = f"""{ev._CAND}, rw AS (SELECT case_id, CASE WHEN case_id % 3 = 0 THEN 'bridge' ELSE 'common' END AS cohort, case_id % 2 = 0 AS truth_fail, semantic_ok, reference_relevance FROM cand WHERE attempt = 0),
@@ -76,6 +90,32 @@ def retrospective_cohorts(spark, sf):
     return c.select("cohort", big("n").alias("n"), r("mean_delta", 9).alias("mean_delta"), *[big(x).alias(x) for x in ("improved", "unchanged", "worsened")])
 
 
+_SIGNS = """e AS (SELECT (text_relevance - dt + 1e-12 >= 0.02 AND reference_relevance - dr > 0) = (dino > dd) AS hit FROM cand c JOIN d USING (case_id) WHERE attempt > 0),
+sg AS (SELECT count(*)::BIGINT AS comparisons, CASE WHEN count(*) > 0 THEN count(*) FILTER (hit) / count(*)::DOUBLE ELSE 0 END AS sign_accuracy FROM e)"""
+
+
+@query("retrospective_signs", f"WITH {_RETRO}, {_SIGNS} SELECT comparisons, round(sign_accuracy, 9) AS sign_accuracy FROM sg")
+def retrospective_signs(spark, sf):
+    return _retro(spark, sf)["selector"].select(big("comparisons").alias("comparisons"), r("sign_accuracy", 9).alias("sign_accuracy"))
+
+
+@query("retrospective_gates", f"""WITH {_RETRO}, {_SIGNS}, k AS (SELECT count(*) FILTER (truth_fail) AS f, count(*) FILTER (NOT truth_fail) AS p, count(*) FILTER (truth_fail AND routed) AS tp,
+ count(*) FILTER (NOT truth_fail AND routed) AS fp, count(*) FILTER (delta < -0.02) AS harmful FROM y)
+SELECT 'detector' AS name, f > 0 AND p > 0 AND tp / f >= 0.733 AND fp <= 1 AS passed, CASE WHEN f = 0 THEN 'missing FAIL stratum' WHEN p = 0 THEN 'missing PASS stratum' END AS reason FROM k
+UNION ALL SELECT 'selector', comparisons > 0 AND sign_accuracy >= 0.75 AND harmful <= 1, NULL FROM k, sg""")
+def retrospective_gates(spark, sf):
+    """Whether detector and selector of the fixed policy may go on, and why not."""
+    return _retro(spark, sf)["gates"]
+
+
+@query("retrospective_intervals", f"""WITH {_RETRO} SELECT cohort, count(*)::BIGINT AS n, count(*) >= 5 AS has_interval, CASE WHEN count(*) >= 5 THEN true END AS holds_mean FROM y GROUP BY cohort""")
+def retrospective_intervals(spark, sf):
+    """Each cohort's interval of the answer delta: NULL below five cases, else around the mean."""
+    c = _retro(spark, sf)["cohorts"]
+    return c.select("cohort", big("n").alias("n"), F.col("ci_low").isNotNull().alias("has_interval"),
+                    ((F.col("ci_low") <= F.col("mean_delta")) & (F.col("mean_delta") <= F.col("ci_high"))).alias("holds_mean"))
+
+
 _HOLD = f"""{ev._LABELLED}, cd AS (SELECT case_id, CASE WHEN truth_fail THEN 'rare' ELSE 'control' END AS cohort, semantic_ok AND reference_relevance >= 0.1 AS ok FROM lab),
 r AS (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY cohort ORDER BY case_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(ok::INT) OVER (PARTITION BY cohort) AS total FROM cd),
 hc AS (SELECT case_id, cohort, CASE WHEN ok THEN 'chosen' ELSE 'backfilled' END AS role, CASE WHEN total >= 24 THEN 'complete' ELSE 'inconclusive' END AS status FROM r WHERE before < 24)"""

@@ -75,10 +75,34 @@ def development_study(rows: DataFrame, candidates: DataFrame, cohorts: DataFrame
             "gates": gates, "readiness": verdicts.readiness(gates), "detector_policy": fitting.fit_detector(rows), "selector_policy": fitting.fit_selector(candidates, judged)}
 
 
-def retrospective(rows: DataFrame, candidates: DataFrame, reference_threshold: float, text_margin: float) -> dict[str, DataFrame]:
+def _signs(candidates: DataFrame, cases: DataFrame, text_margin: float) -> DataFrame:
+    """Attempts of the cases compared with their draft, and the share of which eligibility agrees with the better answer."""
+    draft = candidates.where(F.col("attempt") == 0).select(
+        "case_id", F.col("text_relevance").alias("_dt"), F.col("reference_relevance").alias("_dr"), F.col("dino").alias("_dd"))
+    j = candidates.where(F.col("attempt") > 0).join(draft, "case_id").join(cases.select("case_id"), "case_id", "left_semi")
+    eligible = (F.col("text_relevance") - F.col("_dt") + 1e-12 >= text_margin) & (F.col("reference_relevance") - F.col("_dr") > 0)
+    right = F.count_if(eligible == (F.col("dino") > F.col("_dd")))
+    return j.agg(F.count(F.lit(1)).alias("comparisons"), ratio(right, F.count(F.lit(1))).alias("sign_accuracy"))
+
+
+def _retrospective_gates(cases: DataFrame, detector: DataFrame, selector: DataFrame) -> DataFrame:
+    """(name, passed, reason): the detector fails for want of a stratum, recall or precision, the selector of signs or harm."""
+    strata = cases.agg(F.count_if("truth_fail").alias("_f"), F.count_if(~F.col("truth_fail")).alias("_p"))
+    union = detector.where(F.col("arm") == "union").select("recall", "fp")
+    one = strata.join(F.broadcast(selector)).join(F.broadcast(union), how="left")
+    reason = F.when(F.col("_f") == 0, "missing FAIL stratum").when(F.col("_p") == 0, "missing PASS stratum")
+    found = F.coalesce(reason.isNull() & (F.col("recall") >= fitting.MIN_RECALL) & (F.col("fp") <= 1), F.lit(False))
+    chosen = F.coalesce((F.col("comparisons") > 0) & (F.col("sign_accuracy") >= fitting.MIN_SIGN_ACCURACY) & (F.col("harmful") <= fitting.MAX_HARMFUL), F.lit(False))
+    gates = F.array(F.struct(F.lit("detector").alias("name"), found.alias("passed"), reason.alias("reason")),
+                    F.struct(F.lit("selector").alias("name"), chosen.alias("passed"), F.lit(None).cast("string").alias("reason")))
+    return one.select(F.explode(gates).alias("_g")).select("_g.*")
+
+
+def retrospective(rows: DataFrame, candidates: DataFrame, reference_threshold: float, text_margin: float, n_boot: int = 10_000) -> dict[str, DataFrame]:
     """A fixed policy on past cases: routed by judge or low reference, repaired only when routed.
 
-    Excluded and blank truths must be left out beforehand; ``rows`` adds cohort.
+    Excluded and blank truths must be left out beforehand; ``rows`` adds cohort. The selector counts
+    how often eligibility agrees with the better answer, over every attempt of every case.
     """
     routed = rows.withColumn("routed", verdicts.route_reference("semantic_ok", "reference_relevance", reference_threshold))
     chosen = verdicts.select_repair(candidates, text_margin, 0.0, strict_reference=True)
@@ -94,9 +118,12 @@ def retrospective(rows: DataFrame, candidates: DataFrame, reference_threshold: f
     d = F.col("dino_delta")
     selector = cases.agg(F.count(F.lit(1)).alias("cases"), F.avg((F.col("selected") == F.col("oracle")).cast("int")).alias("exact_best"),
                          F.avg(d).alias("mean_delta"), F.count_if(d < fitting.HARM_MARGIN).alias("harmful"))
+    selector = selector.join(F.broadcast(_signs(candidates, cases, text_margin)))
     cohorts = cases.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean_delta"), F.count_if(d > 0).alias("improved"),
                                           F.count_if(d == 0).alias("unchanged"), F.count_if(d < 0).alias("worsened"))
-    return {"cases": cases, "detector": detector, "selector": selector, "cohorts": cohorts}
+    interval = paired.bootstrap_ci(cases, ["cohort"], "dino_delta", n_boot=n_boot, ident="case_id").select("cohort", "ci_low", "ci_high")
+    return {"cases": cases, "detector": detector, "selector": selector, "cohorts": cohorts.join(interval, "cohort", "left"),
+            "gates": _retrospective_gates(cases, detector, selector)}
 
 
 def holdout(candidates: DataFrame, references: DataFrame, reserves: DataFrame, needed: int = 24) -> dict[str, DataFrame]:
