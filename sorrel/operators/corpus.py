@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sorrel.functions.text import mentions, ngrams, norm, squash, word_tokens
@@ -13,12 +16,31 @@ from sorrel.session import widen
 _BROADCAST_BYTES = 32 << 20
 
 
+def _mentioned(spark: SparkSession, phrases: list[tuple[str, str]]):
+    """A column function: the concepts whose phrase stands between spaces in a line of words, each once."""
+    sent = spark.sparkContext.broadcast(phrases)
+
+    def find(lines: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import ahocorasick
+
+        automaton, concepts = ahocorasick.Automaton(), {}
+        for phrase, concept in sent.value:
+            concepts.setdefault(f" {phrase} ", []).append(concept)
+        for phrase, named in concepts.items():
+            automaton.add_word(phrase, tuple(named))
+        automaton.make_automaton()
+        for batch in lines:
+            yield pa.array([sorted({c for _, named in automaton.iter(line) for c in named}) if line else [] for line in batch.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(find, "array<string>")
+
+
 def phrase_matches(captions: DataFrame, concepts: DataFrame, ident: str, text: str = "text") -> DataFrame:
     """(ident, concept) for every caption mentioning a concept as a whole word or phrase.
 
-    Texts become distinct n-grams of the lengths the concepts have, joined by equality.
-    The concept side is broadcast while its counted bytes are few; beyond that the join is
-    a shuffle on the n-gram. Concepts with other signs than letters, digits and spaces are
+    While the counted bytes of the concepts are few, one automaton of all of them goes over each
+    caption's words once, and only mentions become rows. Beyond that texts become distinct n-grams of
+    the lengths the concepts have, joined by a shuffle. Concepts with other signs than letters, digits and spaces are
     matched by pattern against the captions having their first word.
     """
     odd = F.col("_phrase").rlike("[^\\p{L}\\p{N}_ ]")
@@ -29,9 +51,14 @@ def phrase_matches(captions: DataFrame, concepts: DataFrame, ident: str, text: s
     size = c.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("_plain").isNotNull(), F.col("_len"))).alias("lengths"), F.count("_head").alias("odd"),
         F.coalesce(F.sum(2 * F.octet_length("concept") + 64), F.lit(0)).alias("bytes")).first()
     found = captions.select(ident).limit(0).withColumn("concept", F.lit(None).cast("string"))
-    side = F.broadcast if size["bytes"] <= _BROADCAST_BYTES else (lambda d: d)
+    few = size["bytes"] <= _BROADCAST_BYTES
+    side = F.broadcast if few else (lambda d: d)
     words = widen(captions.select(ident, text)).select(ident, word_tokens(text).alias("_words"))
-    if size["lengths"]:
+    if size["lengths"] and few:
+        phrases = [(r["_plain"], r["concept"]) for r in c.where(F.col("_plain").isNotNull()).select("_plain", "concept").collect()]
+        line = F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))
+        found = words.select(ident, F.explode(_mentioned(words.sparkSession, phrases)(line)).alias("concept"))
+    elif size["lengths"]:
         grams = words.select(ident, F.explode(ngrams("_words", sorted(size["lengths"]))).alias("_gram"))
         found = grams.join(side(c.select("_plain", "concept")), F.col("_gram") == F.col("_plain")).select(ident, "concept")
     if size["odd"]:
