@@ -156,6 +156,18 @@ def wilcoxon_p(spark, sf):
     return w.select("stratum", big("n_nonzero").alias("n_nonzero"), r("p_two_sided", 9).alias("p_two_sided"), r("p_greater", 9).alias("p_greater"))
 
 
+@query("wilcoxon_exact_p", f"""WITH {_RUNS}, {_STRATUM}, {_CELLS}, {_W.format(k='stratum,', src='cells JOIN st USING (unit)', p='PARTITION BY stratum', q='PARTITION BY stratum,', g='GROUP BY stratum')},
+d AS (SELECT stratum, list_reduce(list_prepend([1.0::DOUBLE], list([(2 * rnk)::DOUBLE] ORDER BY a)), lambda acc, g: list_transform(range(len(acc) + g[1]::BIGINT),
+ lambda i: (coalesce(acc[i + 1], 0) + CASE WHEN i >= g[1] THEN coalesce(acc[(i - g[1])::BIGINT + 1], 0) ELSE 0 END) / 2)) AS chance FROM rk GROUP BY stratum)
+SELECT stratum, n::BIGINT AS n_nonzero, round(least(1, 2 * list_sum(chance[(2 * greatest(coalesce(wp, 0), n * (n + 1) / 2 - coalesce(wp, 0)))::BIGINT + 1:])), 9) AS p_two_sided,
+ round(list_sum(chance[(2 * coalesce(wp, 0))::BIGINT + 1:]), 9) AS p_greater FROM w JOIN d USING (stratum)""")
+def wilcoxon_exact_p(spark, sf):
+    """Per stratum the exact p from the distribution of rank sums, ties included."""
+    c = with_stratum(spark, sf, cells(spark, sf).withColumn("delta", F.round("delta", 9)))
+    w = paired.wilcoxon(c, ["stratum"], method="exact")
+    return w.select("stratum", big("n_nonzero").alias("n_nonzero"), r("p_two_sided", 9).alias("p_two_sided"), r("p_greater", 9).alias("p_greater"))
+
+
 @query("reliability_sweep", f"""WITH {_RUNS}, {_DRAWS}, th AS (SELECT * FROM (VALUES (1), (2), (3), (5)) v(threshold)), u AS (SELECT threshold, unit, round(delta, 9) AS delta, n_draws FROM dcells JOIN th ON n_draws >= threshold)
 SELECT threshold::BIGINT AS threshold, count(*)::BIGINT AS n, round(avg(delta), 6) AS mean, round(median(delta), 6) AS median, round(stddev_pop(delta), 6) AS sd, count(*) FILTER (delta > 0)::BIGINT AS wins,
  round(avg((delta > 0)::INT), 9) AS win_rate, round(sum(n_draws * delta) / sum(n_draws), 6) AS weighted_mean FROM u GROUP BY threshold""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -119,6 +120,26 @@ def signed_rank_upper_tail(n: pd.Series, w: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) else tail(int(a), float(b)) for a, b in zip(n, w)], dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def exact_signed_rank_tail(ranks: pd.Series, w: pd.Series) -> pd.Series:
+    """P(W >= w) of the signed-rank sum over the given ranks, ties included, on one row per group.
+
+    ``ranks`` holds (twice the rank, how many pairs have it); each pair adds its rank or nothing, so the
+    distribution of sums grows by one shifted copy of itself a pair.
+    """
+    def tail(groups, stat):
+        chance = np.ones(1)
+        for g in sorted(groups, key=lambda g: g["twice"]):
+            for _ in range(int(g["n"])):
+                grown = np.zeros(len(chance) + int(g["twice"]))
+                grown[:len(chance)] += chance / 2
+                grown[int(g["twice"]):] += chance / 2
+                chance = grown
+        return float(chance[max(0, math.ceil(2 * stat)):].sum())
+
+    return pd.Series([None if g is None or pd.isna(x) else tail(g, float(x)) for g, x in zip(ranks, w)], dtype="float64")
+
+
 def finite_score(value: str) -> Column:
     """A score as a double; NULL, NaN and infinity are errors, so no row is lost or ranked highest."""
     v = F.col(value).cast("double")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sorrel.functions.scores import finite, normal_upper_tail, signed_rank_upper_tail
+from sorrel.functions.scores import exact_signed_rank_tail, finite, normal_upper_tail, signed_rank_upper_tail
 from sorrel.operators.scan import exact_quantile, ordered_scan
 
 MIN_INTERVAL_N = 5
@@ -98,13 +98,16 @@ def cell_deltas(df: DataFrame, cell: Sequence[str], draw: str, arm: str, metric:
     return rows.groupBy(*cell).agg(*sides).where(both).select(*cell, (F.col("a") - F.col("b")).alias("delta"))
 
 
-def wilcoxon(cells: DataFrame, keys: Sequence[str] = (), value: str = "delta", exact_upto: int = 50) -> DataFrame:
+def wilcoxon(cells: DataFrame, keys: Sequence[str] = (), value: str = "delta", exact_upto: int = 50, method: str = "auto") -> DataFrame:
     """Signed-rank test per key: n of nonzero deltas, W+, z, two-sided and one-sided (greater) p.
 
-    Average ranks of absolute values, zeros dropped. p is exact for up to ``exact_upto``
-    untied nonzero deltas, else normal with tie correction. All-zero input gives z and
-    one-sided p NULL and two-sided p 1.
+    Average ranks of absolute values, zeros dropped. ``method`` gives p: "exact" from the distribution of
+    rank sums, ties included (a key's distinct ranks come to one task; time grows with the cube of its
+    pairs), "normal" with tie correction, and "auto" exact for up to ``exact_upto`` untied nonzero
+    deltas, else normal. All-zero input gives z and one-sided p NULL and two-sided p 1.
     """
+    if method not in ("auto", "exact", "normal"):
+        raise ValueError(f"unknown method {method}")
     keys = list(keys)
     v = F.col(value)
     total = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_all"))
@@ -114,7 +117,8 @@ def wilcoxon(cells: DataFrame, keys: Sequence[str] = (), value: str = "delta", e
     rank = F.col("_hi") - (F.col("_c") - 1) / 2.0
     stats = ranked.groupBy(*keys).agg(
         F.sum("_c").alias("n"), F.sum(F.col("_p") * rank).alias("w_plus"),
-        F.sum(F.col("_c").cast("double") * F.col("_c") * F.col("_c") - F.col("_c")).alias("_ties"))
+        F.sum(F.col("_c").cast("double") * F.col("_c") * F.col("_c") - F.col("_c")).alias("_ties"),
+        *([F.collect_list(F.struct((2 * F.col("_hi") - F.col("_c") + 1).cast("long").alias("twice"), F.col("_c").alias("n"))).alias("_ranks")] if method == "exact" else []))
     if not keys:
         out = stats.join(F.broadcast(total))
     else:
@@ -123,10 +127,12 @@ def wilcoxon(cells: DataFrame, keys: Sequence[str] = (), value: str = "delta", e
     mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48
     z = F.when(var > 0, (F.col("w_plus") - mean) / F.sqrt(var))
     out = out.withColumn("z", z)
-    small = (F.col("n") <= exact_upto) & (F.col("_ties") == 0)
+    small = (F.col("n") <= exact_upto) & (F.col("_ties") == 0) & F.lit(method == "auto")
     w_max = F.greatest(F.col("w_plus"), n * (n + 1) / 2 - F.col("w_plus"))
     upper = F.when(small, signed_rank_upper_tail("n", "w_plus")).otherwise(normal_upper_tail("z"))
     two = F.when(small, signed_rank_upper_tail(F.col("n"), w_max)).otherwise(normal_upper_tail(F.abs(F.col("z"))))
+    if method == "exact":
+        upper, two = exact_signed_rank_tail("_ranks", "w_plus"), exact_signed_rank_tail(F.col("_ranks"), w_max)
     return out.select(*keys, "n_all", F.coalesce("n", F.lit(0)).alias("n_nonzero"), "w_plus", "z",
                       F.when(F.col("n").isNull(), F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * two)).alias("p_two_sided"),
                       F.when(F.col("n") > 0, upper).alias("p_greater"))

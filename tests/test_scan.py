@@ -67,6 +67,20 @@ def test_signed_rank_normal_with_ties(spark):
     assert r.w_plus == w and r.z == pytest.approx((w - 14) / var ** 0.5)
 
 
+def test_signed_rank_exact_with_ties(spark):
+    deltas = [1.0, 1.0, -1.0, 2.0, -3.0, 3.0, 4.0, -4.0, 4.0, 5.5]
+    sizes = sorted(abs(d) for d in deltas)
+    ranks = [statistics.mean(i + 1 for i, s in enumerate(sizes) if s == abs(d)) for d in deltas]
+    w = sum(x for x, d in zip(ranks, deltas) if d > 0)
+    sums = [sum(x for i, x in enumerate(ranks) if m >> i & 1) for m in range(2 ** len(deltas))]
+    r = paired.wilcoxon(spark.createDataFrame([(d,) for d in deltas], "delta double"), method="exact").first()
+    assert r.w_plus == w and r.p_greater == pytest.approx(sum(s >= w for s in sums) / len(sums))
+    top = max(w, sum(ranks) - w)
+    assert r.p_two_sided == pytest.approx(min(1.0, 2 * sum(s >= top for s in sums) / len(sums)))
+    with pytest.raises(ValueError, match="unknown method"):
+        paired.wilcoxon(spark.range(1).selectExpr("1.0D AS delta"), method="none")
+
+
 @pytest.mark.parametrize("block_rows", [50_000, 16])
 def test_bootstrap_interval(spark, block_rows):
     rng = random.Random(3)
