@@ -168,15 +168,18 @@ def wilcoxon_exact_p(spark, sf):
     return w.select("stratum", big("n_nonzero").alias("n_nonzero"), r("p_two_sided", 9).alias("p_two_sided"), r("p_greater", 9).alias("p_greater"))
 
 
-@query("reliability_sweep", f"""WITH {_RUNS}, {_DRAWS}, th AS (SELECT * FROM (VALUES (1), (2), (3), (5)) v(threshold)), u AS (SELECT threshold, unit, round(delta, 9) AS delta, n_draws FROM dcells JOIN th ON n_draws >= threshold)
-SELECT threshold::BIGINT AS threshold, count(*)::BIGINT AS n, round(avg(delta), 6) AS mean, round(median(delta), 6) AS median, round(stddev_pop(delta), 6) AS sd, count(*) FILTER (delta > 0)::BIGINT AS wins,
+@query("reliability_sweep", f"""WITH {_RUNS}, {_DRAWS}, th AS (SELECT * FROM (VALUES (1), (2), (3), (5)) v(threshold)), u AS (SELECT threshold, unit, round(delta, 9) AS delta, n_draws FROM dcells JOIN th ON n_draws >= threshold),
+rk AS (SELECT threshold, delta, rank() OVER (PARTITION BY threshold ORDER BY abs(delta)) AS lo, count(*) OVER (PARTITION BY threshold, abs(delta)) AS c FROM u WHERE delta <> 0),
+wx AS (SELECT threshold, count(*) AS m, coalesce(sum(lo + (c - 1) / 2) FILTER (delta > 0), 0) AS wp, sum(c * c - 1) AS ties FROM rk GROUP BY threshold),
+zs AS (SELECT threshold, (wp - m * (m + 1) / 4) / nullif(sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48), 0) AS z FROM wx)
+SELECT threshold::BIGINT AS threshold, (SELECT round(z, 6) FROM zs WHERE zs.threshold = u.threshold) AS z, count(*)::BIGINT AS n, round(avg(delta), 6) AS mean, round(median(delta), 6) AS median, round(stddev_pop(delta), 6) AS sd, count(*) FILTER (delta > 0)::BIGINT AS wins,
  round(avg((delta > 0)::INT), 9) AS win_rate, round(sum(n_draws * delta) / sum(n_draws), 6) AS weighted_mean FROM u GROUP BY threshold""")
 def reliability_sweep(spark, sf):
     e = runs(spark, sf)
     per = paired.cell_deltas(e, ["unit", "draw"], "draw", "arm", "value", "purchase", "click", False)
     u = per.groupBy("unit").agg(F.round(F.avg("delta"), 9).alias("delta"), F.count(F.lit(1)).alias("n_draws"))
     s = paired.reliability_sweep(u, "n_draws")
-    return s.select(big("threshold").alias("threshold"), big("n").alias("n"), *[r(c).alias(c) for c in ("mean", "median", "sd")], big("wins").alias("wins"),
+    return s.select(big("threshold").alias("threshold"), big("n").alias("n"), *[r(c).alias(c) for c in ("mean", "median", "sd", "z")], big("wins").alias("wins"),
                     r("win_rate", 9).alias("win_rate"), r("weighted_mean").alias("weighted_mean"))
 
 

@@ -118,12 +118,14 @@ def _two_arms(spark, sf):
 t AS (SELECT count(*) FILTER (rare) AS nr, count(*) FILTER (rare AND b AND NOT a) AS g, count(*) FILTER (rare AND a AND NOT b) AS h FROM m),
 pv AS (SELECT coalesce(least(1, 2 * sum(exp(lgamma(g + h + 1) - lgamma(i + 1) - lgamma(g + h - i + 1) - (g + h) * ln(2)))), 1) AS p FROM (SELECT g, h, unnest(range(0, least(g, h) + 1)) AS i FROM t))
 SELECT count(*) FILTER (rare)::BIGINT AS n_rare, count(*)::BIGINT AS n_total, round(avg(b::INT) FILTER (NOT rare), 9) AS common_recall_graph, round(avg(a::INT) FILTER (NOT rare), 9) AS common_recall_retrieval,
+ round(avg(b::INT) FILTER (rare), 9) AS rare_recall_graph, round(avg(a::INT) FILTER (rare), 9) AS rare_recall_retrieval, round(avg(b::INT) FILTER (rare) - avg(a::INT) FILTER (rare), 9) AS delta, (SELECT round(p, 9) FROM pv) AS mcnemar_p,
  count(*) FILTER (rare AND b AND NOT a)::BIGINT AS graph_only, count(*) FILTER (rare AND a AND NOT b)::BIGINT AS retrieval_only,
  (SELECT CASE WHEN nr >= 30 AND (g - h) / nr::DOUBLE >= 0.15 AND p < 0.05 THEN 'PASS' ELSE 'WIND_DOWN' END FROM t, pv) AS decision FROM m""")
 def two_arm_report(spark, sf):
     scored = _two_arms(spark, sf).withColumn("match_retrieval", F.col("value") == F.col("pred_retrieval")).withColumn("match_graph", F.col("value") == F.col("pred_graph"))
     t = consensus.two_arm_report(scored)
     return t.select(big("n_rare").alias("n_rare"), big("n_total").alias("n_total"), r("common_recall_graph", 9).alias("common_recall_graph"), r("common_recall_retrieval", 9).alias("common_recall_retrieval"),
+                    *[F.when(~F.isnan(c), r(c, 9)).alias(c) for c in ("rare_recall_graph", "rare_recall_retrieval", "delta")], r("mcnemar_p", 9).alias("mcnemar_p"),
                     big("graph_only").alias("graph_only"), big("retrieval_only").alias("retrieval_only"), "decision")
 
 

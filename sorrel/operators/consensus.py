@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sorrel.functions.scores import binomial_two_sided, ratio
 from sorrel.functions.text import is_visible, norm, says_yes
-from sorrel.operators.scan import ordered_scan
+from sorrel.operators.scan import ordered_scan, tuple_scan
 from sorrel.operators.similarity import top_k
 from sorrel.session import cut
 
@@ -238,8 +238,7 @@ def discrimination_pairs(tests: DataFrame, siblings: DataFrame, profiles: DataFr
 def whole_families(species: DataFrame, min_family: int = 3, min_species: int = 24) -> DataFrame:
     """Species of whole families, smallest families first, until enough species are taken."""
     size = species.where(F.col("family").isNotNull()).groupBy("family").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_family)
-    # the running total over families of one size is needed only where sizes meet the minimum
-    run = ordered_scan(size.withColumn("_s", F.col("n").cast("double")), [], "_s", ["family"], {"_before": ("sum", "n", "before")})
+    run = tuple_scan(size, [], ["n", "family"], {"_before": ("sum", "n", "before")})
     taken = run.where(F.coalesce("_before", F.lit(0)) < min_species).select("family")
     return species.join(taken, "family", "left_semi")
 

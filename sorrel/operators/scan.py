@@ -72,23 +72,46 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[
     being one of upto, before, from, after, all. ``order`` must be numeric. Empty
     frames give NULL.
     """
-    columns = df.columns
-    keys = list(keys)
+    columns, keys = df.columns, list(keys)
     if not keys:
         df, keys = df.withColumn("_whole", F.lit(0)), ["_whole"]
-    b = bucketed(df, keys, order, **bucket_options)
-    inner = Window.partitionBy(*keys, "_bucket").orderBy(order, *ties)
+    return _scan_ranges(bucketed(df, keys, order, **bucket_options), keys, [order, *ties], outputs, columns)
+
+
+def tuple_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+               outputs: dict[str, tuple[str, Column | str, str]]) -> DataFrame:
+    """``ordered_scan`` over columns of any sortable types, compared one after the other, NULL first.
+
+    Ranges are cut over the whole tuple of keys and order, so rows that agree in the first
+    columns still spread over tasks; only rows equal in all of them share a range. Their order
+    among themselves is not defined: aggregate repeated tuples first. No rows give no rows.
+    """
+    columns, keys = df.columns, list(keys)
+    if not keys:
+        df, keys = df.withColumn("_whole", F.lit(0)), ["_whole"]
+    ranged = df.repartitionByRange(*keys, *order).withColumn("_bucket", F.spark_partition_id())
+    return _scan_ranges(cut(ranged), keys, order, outputs, columns, null_keys=keys != ["_whole"])
+
+
+def _scan_ranges(b: DataFrame, keys: Sequence[str], order: Sequence[str],
+                 outputs: dict[str, tuple[str, Column | str, str]], columns: Sequence[str], null_keys: bool = False) -> DataFrame:
+    """Scan every (keys, _bucket) on its own and add the totals of the key's other buckets.
+
+    Plain equality keeps the partitioning of the windows; ``null_keys`` keeps rows whose keys are NULL.
+    """
+    inner = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     outer = Window.partitionBy(*keys).orderBy("_bucket")
     expr = {n: (F.col(e) if isinstance(e, str) else e) for n, (_, e, _) in outputs.items()}
     totals = b.groupBy(*keys, "_bucket").agg(*[_AGGS[k](expr[n]).alias(n) for n, (k, _, _) in outputs.items()])
     outer_frame = {"upto": "before", "before": "before", "from": "after", "after": "after", "all": "all"}
-    offsets = totals.select(*keys, "_bucket", *[
+    offsets = totals.select(*[F.col(c).alias(f"_on_{c}") for c in [*keys, "_bucket"]], *[
         _AGGS[k](n).over(outer.rowsBetween(*_FRAMES[outer_frame[f]])).alias(f"_off_{n}")
         for n, (k, _, f) in outputs.items()])
     local = b.select("*", *[
         (F.lit(None) if f == "all" else _AGGS[k](expr[n]).over(inner.rowsBetween(*_FRAMES[f]))).alias(f"_loc_{n}")
         for n, (k, _, f) in outputs.items()])
-    joined = local.join(offsets, keys + ["_bucket"])
+    same = every(F.col(c).eqNullSafe(F.col(f"_on_{c}")) if null_keys else F.col(c) == F.col(f"_on_{c}") for c in [*keys, "_bucket"])
+    joined = local.join(offsets, same)
     return joined.select(*columns, *[
         (F.col(f"_off_{n}") if f == "all" else _combine(k, F.col(f"_loc_{n}"), F.col(f"_off_{n}"))).alias(n)
         for n, (k, _, f) in outputs.items()])

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from sorrel.operators import consensus, guards, paired, sampling, selection, verdicts
 from sorrel.operators.matrix import pending
-from sorrel.operators.scan import exact_quantile, ordered_scan
+from sorrel.operators import scan
+from sorrel.operators.scan import exact_quantile, ordered_scan, tuple_scan
 
 
 @pytest.mark.parametrize("rows_per_bucket", [1_000_000, 7])
@@ -194,3 +195,35 @@ def test_sampling_is_seeded_and_keeps_a_heldout_minimum(spark):
 def test_pending_drops_duplicates(spark):
     plan = spark.createDataFrame([("a",), ("a",), ("b",)], "out string")
     assert [r.out for r in pending(plan, spark.createDataFrame([("b",)], "out string"), "out").collect()] == ["a"]
+
+
+def test_running_totals_over_tuples(spark):
+    """Strings behind equal numbers, NULL keys and NULL names, against plain loops."""
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(3), f"n{i:04d}" if i % 40 else None, rng.randrange(9)) for i in range(0, 400)]
+    rows = list({r[:3]: r for r in rows}.values())
+    df = spark.createDataFrame(rows, "k string, v long, name string, w long")
+    got = tuple_scan(df, ["k"], ["v", "name"], {"upto": ("sum", "w", "upto"), "after": ("max", "w", "after"), "all": ("sum", "w", "all")}).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        mine = sorted([x for x in rows if x[0] == r.k], key=lambda x: (x[1], x[2] is not None, x[2] or ""))
+        at = [x[1:3] for x in mine].index((r.v, r.name))
+        assert r.upto == sum(x[3] for x in mine[: at + 1]) and r["all"] == sum(x[3] for x in mine)
+        assert r.after == max((x[3] for x in mine[at + 1:]), default=None)
+    assert tuple_scan(df.limit(0), [], ["name"], {"t": ("sum", "w", "upto")}).collect() == []
+
+
+def test_families_of_one_size_spread_over_ranges(spark, monkeypatch):
+    """100,000 families of three: no range holds many of them, and the first by name are taken."""
+    seen = []
+    written = scan.cut
+    monkeypatch.setattr(scan, "cut", lambda df: seen.append(written(df)) or seen[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        species = spark.range(300_000).select("id", F.format_string("f%06d", F.floor(F.col("id") / 3)).alias("family"))
+        taken = {r.id for r in consensus.whole_families(species, 3, 1000).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert taken == set(range(334 * 3))
+    held = [r["count"] for r in seen[0].groupBy("_bucket").count().collect()]
+    assert sum(held) == 100_000 and max(held) < 2 * 100_000 / len(held) and len(held) > 3, held
