@@ -176,6 +176,18 @@ def image_folder(spark, sf):
     return f.select("class", lines.alias("n")).groupBy("class").agg(big(F.sum("n")).alias("n_lines"))
 
 
+@query("image_folder_digests", """WITH c AS (SELECT source, source || ' ' || count(*) || ' ' || sum(n_chars) AS line FROM documents WHERE source IS NOT NULL GROUP BY source)
+SELECT 'source=' || source AS class, length(line)::BIGINT + 1 AS length, md5(line || chr(10)) AS digest, true AS named FROM c""")
+def image_folder_digests(spark, sf):
+    """One file per class scanned with its size, MD5, stem and path."""
+    path = scratch_path(spark, "images")
+    c = table(spark, sf, "documents").where("source IS NOT NULL").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    c.select("source", F.concat_ws(" ", "source", F.col("n").cast("string"), F.col("chars").cast("string")).alias("value")).write.partitionBy("source").text(path)
+    f = files.image_folder(spark, path, "*.txt", content=True)
+    named = F.endswith("path", F.concat(F.lit("/"), "class", F.lit("/"), "stem", F.lit(".txt")))
+    return f.select("class", big("length").alias("length"), "digest", named.alias("named"))
+
+
 @query("caption_sidecars", """SELECT (SELECT count(*) FROM documents)::BIGINT AS n_images, (SELECT count(*) FROM documents WHERE lang = 'en')::BIGINT AS n_captioned""")
 def caption_sidecars(spark, sf):
     """Items left-joined to caption sidecars, broken ones counting as no caption."""
@@ -282,16 +294,23 @@ def concept_graphs(spark, sf):
     return spark.read.schema(graphs.GRAPH_SCHEMA).json(path)
 
 
+def _graph_files(spark, sf):
+    """The concept graphs written as one JSON file per concept and read back."""
+    g, path = concept_graphs(spark, sf), scratch_path(spark, "graphs")
+    g.select(F.col("concept").alias("_dir"), F.to_json(F.struct(*g.columns)).alias("value")).write.partitionBy("_dir").text(path)
+    return graphs.read_graphs(spark, f"{path}/*/*.txt")
+
+
 @query("graph_attributes", f"""WITH {_GRAPH_ATTR} SELECT concept, part, attr, lower(trim(value)) AS value FROM attrs WHERE lower(trim(value)) <> 'not visible' AND part || attr IN (SELECT p_type || p_name FROM part WHERE p_size = 7)""")
 def graph_attributes(spark, sf):
     white = table(spark, sf, "part").where("p_size = 7").select(F.col("p_type").alias("part"), F.col("p_name").alias("attr"))
-    return graphs.visible_attributes(concept_graphs(spark, sf), white)
+    return graphs.visible_attributes(_graph_files(spark, sf), white)
 
 
 @query("graph_exemplars", """WITH g AS (SELECT p_brand AS concept, p_type AS part, sum(p_size)::DOUBLE AS s, count(*)::DOUBLE AS c FROM part GROUP BY 1, 2)
 SELECT concept, part, concept || '/' || part AS crop_path, round(s / sqrt(s * s + c * c), 9) AS v0, round(1.0, 6) AS norm FROM g WHERE c % 2 = 0""")
 def graph_exemplars(spark, sf):
-    e = graphs.part_exemplars(concept_graphs(spark, sf))
+    e = graphs.part_exemplars(_graph_files(spark, sf))
     return e.select("concept", "part", "crop_path", r(F.get("vec", F.lit(0)), 9).alias("v0"), r(F.sqrt(dot("vec", "vec"))).alias("norm"))
 
 
@@ -315,15 +334,14 @@ def graph_prompts(spark, sf):
 
 @query("part_instances", """SELECT vec_id::VARCHAR AS id, label::VARCHAR AS concept, round(embedding[1]::DOUBLE, 6) AS v0 FROM embeddings""")
 def part_instances(spark, sf):
-    """Instance lists per concept as JSON arrays beside files that are not lists."""
+    """Instance lists of a few hundred ids, a JSON file each, beside a file that is no list."""
     e, path = table(spark, sf, "embeddings"), scratch_path(spark, "instances")
-    one = e.select("vec_id", F.to_json(F.array(F.struct(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("string").alias("concept"), F.lit("leaf").alias("part"),
-                                                        F.col("embedding").cast("array<double>").alias("siglip2")))).alias("value"))
-    other = spark.range(1).select(F.lit('{"note": "not a list"}').alias("value"))
-    # one list per file part: lines are joined inside each partition's file by reading whole lines
-    one.select("value").unionByName(other).write.text(path)
-    raw = spark.read.text(path).select(F.try_parse_json("value").alias("v"))
-    rows = graphs.instance_rows(raw)
+    one = F.struct(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("string").alias("concept"), F.lit("leaf").alias("part"),
+                   F.col("embedding").cast("array<double>").alias("siglip2"))
+    lists = e.groupBy(F.floor(F.col("vec_id") / 200).cast("string").alias("_dir")).agg(F.to_json(F.collect_list(one)).alias("value"))
+    other = spark.range(1).select(F.lit("other").alias("_dir"), F.lit('{"note": "not a list"}').alias("value"))
+    lists.unionByName(other).write.partitionBy("_dir").text(path)
+    rows = graphs.read_part_instances(spark, f"{path}/*/*.txt")
     return rows.select("id", "concept", r(F.get("vec", F.lit(0))).alias("v0"))
 
 
