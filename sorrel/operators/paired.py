@@ -102,8 +102,8 @@ def wilcoxon(cells: DataFrame, keys: Sequence[str] = (), value: str = "delta", e
     """Signed-rank test per key: n of nonzero deltas, W+, z, two-sided and one-sided (greater) p.
 
     Average ranks of absolute values, zeros dropped. ``method`` gives p: "exact" from the distribution of
-    rank sums, ties included (a key's distinct ranks come to one task; time grows with the cube of its
-    pairs), "normal" with tie correction, and "auto" exact for up to ``exact_upto`` untied nonzero
+    rank sums, ties included (a key's distinct ranks come to one task; time grows with about the power 1.5
+    of untied pairs), "normal" with tie correction, and "auto" exact for up to ``exact_upto`` untied nonzero
     deltas, else normal. All-zero input gives z and one-sided p NULL and two-sided p 1.
     """
     if method not in ("auto", "exact", "normal"):
@@ -129,8 +129,10 @@ def wilcoxon(cells: DataFrame, keys: Sequence[str] = (), value: str = "delta", e
     out = out.withColumn("z", z)
     small = (F.col("n") <= exact_upto) & (F.col("_ties") == 0) & F.lit(method == "auto")
     w_max = F.greatest(F.col("w_plus"), n * (n + 1) / 2 - F.col("w_plus"))
-    upper = F.when(small, signed_rank_upper_tail("n", "w_plus")).otherwise(normal_upper_tail("z"))
-    two = F.when(small, signed_rank_upper_tail(F.col("n"), w_max)).otherwise(normal_upper_tail(F.abs(F.col("z"))))
+    # Python functions run on every row, whatever the branch: a large n must not reach the exact one
+    few = F.when(small, F.col("n"))
+    upper = F.when(small, signed_rank_upper_tail(few, F.col("w_plus"))).otherwise(normal_upper_tail("z"))
+    two = F.when(small, signed_rank_upper_tail(few, w_max)).otherwise(normal_upper_tail(F.abs(F.col("z"))))
     if method == "exact":
         upper, two = exact_signed_rank_tail("_ranks", "w_plus"), exact_signed_rank_tail(F.col("_ranks"), w_max)
     return out.select(*keys, "n_all", F.coalesce("n", F.lit(0)).alias("n_nonzero"), "w_plus", "z",
