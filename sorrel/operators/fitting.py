@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sorrel.functions.scores import finite_score, mcc, ratio, wilson
 from sorrel.operators.scan import ordered_scan
-from sorrel.session import cut
+from sorrel.session import cut, widen
 
 # fixed values
 MIN_RECALL = 0.733
@@ -361,37 +361,37 @@ def loo_selector(rows: DataFrame, judged: bool = False, case: str = "case_id") -
     Work is cases times margin grid, so quantise scores before studying many cases.
     Margins that only the held-out case contributed are left out of its fold.
     """
+    # every step is written down: one plan of them all, with each small table joined where it is used, fills the driver
     base = cut(_selector_base(rows, judged, case))
     gx, gy = _margin_axes(base, judged)
-    points = _points(base, case)
-    total = _surface(points, gx, gy, [])
-    every_case = rows.select(case).distinct()
+    points = cut(_points(base, case))
+    total = cut(_surface(points, gx, gy, []))
+    mine = cut(_selector_totals(rows, base, [case], case))
+    totals = ("n_cases", "n_pairs", "base_pair", "base_exact")
+    t = cut(mine.agg(*[F.sum(c).alias(f"all_{c}") for c in totals]))
     sparse = points.join(gx.select(F.col("m").alias("x"), F.col("i").alias("pa")), "x").join(gy.select(F.col("m").alias("y"), F.col("i").alias("pb")), "y")
-    own = (sparse.withColumn("a", F.explode(F.sequence(F.lit(1).cast("long"), F.col("pa"))))
-           .withColumn("b", F.explode(F.sequence(F.lit(1).cast("long"), F.col("pb"))))
-           .groupBy(case, "a", "b").agg(*[F.sum(c).alias(f"own_{c}") for c in _SUMS]))
+    own = cut(sparse.withColumn("a", F.explode(F.sequence(F.lit(1).cast("long"), F.col("pa"))))
+              .withColumn("b", F.explode(F.sequence(F.lit(1).cast("long"), F.col("pb"))))
+              .groupBy(case, "a", "b").agg(*[F.sum(c).alias(f"own_{c}") for c in _SUMS]))
 
     def sole(axis, column, name):
         owners = base.where(F.col(column) >= 0).groupBy(F.col(column).alias("m")).agg(F.countDistinct(case).alias("_k"), F.first(case).alias("_o"))
         return axis.join(owners, "m", "left").select(F.col("i").alias(name), F.when((F.col("_k") == 1) & (F.col("m") > 0), F.col("_o")).alias(f"sole_{name}"))
 
-    n_x, n_y = gx.agg(F.max("i")).first()[0], gy.agg(F.max("i")).first()[0]
-    seq = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long")))
-    folds = every_case.withColumn("a", seq(n_x)).withColumn("b", seq(n_y)).join(total, ["a", "b"]).join(own, [case, "a", "b"], "left")
-    folds = folds.join(sole(gx, "g", "a"), "a")
+    grid = total.join(sole(gx, "g", "a"), "a")
     if not judged:
-        folds = folds.join(sole(gy, "h", "b"), "b")
-        folds = folds.where(F.coalesce(F.col("sole_b") != F.col(case), F.lit(True)))
-    folds = folds.where(F.coalesce(F.col("sole_a") != F.col(case), F.lit(True)))
+        grid = grid.join(sole(gy, "h", "b"), "b")
+    grid = cut(grid.join(F.broadcast(t)))
+    folds = widen(mine.where(F.col(case).isNotNull())).crossJoin(grid)
+    for name in ("a",) if judged else ("a", "b"):
+        folds = folds.where(F.coalesce(F.col(f"sole_{name}") != F.col(case), F.lit(True)))
+    folds = folds.join(own, [case, "a", "b"], "left")
     for c in _SUMS:
         folds = folds.withColumn(c, F.col(c) - F.coalesce(F.col(f"own_{c}"), F.lit(0)))
-    t = _selector_totals(rows, base, [], case).select(*[F.col(c).alias(f"all_{c}") for c in ("n_cases", "n_pairs", "base_pair", "base_exact")])
-    mine = _selector_totals(rows, base, [case], case)
-    folds = folds.join(mine, case).join(F.broadcast(t))
     rest = lambda c: F.col(f"all_{c}") - F.col(c)
-    key, _ = _selector_objective(rest("n_cases"), rest("n_pairs"), rest("base_pair"), rest("base_exact"))
-    best = folds.groupBy(case).agg(F.max(key).alias("_w"))
-    return (best.select(case, "_w.feasible", "_w.a", "_w.b").join(gx.select(F.col("m").alias("text_margin"), F.col("i").alias("a")), "a")
+    key, _ = _selector_objective(*map(rest, totals))
+    best = cut(folds.groupBy(case).agg(F.max(key).alias("_w")).select(case, "_w.feasible", "_w.a", "_w.b"))
+    return (best.join(gx.select(F.col("m").alias("text_margin"), F.col("i").alias("a")), "a")
             .join(gy.select(F.col("m").alias("reference_margin"), F.col("i").alias("b")), "b").drop("a", "b"))
 
 
