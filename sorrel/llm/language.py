@@ -15,13 +15,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from sorrel.llm.common import texts_of
+from sorrel.session import cut
 
 #: N-grams in a profile.
 PROFILE = 300
@@ -110,22 +110,38 @@ def _sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, trai
     return rows.join(F.broadcast(chosen), ["_id", "_lang"], "left_semi").select("_lang", "_text")
 
 
-def learn_profiles(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, size: int = PROFILE, train_docs: int = TRAIN_DOCS) -> Profiles:
-    """Profiles from rows with a language; a hash of the id picks about ``train_docs`` rows a language.
+def learn_profiles(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, size: int = PROFILE, train_docs: int | None = TRAIN_DOCS) -> Profiles:
+    """Profiles from rows with a language: all of them, or about ``train_docs`` a language, picked by a hash of the id.
 
     What reaches the driver is ``size`` n-grams for each language.
     """
-    sample = _sample(labelled, id_col, text_col, lang_col, train_docs)
+    if train_docs is None:
+        sample = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+            F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"))
+    else:
+        sample = _sample(labelled, id_col, text_col, lang_col, train_docs)
+
+    def counted(words: dict[str, Counter], grams: _Grams) -> pa.RecordBatch:
+        out = []
+        for lang, seen in words.items():
+            found: Counter = Counter()
+            for word, n in seen.items():
+                for g in grams[word]:
+                    found[g] += n
+            out += [(lang, g, n) for g, n in found.items()]
+        lang, gram, n = zip(*out) if out else ((), (), ())
+        return pa.record_batch([pa.array(lang, pa.string()), pa.array(gram, pa.string()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = _Grams()
+        grams, words = _Grams(), {}
         for batch in batches:
-            by_lang: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
-                by_lang.setdefault(lang, Counter()).update(gram_counts(text, grams))
-            out = [(lang, g, n) for lang, c in by_lang.items() for g, n in c.items()]
-            lang, gram, n = zip(*out) if out else ((), (), ())
-            yield pa.record_batch([pa.array(lang, pa.string()), pa.array(gram, pa.string()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+                words.setdefault(lang, Counter()).update(_WORD.findall((text or "").lower()))
+                # words are counted first, so that frequent ones are cut into n-grams once
+                if sum(map(len, words.values())) > _REMEMBERED:
+                    yield counted(words, grams)
+                    words = {}
+        yield counted(words, grams)
 
     counts = sample.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
@@ -172,29 +188,27 @@ def _fits(profiles: Profiles, texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def keep_identified(docs: DataFrame, min_score: float | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                    train_docs: int = TRAIN_DOCS) -> DataFrame:
+                    train_docs: int | None = None) -> DataFrame:
     """The documents that read as one of the languages of the corpus; every column stays.
 
     A document goes if it has no letter, or if it has ``TELLING`` n-grams at least and they lie so far
     out of place in every language that its score is below ``min_score``. Unless given, that is
-    ``LOW_SHARE`` of the score that all but a hundredth of the sample reach which the profiles are learned from.
+    ``LOW_SHARE`` of the score that all but a hundredth of the rows reach which the profiles are learned from:
+    all that are not held out and have a language, unless ``train_docs`` limits the profiles' rows.
+    Every text is scored once, and written with its score.
     """
-    training = docs.where(~held_out(id_col) & F.col(id_col).isNotNull())
-    profiles = learn_profiles(training, id_col, text_col, lang_col, train_docs=train_docs)
+    learned = ~held_out(id_col) & F.col(id_col).isNotNull()
+    profiles = learn_profiles(docs.where(learned), id_col, text_col, lang_col, train_docs=train_docs)
 
-    if min_score is None:
-        def telling(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for fits in _fits(profiles, texts):
-                yield pa.compute.if_else(pa.compute.greater_equal(fits.field(1), TELLING), fits.field(0), None)
+    def fits(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # one number, used in one place: NULL without a letter or language, 2 for a text too short to tell
+        for found in _fits(profiles, texts):
+            score, grams = (found.field(i).to_numpy() for i in range(2))
+            yield pa.array(np.where(grams < TELLING, 2.0, score), pa.float64(), mask=~((grams > 0) & (score > 0.0)))
 
-        known = _sample(training, id_col, text_col, lang_col, train_docs).select(F.arrow_udf(telling, "double")("_text").alias("_fit"))
-        low = known.agg(F.percentile_approx("_fit", 0.01, 10_000)).first()[0]
+    scored = cut(docs.withColumn("_language_fit", F.arrow_udf(fits, "double")(F.col(text_col).cast("string"))))
+    if min_score is None:
+        known = scored.where(learned & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+        low = known.agg(F.percentile_approx(F.when(F.col("_language_fit") < 2.0, F.col("_language_fit")), 0.01, 10_000)).first()[0]
         min_score = LOW_SHARE * (low or 0.0)
-
-    def told(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for fits in _fits(profiles, texts):
-            score, grams = (fits.field(i).to_numpy() for i in range(2))
-            yield pa.array((grams > 0) & (score > 0.0) & ((grams < TELLING) | (score >= min_score)))
-
-    # one boolean, used once: a struct read in several places would be computed in each
-    return docs.where(F.arrow_udf(told, "boolean")(F.col(text_col).cast("string")))
+    return scored.where(F.col("_language_fit") >= min_score).drop("_language_fit")
