@@ -20,6 +20,8 @@ from sorrel.session import cut
 
 #: Sample rows (and numbers in it) that pivots are fitted on, pivots at most, and rounds of fitting.
 SAMPLE_ROWS, SAMPLE_NUMBERS, MOST_PIVOTS, ROUNDS = 8192, 2_000_000, 2048, 6
+#: Rows of a block at least, blocks of a side while they are below the bytes of a block at most, and queries routed together.
+LEAST_ROWS, SIDE_BLOCKS, BLOCK_BYTES, ROUTED = 4096, 8, 32 << 20, 4096
 _CHUNK = 512
 #: Relative room for rounding in a bound.
 _ROOM = 1e-9
@@ -58,6 +60,13 @@ def _nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
+def sized(rows: DataFrame, block_rows: int | None) -> tuple[int, int]:
+    """How many rows there are, and how many a block shall have."""
+    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("_cvec"))).first()
+    most = BLOCK_BYTES // (8 * max(1, width or 0))
+    return n, block_rows or max(LEAST_ROWS, min(most, -(-n // SIDE_BLOCKS)))
+
+
 def fit_pivots(rows: DataFrame, vec: str, n: int, block_rows: int) -> np.ndarray:
     """Means of a bounded sample's clusters, about one for each ``block_rows`` rows."""
     width = rows.agg(F.max(F.size(vec))).first()[0]
@@ -124,7 +133,7 @@ class Blocks:
             take = pa.array(np.concatenate(at))
             return pa.table([left.column(c).take(take) for c in ("_g", *names)] + [pa.array(np.concatenate(block).astype(np.int32))], ["_g", *names, "_b"])
 
-        salts = queries.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_nq"))
+        salts = queries.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / min(block_rows, ROUTED)).cast("int").alias("_nq"))
         left = queries.join(salts, "_g").withColumn("_qs", F.pmod(F.xxhash64("_qid"), F.col("_nq")).cast("int")).drop("_nq")
         right = self.meta.join(salts, "_g").withColumn("_ms", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1))).drop("_nq").withColumnRenamed("_g", "_mg")
         out = T.StructType([queries.schema["_g"], *(queries.schema[c] for c in names), T.StructField("_b", T.IntegerType())])

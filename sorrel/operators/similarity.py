@@ -10,7 +10,9 @@ A side of more rows than one block is first cut around pivots (``blocks``). A qu
 most promising blocks, and with the score of its k-th hit there only to the blocks that can
 hold a better one; a threshold search compares only the pairs of blocks that can reach the
 threshold. On clustered vectors a row is thus shipped a few times however many rows there are;
-where vectors have no structure nothing can be ruled out, and exact search is quadratic.
+where vectors have no structure nothing can be ruled out, and exact search is quadratic. Blocks
+grow with the rows up to ``BLOCK_BYTES`` of vectors, so until then a row is shipped a fixed
+number of times even so, and only the products are quadratic.
 """
 
 from __future__ import annotations
@@ -22,10 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sorrel.functions.vectors import as_vector
-from sorrel.operators.blocks import Blocks, codes, matrix, nearest_first, reaching
+from sorrel.operators.blocks import Blocks, codes, matrix, nearest_first, reaching, sized
 from sorrel.session import cut
 
-_CHUNK = 256
+#: Queries scored at once, and scores at once at most.
+_CHUNK, _SCORES = 256, 1 << 22
+
+
+def _step(c: np.ndarray) -> int:
+    return max(1, min(_CHUNK, _SCORES // max(1, len(c))))
 
 
 def _slack(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -54,10 +61,10 @@ def _run_rank(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _masked_scores(q, c, qcode, ccode, lo):
-    s = q[lo:lo + _CHUNK] @ c.T
+def _masked_scores(q, c, qcode, ccode, lo, step):
+    s = q[lo:lo + step] @ c.T
     if qcode is not None:
-        s[qcode[lo:lo + _CHUNK, None] == ccode[None, :]] = -np.inf
+        s[qcode[lo:lo + step, None] == ccode[None, :]] = -np.inf
     return s
 
 
@@ -70,12 +77,12 @@ def _topk_kernel(k: int, cap: int | None):
         if not len(q) or not len(c):
             return schema.empty_table()
         qcode, ccode = codes(left.column("_qtag"), right.column("_ctag"))
-        slack = _slack(q, c)
+        slack, step = _slack(q, c), _step(c)
         by_tag = np.argsort(ccode, kind="stable")
         starts = np.flatnonzero(np.r_[True, ccode[by_tag][1:] != ccode[by_tag][:-1]])
         keep_q, keep_c, keep_s = [], [], []
-        for lo in range(0, len(q), _CHUNK):
-            s = _masked_scores(q, c, qcode, ccode, lo)
+        for lo in range(0, len(q), step):
+            s = _masked_scores(q, c, qcode, ccode, lo, step)
             if cap is None:
                 floor = np.partition(s, len(c) - k, axis=1)[:, len(c) - k] if len(c) > k else None
             else:
@@ -83,9 +90,9 @@ def _topk_kernel(k: int, cap: int | None):
                 floor = np.partition(best, best.shape[1] - k, axis=1)[:, -k] if best.shape[1] >= k else None
             pool = s > -np.inf
             if floor is not None:
-                pool &= s >= (floor - slack[lo:lo + _CHUNK])[:, None]
+                pool &= s >= (floor - slack[lo:lo + step])[:, None]
             qi, ci = np.nonzero(pool)
-            exact = _sequential_dot(q[lo:lo + _CHUNK], c, qi, ci)
+            exact = _sequential_dot(q[lo:lo + step], c, qi, ci)
             order = np.lexsort((ci, -exact, qi))
             qi, ci, exact = qi[order], ci[order], exact[order]
             if cap is not None:
@@ -113,14 +120,14 @@ def _above_kernel(left: pa.Table, right: pa.Table) -> pa.Table:
     mark = left.column("_mark").to_numpy()
     mark_id = left.column("_mark_id").to_numpy()
     cid = right.column("_cid").to_numpy()
-    slack = _slack(q, c)
+    slack, step = _slack(q, c), _step(c)
     above = np.zeros(len(q), np.int64)
-    for lo in range(0, len(q), _CHUNK):
-        s = _masked_scores(q, c, qcode, ccode, lo)
-        m, near = mark[lo:lo + _CHUNK, None], slack[lo:lo + _CHUNK, None]
-        above[lo:lo + _CHUNK] = (s > m + near).sum(axis=1)
+    for lo in range(0, len(q), step):
+        s = _masked_scores(q, c, qcode, ccode, lo, step)
+        m, near = mark[lo:lo + step, None], slack[lo:lo + step, None]
+        above[lo:lo + step] = (s > m + near).sum(axis=1)
         qi, ci = np.nonzero(np.abs(s - m) <= near)
-        exact = _sequential_dot(q[lo:lo + _CHUNK], c, qi, ci)
+        exact = _sequential_dot(q[lo:lo + step], c, qi, ci)
         m_i, id_i = mark[lo + qi], mark_id[lo + qi]
         before = (exact > m_i) | ((exact == m_i) & (cid[ci] < id_i))
         np.add.at(above, lo + qi[before], 1)
@@ -136,13 +143,13 @@ def _forest_kernel(threshold: float):
         qid, cid = left.column("_qid").to_numpy(), right.column("_cid").to_numpy()
         ids, code = np.unique(np.concatenate([qid, cid]), return_inverse=True)
         qn, cn = code[: len(qid)], code[len(qid):]
-        label, slack = np.arange(len(ids)), _slack(q, c)
-        for lo in range(0, len(q), _CHUNK):
-            s = q[lo:lo + _CHUNK] @ c.T
-            qi, ci = np.nonzero(s >= threshold - slack[lo:lo + _CHUNK, None])
+        label, slack, step = np.arange(len(ids)), _slack(q, c), _step(c)
+        for lo in range(0, len(q), step):
+            s = q[lo:lo + step] @ c.T
+            qi, ci = np.nonzero(s >= threshold - slack[lo:lo + step, None])
             near = s[qi, ci] <= threshold + slack[lo + qi]
             ok = ~near
-            ok[near] = _sequential_dot(q[lo:lo + _CHUNK], c, qi[near], ci[near]) >= threshold
+            ok[near] = _sequential_dot(q[lo:lo + step], c, qi[near], ci[near]) >= threshold
             u, v = qn[lo + qi[ok]], cn[ci[ok]]
             while True:
                 # hook the larger root under the smaller one, then flatten
@@ -197,7 +204,7 @@ def _best(hits: DataFrame, k: int, cap: int | None) -> DataFrame:
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "query_id", doc_id: str = "doc_id",
           vec: str = "vec", tag: str | None = None, cap: int | None = None, group: str | None = None,
-          block_rows: int = 4096) -> DataFrame:
+          block_rows: int | None = None) -> DataFrame:
     """Exact top-k by inner product: (query_id, doc_id, tag?, score, rank) with rank from 0.
 
     ``tag`` names a column of both sides: a query never matches its own tag (pass the id
@@ -210,7 +217,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "que
     schema = T.StructType([
         T.StructField("_qid", queries.schema[query_id].dataType), T.StructField("_cid", corpus.schema[doc_id].dataType),
         T.StructField("_ctag", T.StringType()), T.StructField("_score", T.DoubleType())])
-    kernel, n = _topk_kernel(k, cap), c.count()
+    kernel, (n, block_rows) = _topk_kernel(k, cap), sized(c, block_rows)
     if n <= block_rows:
         hits = _best(_cogrouped(q, c, kernel, schema, block_rows, group is None), k, cap)
     else:
@@ -228,12 +235,12 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "que
 
 def count_above(queries: DataFrame, corpus: DataFrame, mark: str, mark_id: str, *, query_id: str = "query_id",
                 doc_id: str = "doc_id", vec: str = "vec", tag: str | None = None, group: str | None = None,
-                block_rows: int = 4096) -> DataFrame:
+                block_rows: int | None = None) -> DataFrame:
     """How many other-tag corpus rows come before a query's (mark, mark_id) in score order."""
     q = _side(queries, "q", query_id, vec, tag, group, F.col(mark).alias("_mark"), F.col(mark_id).alias("_mark_id"))
     c = _side(corpus, "c", doc_id, vec, tag, group)
     schema = T.StructType([T.StructField("_qid", queries.schema[query_id].dataType), T.StructField("_above", T.LongType())])
-    n = c.count()
+    n, block_rows = sized(c, block_rows)
     if n <= block_rows:
         counts = _cogrouped(q, c, _above_kernel, schema, block_rows, group is None)
     else:
@@ -245,7 +252,7 @@ def count_above(queries: DataFrame, corpus: DataFrame, mark: str, mark_id: str,
 
 
 def threshold_forest(items: DataFrame, threshold: float, *, ident: str = "id", vec: str = "vec",
-                     group: str | None = None, block_rows: int = 2048) -> DataFrame:
+                     group: str | None = None, block_rows: int | None = None) -> DataFrame:
     """Edges (u, v) that connect exactly the items whose similarity graph connects them.
 
     Each block pair yields a spanning forest of its edges at or above the threshold, so a
@@ -253,7 +260,7 @@ def threshold_forest(items: DataFrame, threshold: float, *, ident: str = "id", v
     """
     q = _side(items, "q", ident, vec, None, group).withColumn("_qid", F.col("_qid").cast("long"))
     c = _side(items, "c", ident, vec, None, group).withColumn("_cid", F.col("_cid").cast("long"))
-    n = c.count()
+    n, block_rows = sized(c, block_rows)
     if n <= block_rows:
         return _cogrouped(q, c, _forest_kernel(threshold), "u long, v long", block_rows, group is None).distinct()
     blocks = Blocks(c, n, block_rows, group is not None)
