@@ -68,16 +68,33 @@ def _small_trees(items: DataFrame) -> DataFrame:
     return items.groupBy("_g").applyInArrow(lambda t: run(t), out)
 
 
-def _large_trees(items: DataFrame, block_rows: int) -> list[DataFrame]:
-    """The tree's links round by round: every component takes its best link, ties by ids, so links never close a ring."""
+def _large_trees(items: DataFrame, block_rows: int | None) -> list[DataFrame]:
+    """The tree's links round by round: every component takes its best link, ties by ids, so links never close a ring.
+
+    A round asks only for vectors whose last hit has come into their component and may still hold its best link.
+    """
     from sorrel.operators.groups import components
 
-    roots, found = cut(items.select("_id", F.col("_id").alias("root"))), []
+    roots, found, hits = cut(items.select("_id", F.col("_id").alias("root"))), [], None
     for _ in range(_LEVELS):
         own = cut(items.join(roots, "_id"))
-        hits = top_k(own.withColumnRenamed("_id", "query_id"), own.withColumnRenamed("_id", "doc_id"), 1, vec="_vec", tag="root", group="_g", block_rows=block_rows)
-        link = hits.join(own.select(F.col("_id").alias("query_id"), "_g", "root"), "query_id").select(
-            "_g", "root", F.col("doc_tag").cast("long").alias("other"), F.least("query_id", "doc_id").alias("lo"), F.greatest("query_id", "doc_id").alias("hi"), "score")
+        live = cut(own.groupBy("_g").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where(F.col("_low") < F.col("_high")).select("_g"))
+        if live.isEmpty():
+            return found
+        own = asks = own.join(F.broadcast(live), "_g", "left_semi")
+        if hits is not None:
+            # a hit outside the component is still the best; the others' scores bound what they can find now
+            ends = roots.select(F.col("_id").alias("doc_id"), F.col("root").alias("_there"))
+            known = hits.join(roots.select(F.col("_id").alias("query_id"), "root"), "query_id").join(ends, "doc_id").withColumn("_out", F.col("root") != F.col("_there"))
+            least = known.groupBy("root").agg(F.max(F.when(F.col("_out"), F.col("score"))).alias("_least"))
+            known = cut(known.join(least, "root").withColumn("_ask", ~F.col("_out") & (F.col("_least").isNull() | (F.col("score") >= F.col("_least")))))
+            asks = own.join(known.where("_ask").select(F.col("query_id").alias("_id")), "_id", "left_semi")
+        new = top_k(asks.withColumnRenamed("_id", "query_id"), own.withColumnRenamed("_id", "doc_id"), 1, vec="_vec", tag="root", group="_g", block_rows=block_rows).select(
+            "query_id", "doc_id", "score")
+        hits = cut(new if hits is None else known.where("NOT _ask").select("query_id", "doc_id", "score").unionByName(new))
+        link = hits.join(own.select(F.col("_id").alias("query_id"), "_g", "root"), "query_id").join(
+            roots.select(F.col("_id").alias("doc_id"), F.col("root").alias("other")), "doc_id").where(F.col("root") != F.col("other")).select(
+            "_g", "root", "other", F.least("query_id", "doc_id").alias("lo"), F.greatest("query_id", "doc_id").alias("hi"), "score")
         best = F.min(F.struct((-F.col("score")).alias("away"), "lo", "hi", "other", "_g")).alias("w")
         chosen = cut(link.groupBy("root").agg(best).select("root", "w.other", "w._g", "w.lo", "w.hi", (-F.col("w.away")).alias("score")))
         if chosen.isEmpty():
@@ -88,7 +105,7 @@ def _large_trees(items: DataFrame, block_rows: int) -> list[DataFrame]:
     raise RuntimeError("the spanning tree did not settle")
 
 
-def spanning_tree(items: DataFrame, *, ident: str = "id", part: str | None = "part", vec: str = "vec", block_rows: int = TREE_ROWS) -> DataFrame:
+def spanning_tree(items: DataFrame, *, ident: str = "id", part: str | None = "part", vec: str = "vec", block_rows: int | None = None) -> DataFrame:
     """(_g, lo, hi, d): links of the minimum spanning tree of every group, by distance of the unit vectors.
 
     Rows with a NULL group or vector take no part; ids are whole numbers and not repeated.
@@ -97,7 +114,7 @@ def spanning_tree(items: DataFrame, *, ident: str = "id", part: str | None = "pa
     own = cut(items.select(group.alias("_g"), F.col(ident).cast("long").alias("_id"), unit(vec).alias("_vec")).where(
         F.col("_g").isNotNull() & F.col("_vec").isNotNull()))
     sizes = own.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    large = cut(sizes.where(F.col("_n") > block_rows).select("_g"))
+    large = cut(sizes.where(F.col("_n") > (block_rows or TREE_ROWS)).select("_g"))
     tree = _small_trees(own.join(large, "_g", "left_anti"))
     if not large.isEmpty():
         for links in _large_trees(own.join(large, "_g", "left_semi"), block_rows):
@@ -199,7 +216,7 @@ def _level(links: DataFrame, fold_edges: int) -> DataFrame:
 
 
 def density_hubs(items: DataFrame, *, ident: str = "id", part: str | None = "part", vec: str = "vec", min_size: int = 3,
-                 block_rows: int = TREE_ROWS, fold_edges: int = FOLD_EDGES) -> DataFrame:
+                 block_rows: int | None = None, fold_edges: int = FOLD_EDGES) -> DataFrame:
     """``items`` with ``hub_id``: the lowest id of the kept cluster of ``min_size`` points at least, -1 for noise.
 
     Groups of ``part`` are apart. Rows with a NULL part or vector, and groups without two clusters, are noise.

@@ -1,6 +1,6 @@
 import numpy as np
 
-from sorrel.operators import blocks, similarity
+from sorrel.operators import blocks, density, similarity
 
 
 def _frame(spark, m):
@@ -19,3 +19,21 @@ def test_a_row_without_structure_is_shipped_a_fixed_number_of_times(spark, monke
         assert hits == dict(enumerate(np.argmax(m @ m.T, axis=1).tolist()))
         assert sum(sent) <= blocks.SIDE_BLOCKS * n
         sent.clear()
+
+
+def test_later_rounds_of_a_tree_ask_only_for_open_vectors(spark, monkeypatch):
+    asked, search = [], density.top_k
+
+    def counting(q, d, *args, **kwargs):
+        asked.append(q.count())
+        return search(q, d, *args, **kwargs)
+
+    monkeypatch.setattr(density, "top_k", counting)
+    m = np.random.default_rng(7).normal(size=(300, 6))
+    links = density.spanning_tree(_frame(spark, m), block_rows=64).collect()
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    ids, score = np.arange(300), unit @ unit.T
+    lo, hi, _ = density._tree(ids, unit)
+    assert {(r["lo"], r["hi"]) for r in links} == set(zip(lo.tolist(), hi.tolist())) and len(links) == 299
+    # every first hit becomes a link, so the second round asks for all once more
+    assert asked[:2] == [300, 300] and len(asked) > 2 and all(a < 200 for a in asked[2:])
