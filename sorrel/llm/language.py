@@ -33,6 +33,8 @@ UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
 _REMEMBERED, _LONG = 100_000, 40
+#: Words of a text whose n-grams are counted at once, so a text of any length needs bounded memory.
+_WORDS_AT_ONCE = 1 << 16
 
 
 class _Grams(dict):
@@ -70,14 +72,46 @@ def ranked(counts: Counter, size: int = PROFILE) -> list[str]:
     return [g for _, g in items[:size]]
 
 
+def _number(gram: str) -> int:
+    """An n-gram of at most three letters as a number; numbers are ordered as the n-grams are."""
+    return sum((ord(c) + 1) << at for c, at in zip(gram, (42, 21, 0)))
+
+
+def _numbers(words: list[str]) -> np.ndarray:
+    """The numbers of all n-grams of some words, repeats included."""
+    a = np.frombuffer(f"_{'__'.join(words)}_".encode("utf-32-le"), "<u4").astype(np.int64) + 1
+    letter = a != _number("_") >> 42
+    # two marks in a row stand between two words, which no n-gram spans
+    inside = letter[:-1] | letter[1:]
+    one = a << 42
+    two = one[:-1] | a[1:] << 21
+    return np.concatenate([one[letter], two[inside], (two[:-1] | a[2:])[inside[:-1] & inside[1:]]])
+
+
+def ranked_numbers(text: str | None, size: int = PROFILE, words_at_once: int = _WORDS_AT_ONCE) -> np.ndarray:
+    """What ``ranked`` of the text's counts gives, as numbers: words are cut and counted together."""
+    words = _WORD.findall((text or "").lower())
+    numbers, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for lo in range(0, len(words), words_at_once):
+        more, n = np.unique(_numbers(words[lo:lo + words_at_once]), return_counts=True)
+        if lo:
+            more, place = np.unique(np.concatenate([numbers, more]), return_inverse=True)
+            old, n = np.concatenate([counts, n]), np.zeros(len(more), np.int64)
+            np.add.at(n, place, old)
+        numbers, counts = more, n
+    return numbers[np.argsort(-counts, kind="stable")[:size]]
+
+
 class Profiles:
     """Ranks of every listed n-gram in every language."""
 
     def __init__(self, profiles: dict[str, list[str]], size: int = PROFILE):
         self.languages = sorted(profiles)
         self.size = size
-        listed = dict.fromkeys(g for p in profiles.values() for g in p)
+        # rows in the order of the numbers
+        listed = sorted({g for p in profiles.values() for g in p}, key=_number)
         self.row = {g: i for i, g in enumerate(listed)}
+        self.numbers = np.array([_number(g) for g in listed], np.int64)
         self.ranks = np.full((len(listed), len(self.languages)), 1 << 30, np.int64)
         for j, language in enumerate(self.languages):
             for r, g in enumerate(profiles[language]):
@@ -85,13 +119,18 @@ class Profiles:
 
     def nearest(self, document: list[str]) -> tuple[str, float]:
         """(language, score): score is one less the share of the greatest possible distance."""
-        if not document or not self.languages:
+        return self.nearest_numbers(np.array([_number(g) for g in document], np.int64))
+
+    def nearest_numbers(self, document: np.ndarray) -> tuple[str, float]:
+        """``nearest`` of n-grams given as numbers."""
+        if not len(document) or not self.languages:
             return UNKNOWN, 0.0
-        known = [(r, self.row[g]) for r, g in enumerate(document) if g in self.row]
-        distance = np.full(len(self.languages), (len(document) - len(known)) * self.size, np.int64)
-        if known:
-            rank, row = np.array(known).T
-            distance += np.minimum(np.abs(self.ranks[row] - rank[:, None]), self.size).sum(axis=0)
+        distance = np.full(len(self.languages), len(document) * self.size, np.int64)
+        if len(self.numbers):
+            row = np.minimum(np.searchsorted(self.numbers, document), len(self.numbers) - 1)
+            rank = np.flatnonzero(self.numbers[row] == document)
+            distance -= self.size * len(rank)
+            distance += np.minimum(np.abs(self.ranks[row[rank]] - rank[:, None]), self.size).sum(axis=0)
         best = int(np.argmin(distance))
         return self.languages[best], 1.0 - float(distance[best]) / (len(document) * self.size)
 
@@ -167,9 +206,8 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), held_out(id_col).alias("_held"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = _Grams()
         for batch in batches:
-            found = [profiles.nearest(ranked(gram_counts(t, grams))) for t in texts_of(batch)]
+            found = [profiles.nearest_numbers(ranked_numbers(t)) for t in texts_of(batch)]
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array([f[0] for f in found], pa.string()),
                                    pa.array([f[1] for f in found], pa.float64())], [id_col, "held_out", "lang_pred", "score"])
 
@@ -180,11 +218,13 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def _fits(profiles: Profiles, texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """(score, grams) of texts: how well the nearest language fits, and how many n-grams tell it."""
-    grams = _Grams()
     for batch in texts:
-        ranks = [ranked(gram_counts(t.as_py(), grams)) for t in batch]
-        yield pa.StructArray.from_arrays([pa.array([profiles.nearest(r)[1] for r in ranks], pa.float64()), pa.array([len(r) for r in ranks], pa.int32())],
-                                         ["score", "grams"])
+        score, grams = [], []
+        for t in batch:
+            ranks = ranked_numbers(t.as_py())
+            score.append(profiles.nearest_numbers(ranks)[1])
+            grams.append(len(ranks))
+        yield pa.StructArray.from_arrays([pa.array(score, pa.float64()), pa.array(grams, pa.int32())], ["score", "grams"])
 
 
 def keep_identified(docs: DataFrame, min_score: float | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

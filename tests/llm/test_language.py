@@ -76,3 +76,12 @@ def test_gibberish_and_an_unlearned_language_go(spark):
     more = spark.createDataFrame(list(odd.items()), "doc_id long, text string").selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")
     kept = {r["doc_id"] for r in language.keep_identified(docs.unionByName(more)).collect()}
     assert kept == {r["doc_id"] for r in docs.collect()}
+
+
+def test_numbered_ranks_are_those_of_the_plain_list():
+    texts = ["", None, "1234 !?", "Der Öl-Tank, der ROTE.", "aa aa ab", "x" * 500, "İ ß 中文 𝒜𝒷 a", "The cat " * 100 + "sat on mats " * 3]
+    p = language.Profiles({"a": plain_rank(texts[3]), "b": plain_rank(texts[7])})
+    for t in texts:
+        for words in (1 << 16, 7):
+            assert language.ranked_numbers(t, words_at_once=words).tolist() == [language._number(g) for g in plain_rank(t)]
+        assert p.nearest_numbers(language.ranked_numbers(t)) == p.nearest(plain_rank(t))
