@@ -43,7 +43,7 @@ SIMILAR = (4, 5)
 PARITIES = 256
 #: Counters that tell rare shingles from frequent ones (the order only decides how much is compared), and their parts.
 COUNTERS, PARTS = 1 << 18, 16
-#: Names of sets that a task remembers to have keyed, and words whose hashes it remembers.
+#: Names of sets that a task remembers to have keyed.
 REMEMBERED = 1 << 18
 #: Odd factors that mix the hashes of words.
 MIX = tuple(np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
@@ -51,19 +51,6 @@ MIX = tuple(np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4C
 PACKET_BYTES, PACKET_PAIRS = 1 << 23, 512
 
 
-class _WordHashes(dict):
-    """Hashes of words, remembered while there are few of them."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word.encode())
-        return found
-
-
-_HASHES = _WordHashes()
-
-
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the five-word shingles; a shorter text is one shingle.
 
@@ -72,7 +59,8 @@ def shingles(text: str | None) -> np.ndarray:
     words = (text or "").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    each = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    # nothing is remembered from text to text: a worker outlives its stage and would keep it
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     span = min(WORDS, len(words))
     n = len(words) - span + 1
     mixed = np.full(n, span, np.uint64)

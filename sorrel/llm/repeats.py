@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sorrel.llm.common import texts_of
+from sorrel.llm.common import sliced, texts_of
 from sorrel.session import cut, drop_tables
 
 #: Surroundings of one anchor (about 500 bytes each) above which its windows are counted as rows
@@ -45,6 +45,8 @@ OPEN_AS_ROWS = 2000
 ROWS_PER_PACKET = 20_000
 #: Window starts handled at once, so a text of any length needs bounded memory.
 SEGMENT = 1 << 20
+#: Units of texts whose windows are hashed together, at most ``SEGMENT``; a longer text is a pack of its own.
+PACK = 1 << 16
 
 _POSITION_BITS = 26
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -54,31 +56,17 @@ BYTE, WORD = 1, 8
 _SPACED = re.compile(r"\S+")
 
 
-class _Digests(dict):
-    """Digests of words; frequent ones are remembered within a bound."""
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= 1 << 17:
-            self.clear()
-        found = xxhash.xxh64_digest(word.encode())
-        if len(word) < 64:
-            self[word] = found
-        return found
-
-
-_word_digests = _Digests()
-
-
 def encoded(text: str | None, width: int = BYTE) -> bytes:
     """The text's bytes, or eight bytes for each of its words."""
     if width == BYTE:
         return (text or "").encode()
-    return b"".join(map(_word_digests.__getitem__, (text or "").split()))
+    # hashing a word costs less than remembering it
+    return b"".join(map(xxhash.xxh64_digest, (text or "").split()))
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2^64."""
-    size = 1 << max(12, (n - 1).bit_length())
+    """Powers of the hash base and of its inverse modulo 2^64, ``n`` at least."""
+    size = max(1 << max(12, (n - 1).bit_length()), *_powers, 0)
     if size not in _powers:
         _powers.clear()
         up, down = np.full(size, _BASE), np.full(size, np.uint64(pow(int(_BASE), -1, 1 << 64)))
@@ -87,29 +75,34 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def bundles(data: bytes, threshold: int, segment: int = SEGMENT, *, width: int = BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first, last): each run of window starts first..last whose windows share an anchor."""
+def _anchors(a: np.ndarray, threshold: int) -> np.ndarray:
+    """For each window start in a run of units, where the smallest hashed half-window of its window lies."""
     half = threshold // 2
     span = threshold - half + 1
+    m = len(a) - threshold + 1
+    up, down = _power_tables(len(a) + 1)
+    sums = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum(a * up[:len(a)], out=sums[1:])
+    h = (sums[half:] - sums[:-half]) * down[:len(a) - half + 1]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    low = np.uint64((1 << _POSITION_BITS) - 1)
+    h = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+    # sliding minimum: suffix minima of one block joined with prefix minima of the next
+    blocks = np.concatenate([h, np.full(-len(h) % span, ~np.uint64(0))]).reshape(-1, span)
+    left = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()[:m]
+    right = np.minimum.accumulate(blocks, axis=1).ravel()[span - 1:span - 1 + m]
+    return (np.minimum(left, right) & low).astype(np.int64)
+
+
+def bundles(data: bytes, threshold: int, segment: int = SEGMENT, *, width: int = BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first, last): each run of window starts first..last whose windows share an anchor."""
     starts = len(data) // width - threshold + 1
     out = []
     for begin in range(0, max(starts, 0), segment):
         m = min(segment, starts - begin)
-        a = np.frombuffer(data, f"u{width}", m + threshold - 1, begin * width)
-        up, down = _power_tables(len(a) + 1)
-        sums = np.zeros(len(a) + 1, np.uint64)
-        np.cumsum(a * up[:len(a)], out=sums[1:])
-        h = (sums[half:] - sums[:-half]) * down[:len(a) - half + 1]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        low = np.uint64((1 << _POSITION_BITS) - 1)
-        h = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-        # sliding minimum: suffix minima of one block joined with prefix minima of the next
-        blocks = np.concatenate([h, np.full(-len(h) % span, ~np.uint64(0))]).reshape(-1, span)
-        left = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()[:m]
-        right = np.minimum.accumulate(blocks, axis=1).ravel()[span - 1:span - 1 + m]
-        anchor = (np.minimum(left, right) & low).astype(np.int64)
+        anchor = _anchors(np.frombuffer(data, f"u{width}", m + threshold - 1, begin * width), threshold)
         change = np.flatnonzero(np.diff(anchor)) + 1
         first, last = np.r_[0, change], np.r_[change - 1, m - 1]
         out.append((anchor[first] + begin, first + begin, last + begin))
@@ -119,28 +112,73 @@ def bundles(data: bytes, threshold: int, segment: int = SEGMENT, *, width: int =
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _second_digits(data: bytes, anchor: np.ndarray, first: np.ndarray, last: np.ndarray, threshold: int, width: int) -> np.ndarray:
-    """Hash of all units a bundle spans, seeded with where its anchor lies in them."""
-    return np.fromiter((_digest(data[f * width:(e + threshold) * width], a - f) for a, f, e in zip(anchor.tolist(), first.tolist(), last.tolist())),
-                       np.uint64, len(anchor)).view(np.int64)
+class _Pack:
+    """Some texts behind each other and their bundles: number of the text and its first unit, anchor, first, last in the pack."""
 
+    def __init__(self, texts: list[tuple[int, bytes]], threshold: int, width: int):
+        self.threshold, self.width = threshold, width
+        self.data = b"".join(d for _, d in texts) if len(texts) > 1 else texts[0][1]
+        sizes = np.array([len(d) // width for _, d in texts], np.int64)
+        if len(texts) == 1:
+            self.anchor, self.first, self.last = bundles(self.data, threshold, width=width)
+            at = np.zeros(len(self.first), np.int64)
+        else:
+            # windows over the end of a text are left out; an anchor lies in its window's text, so bundles end there too
+            starts = np.repeat(np.cumsum(sizes) - sizes - np.cumsum(sizes - threshold + 1) + (sizes - threshold + 1), sizes - threshold + 1)
+            starts += np.arange(len(starts))
+            anchor = _anchors(np.frombuffer(self.data, f"u{width}"), threshold)[starts]
+            change = np.flatnonzero(np.diff(anchor)) + 1
+            first = np.r_[0, change]
+            self.anchor, self.first, self.last = anchor[first], starts[first], starts[np.r_[change - 1, len(starts) - 1]]
+            at = np.searchsorted(np.cumsum(sizes), self.first, "right")
+        self.text = np.array([i for i, _ in texts], np.int64)[at]
+        self.start = (np.cumsum(sizes) - sizes)[at]
+
+    def first_digits(self, which: np.ndarray) -> np.ndarray:
+        """Hashes of the anchors of some bundles."""
+        data, w, half = self.data, self.width, self.threshold // 2
+        return np.fromiter((_digest(data[a * w:(a + half) * w]) for a in self.anchor[which].tolist()), np.uint64, len(which)).view(np.int64)
+
+    def second_digits(self) -> np.ndarray:
+        """Hash of all units a bundle spans, seeded with where its anchor lies in them."""
+        data, w, threshold = self.data, self.width, self.threshold
+        return np.fromiter((_digest(data[f * w:(e + threshold) * w], a - f) for a, f, e in zip(self.anchor.tolist(), self.first.tolist(), self.last.tolist())),
+                           np.uint64, len(self.anchor)).view(np.int64)
+
+    def body(self, k: int) -> bytes:
+        return self.data[self.first[k] * self.width:(self.last[k] + self.threshold) * self.width]
+
+
+def _packs(texts: Iterable[tuple[int, str | None]], threshold: int, width: int) -> Iterator[_Pack]:
+    """Numbered texts in packs; texts shorter than a window are left out. Bundles depend on their own text alone."""
+    held, units = [], 0
+    for i, text in texts:
+        data = encoded(text, width)
+        n = len(data) // width
+        if n < threshold:
+            continue
+        if held and units + n > PACK:
+            yield _Pack(held, threshold, width)
+            held, units = [], 0
+        held.append((i, data))
+        units += n
+    if held:
+        yield _Pack(held, threshold, width)
 
-def _digit_rows(threshold: int, width: int):
-    half = threshold // 2
 
+def _digit_rows(threshold: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, h, c, n = [], [], [], []
-            for i, text in enumerate(texts_of(batch)):
-                data = encoded(text, width)
-                if len(data) < threshold * width:
-                    continue
-                anchor, first, last = bundles(data, threshold, width=width)
-                second, at, count = np.unique(_second_digits(data, anchor, first, last, threshold, width), return_index=True, return_counts=True)
-                h.append(np.fromiter((_digest(data[a * width:(a + half) * width]) for a in anchor[at].tolist()), np.uint64, len(at)).view(np.int64))
-                c.append(second)
-                n.append(count)
-                row.append(np.full(len(at), i))
+            for pack in _packs(enumerate(texts_of(batch)), threshold, width):
+                second = pack.second_digits()
+                order = np.lexsort((second, pack.text))
+                text, digit = pack.text[order], second[order]
+                new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (digit[1:] != digit[:-1])])
+                h.append(pack.first_digits(order[new]))
+                c.append(digit[new])
+                n.append(np.diff(np.r_[new, len(order)]))
+                row.append(text[new])
             if row:
                 yield pa.record_batch([batch.column(0).take(pa.array(np.concatenate(row))), pa.array(np.concatenate(h)),
                                        pa.array(np.concatenate(c)), pa.array(np.concatenate(n).astype(np.int64))], ["_id", "h", "c", "n"])
@@ -150,27 +188,27 @@ def _digit_rows(threshold: int, width: int):
 
 def _surroundings(threshold: int, width: int):
     """The bytes of the bundles that pass 3 needs, each from the one document that brings it."""
-    half = threshold // 2
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            needed = batch.column(2)
-            row, h, c, at, body = [], [], [], [], []
-            for i, text in enumerate(texts_of(batch)):
-                want = dict.fromkeys(needed[i].as_py())
-                data = encoded(text, width)
-                anchor, first, last = bundles(data, threshold, width=width)
-                for a, f, e, digit in zip(anchor.tolist(), first.tolist(), last.tolist(),
-                                          _second_digits(data, anchor, first, last, threshold, width).tolist()):
-                    if digit in want:
-                        del want[digit]
-                        row.append(i)
-                        h.append(np.uint64(_digest(data[a * width:(a + half) * width])).view(np.int64))
-                        c.append(digit)
-                        at.append(a - f)
-                        body.append(data[f * width:(e + threshold) * width])
-            yield pa.record_batch([batch.column(0).take(pa.array(row, pa.int64())), pa.array(h, pa.int64()), pa.array(c, pa.int64()),
-                                   pa.array(at, pa.int64()), pa.array(body, pa.binary())], ["_id", "h", "c", "at", "body"])
+        for whole in batches:
+            for batch in sliced([whole]):
+                needed = batch.column(2)
+                row, h, c, at, body = [], [], [], [], []
+                wanted = {i: set(needed[i].as_py()) for i in range(batch.num_rows)}
+                for pack in _packs(enumerate(texts_of(batch)), threshold, width):
+                    which = []
+                    for k, (i, digit) in enumerate(zip(pack.text.tolist(), pack.second_digits().tolist())):
+                        if digit in wanted[i]:
+                            wanted[i].remove(digit)
+                            which.append(k)
+                            row.append(i)
+                            c.append(digit)
+                            body.append(pack.body(k))
+                    which = np.array(which, np.int64)
+                    h.append(pack.first_digits(which))
+                    at.append(pack.anchor[which] - pack.first[which])
+                if row:
+                    yield pa.record_batch([batch.column(0).take(pa.array(row, pa.int64())), pa.array(np.concatenate(h)), pa.array(c, pa.int64()),
+                                           pa.array(np.concatenate(at)), pa.array(body, pa.binary())], ["_id", "h", "c", "at", "body"])
 
     return run
 
@@ -274,23 +312,35 @@ def repeated_bundles(docs: DataFrame, threshold: int, id_col: str = "doc_id", te
     return marked
 
 
-def removed_spans(data: bytes, marks: list, threshold: int, width: int = BYTE) -> list[tuple[int, int]]:
-    """Maximal runs of repeated units of one text, from the marks of its bundles."""
-    by_digit: dict[int, list] = {}
-    for m in marks or ():
-        by_digit.setdefault(m["c"], []).append((m["lo"], m["hi"]))
-    if not by_digit:
-        return []
-    anchor, first, last = bundles(data, threshold, width=width)
-    spans: list[list[int]] = []
-    for f, e, digit in zip(first.tolist(), last.tolist(), _second_digits(data, anchor, first, last, threshold, width).tolist()):
-        for lo, hi in sorted(by_digit.get(digit, ())):
-            s, t = (f, e + threshold) if lo < 0 else (f + lo, f + hi + threshold)
-            if spans and s <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], t)
-            else:
-                spans.append([s, t])
-    return [(s, t) for s, t in spans]
+def _spans(texts: Iterable[tuple[int, str | None]], marks: dict[int, dict[int, list]], threshold: int, width: int) -> dict[int, list[tuple[int, int]]]:
+    """Maximal runs of repeated units of numbered texts, from the marks (digit: windows) of their bundles."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    for pack in _packs(((i, t) for i, t in texts if i in marks), threshold, width):
+        for i, begin, f, e, digit in zip(pack.text.tolist(), pack.start.tolist(), pack.first.tolist(), pack.last.tolist(), pack.second_digits().tolist()):
+            found = marks[i].get(digit)
+            if found is None:
+                continue
+            spans = out.setdefault(i, [])
+            f, e = f - begin, e - begin
+            for lo, hi in sorted(found):
+                s, t = (f, e + threshold) if lo < 0 else (f + lo, f + hi + threshold)
+                if spans and s <= spans[-1][1]:
+                    spans[-1] = spans[-1][0], max(spans[-1][1], t)
+                else:
+                    spans.append((s, t))
+    return out
+
+
+def _marked(column: pa.ListArray) -> dict[int, dict[int, list]]:
+    """The marks of each row that has some: digit and its windows."""
+    out: dict[int, dict[int, list]] = {}
+    offsets, there = column.offsets.to_pylist(), column.is_valid().to_pylist()
+    for i in np.flatnonzero(there).tolist():
+        of = out[i] = {}
+        some = slice(offsets[i], offsets[i + 1])
+        for c, lo, hi in zip(*(column.values.field(k)[some].to_pylist() for k in range(3))):
+            of.setdefault(c, []).append((lo, hi))
+    return out
 
 
 def _with_marks(docs: DataFrame, threshold: int, id_col: str, text_col: str, words: int | None) -> DataFrame:
@@ -316,11 +366,13 @@ def removal_report(docs: DataFrame, threshold: int = 400, id_col: str = "doc_id"
     joined = _with_marks(docs, threshold, id_col, text_col, words).select("_id", "_text", "marks", "_words")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             n, removed, spans, sha, passages, passage_bytes = [], [], [], [], [], []
-            for text, marks, by_word in zip(texts_of(batch), batch.column(2), batch.column(3)):
+            by_byte = _spans(enumerate(texts_of(batch)), _marked(batch.column(2)), threshold, BYTE)
+            by_word = _spans(enumerate(texts_of(batch)), _marked(batch.column(3)), words, WORD) if words else {}
+            for i, text in enumerate(texts_of(batch)):
                 data = (text or "").encode()
-                cuts = removed_spans(data, marks.as_py(), threshold)
+                cuts = by_byte.get(i, [])
                 digest, at = hashlib.sha256(), 0
                 for s, t in cuts:
                     digest.update(data[at:s])
@@ -330,7 +382,7 @@ def removal_report(docs: DataFrame, threshold: int = 400, id_col: str = "doc_id"
                 removed.append(sum(t - s for s, t in cuts))
                 spans.append(len(cuts))
                 sha.append(digest.hexdigest())
-                found = _word_spans(text, by_word.as_py(), words) if by_word.is_valid else []
+                found = _in_bytes(text, by_word.get(i))
                 passages.append(len(found))
                 passage_bytes.append(sum(t - s for s, t in found))
             columns = [*(pa.array(c, pa.int64()) for c in (n, removed, spans)), pa.array(sha, pa.string()), *(pa.array(c, pa.int64()) for c in (passages, passage_bytes))]
@@ -342,9 +394,8 @@ def removal_report(docs: DataFrame, threshold: int = 400, id_col: str = "doc_id"
     return out if words else out.drop("n_passages", "passage_bytes")
 
 
-def _word_spans(text: str, marks: list, words: int) -> list[tuple[int, int]]:
-    """Repeated runs of words as spans of bytes, with the white space between their words."""
-    found = removed_spans(encoded(text, WORD), marks, words, WORD)
+def _in_bytes(text: str, found: list[tuple[int, int]] | None) -> list[tuple[int, int]]:
+    """Runs of words as spans of bytes, with the white space between their words."""
     if not found:
         return []
     at = [m.span() for m in _SPACED.finditer(text)]
@@ -376,15 +427,17 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, id_col: str = "doc_id"
     marked = F.coalesce("marks", "_words").isNotNull()
 
     def kept(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for texts, by_byte, by_word in columns:
+        for texts, marks, runs in columns:
             out = []
-            for text, marks, runs in zip(texts, by_byte, by_word):
-                text = text.as_py()
+            numbered = lambda: ((i, t.as_py()) for i, t in enumerate(texts))
+            by_byte = _spans(numbered(), _marked(marks), threshold, BYTE)
+            by_word = _spans(numbered(), _marked(runs), words, WORD) if words else {}
+            for i, text in numbered():
                 if text is None:
                     out.append(None)
                     continue
                 data, parts, at = text.encode(), [], 0
-                for s, t in _merged(removed_spans(data, marks.as_py(), threshold) + (_word_spans(text, runs.as_py(), words) if words else [])):
+                for s, t in _merged(by_byte.get(i, []) + _in_bytes(text, by_word.get(i))):
                     parts.append(data[at:s].decode(errors="ignore"))
                     at = t
                 parts.append(data[at:].decode(errors="ignore"))

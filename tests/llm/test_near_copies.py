@@ -136,3 +136,13 @@ def test_keys_of_sets():
     assert len(found) == 6 and len(nearcopies.prefix(found, np.zeros(8, np.uint32))) == 2
     assert len(nearcopies.shingles(" ")) == 0 and len(nearcopies.shingles("A b")) == 1
     assert (nearcopies.shingles("A B") == nearcopies.shingles("a  b")).all()
+
+
+def test_a_worker_keeps_no_words_of_the_texts_it_has_seen():
+    from sorrel.llm import repeats
+
+    for i in range(300):
+        text = " ".join(f"w{i}x{j}" for j in range(10))
+        nearcopies.shingles(text)
+        repeats.encoded(text, repeats.WORD)
+    assert not [k for m in (nearcopies, repeats) for k, v in vars(m).items() if k != "__builtins__" and isinstance(v, dict) and len(v) > 1000]

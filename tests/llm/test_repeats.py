@@ -64,3 +64,19 @@ def test_removal_keeps_columns_and_valid_text(spark):
     rows = {r["doc_id"]: r for r in out.collect()}
     assert rows[3]["text"] is None and rows[1]["marks"] == "s" and rows[2]["n_chars"] == 5
     assert rows[1]["text"].endswith("A") and len(rows[1]["text"]) <= 4
+
+
+def test_bundles_in_a_pack_are_those_of_each_text():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abé🙂") for _ in range(rng.randrange(1, 9)))
+    texts = [" ".join(word() for _ in range(rng.choice((1, 60, 200)))) for _ in range(40)] + [None, "", "z" * 90_000, "ab " * 40]
+    for threshold, width in ((50, repeats.BYTE), (11, repeats.WORD)):
+        got = {}
+        for pack in repeats._packs(enumerate(texts), threshold, width):
+            for k, (i, begin) in enumerate(zip(pack.text.tolist(), pack.start.tolist())):
+                a, f, e = (int(x[k]) - begin for x in (pack.anchor, pack.first, pack.last))
+                got.setdefault(i, []).append((a, f, e, pack.body(k)))
+        for i, t in enumerate(texts):
+            data = repeats.encoded(t, width)
+            want = [(a, f, e, data[f * width:(e + threshold) * width]) for a, f, e in zip(*(x.tolist() for x in repeats.bundles(data, threshold, width=width)))]
+            assert got.get(i, []) == want
