@@ -24,12 +24,12 @@ _LEAF = rf"(?:[\x09-\x0D\x20]*+[^\x09-\x0D\x20]++){{1,{LEAF_WORDS}}}+|[\x09-\x0D
 
 def tree(text: Column) -> Column:
     """Leaves of a text as sections of paragraphs of digests; empty text is one empty paragraph."""
-    leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(_LEAF), F.lit(0)), lambda w: F.md5(F.encode(w, "UTF-8")))
+    leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(_LEAF), F.lit(0)), lambda w: F.md5(w.cast("binary")))
     return F.transform(F.split(text, "\n\n"), lambda s: F.transform(F.split(s, "\n"), leaves))
 
 
 def _node(children: Column) -> Column:
-    return F.sha2(F.encode(F.concat_ws("", children), "UTF-8"), 256)
+    return F.sha2(F.concat_ws("", children).cast("binary"), 256)
 
 
 def paragraphs(tree_col: Column) -> Column:
@@ -60,12 +60,23 @@ def first_difference(paragraphs_a: Column, paragraphs_b: Column) -> Column:
     return F.when(at > 0, at - 1).cast("long")
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def _with_tree(df: DataFrame, text: str, root_col: str, leaves_col: str, paragraphs_col: str | None = None) -> DataFrame:
+    """Root, distinct leaves and, if named, paragraph digests of a text; no text is cut and no node hashed twice."""
+    others = df.columns
+    cut = df.select(*others, tree(F.col(text)).alias("_tree"))
+    nodes = cut.select(*others, F.transform("_tree", lambda s: F.transform(s, _node)).alias("_nodes"), leaf_set(F.col("_tree")).alias(leaves_col))
+    found = [_node(F.transform("_nodes", _node)).alias(root_col), leaves_col]
+    return nodes.select(*others, *found, *([F.flatten("_nodes").alias(paragraphs_col)] if paragraphs_col else []))
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = ROWS_PER_BUCKET, trees: bool = False) -> DataFrame:
     """(_id, _text, _next): each text with the one that follows in descending id, the first after the last.
 
     Texts move once: neighbours meet in small ranges of the id, and only the first text of each
     range is also sent to the range before it. Repeated ids are ordered by text hash, null ids
-    come last; null text counts as empty. A single row follows itself.
+    come last; null text counts as empty. A single row follows itself. With ``trees``, also the roots
+    and leaves of both, (_ra, _la) and (_rn, _ln), and the text's paragraphs _pa: every text's tree is
+    built once, where it lies, and goes along to the text before it.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     rows = rows.withColumn("_bucket", range_buckets(rows.select("_id"), "_id", rows_per_bucket))
@@ -76,9 +87,16 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     firsts = firsts.select(F.col("_bucket").alias("_of"), "_first", before.alias("_to"))
     edges = rows.join(firsts, (F.col("_bucket") == F.col("_of")) & F.col("_id").eqNullSafe(F.col("_first")))
     edges = edges.groupBy("_to").agg(F.min_by("_text", F.xxhash64("_text")).alias("_edge"))
+    moved = {"_text": "_next"}
+    if trees:
+        moved |= {"_ra": "_rn", "_la": "_ln"}
+        rows = _with_tree(rows.repartition("_bucket"), "_text", "_ra", "_la", "_pa")
+        edges = _with_tree(edges, "_edge", "_edge_ra", "_edge_la")
+    edges = edges.withColumnRenamed("_edge", "_edge_text")
     inside = Window.partitionBy("_bucket").orderBy(F.col("_id").desc_nulls_last(), F.xxhash64("_text"))
-    led = rows.withColumn("_lead", F.lead("_text").over(inside))
-    return led.join(edges, F.col("_bucket") == F.col("_to"), "left").select("_id", "_text", F.coalesce("_lead", "_edge").alias("_next"))
+    led = rows.select("*", *[F.lead(c).over(inside).alias(f"_lead{c}") for c in moved])
+    return led.join(edges, F.col("_bucket") == F.col("_to"), "left").select(
+        "_id", "_text", *(["_ra", "_la", "_pa"] if trees else []), *[F.coalesce(f"_lead{c}", f"_edge{c}").alias(n) for c, n in moved.items()])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,13 +108,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     that differs, null if none). An empty table gives no row.
     """
     third = F.floor(F.col("n_chars") / 3).cast("int")
-    rows = with_next(docs, id_col, text_col).withColumn("n_chars", F.length("_text"))
+    rows = with_next(docs, id_col, text_col, trees=True).withColumn("n_chars", F.length("_text"))
     rows = rows.withColumn("_edited", F.concat(F.expr("left(_text, n_chars - cast(floor(n_chars / 3) as int))"), F.substring(F.col("_next"), F.lit(1), third)))
-    trees = rows.select(F.col("_id").alias(id_col), F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.encode("_edited", "UTF-8"), 256).alias("edited_sha256"),
-                        tree(F.col("_text")).alias("_a"), tree(F.col("_edited")).alias("_e"), tree(F.col("_next")).alias("_n"))
-    nodes = trees.select(id_col, "n_chars", "edited_sha256", *[f(F.col(f"_{x}")).alias(f"_{n}{x}") for x in "aen" for n, f in (("r", root), ("l", leaf_set))],
-                         first_difference(paragraphs(F.col("_a")), paragraphs(F.col("_e"))).alias("first_edit"))
-    return nodes.select(
-        id_col, "n_chars", "edited_sha256", F.col("_ra").alias("fingerprint"), F.col("_re").alias("edited_fingerprint"),
+    edited = rows.select(F.col("_id").alias(id_col), F.col("n_chars").cast("long").alias("n_chars"), "_ra", "_la", "_pa", "_rn", "_ln", "_edited")
+    return _with_tree(edited, "_edited", "_re", "_le", "_pe").select(
+        id_col, "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), F.col("_ra").alias("fingerprint"), F.col("_re").alias("edited_fingerprint"),
         likeness(F.col("_ra"), F.col("_la"), F.col("_re"), F.col("_le")).alias("near_edited"),
-        likeness(F.col("_ra"), F.col("_la"), F.col("_rn"), F.col("_ln")).alias("near_next"), "first_edit")
+        likeness(F.col("_ra"), F.col("_la"), F.col("_rn"), F.col("_ln")).alias("near_next"),
+        first_difference(F.col("_pa"), F.col("_pe")).alias("first_edit"))

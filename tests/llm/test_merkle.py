@@ -65,3 +65,9 @@ def test_first_difference_locates_the_edit(spark):
     trees = df.select(merkle.tree(df["a"]).alias("a"), merkle.tree(df["b"]).alias("b"))
     got = [r[0] for r in trees.select(merkle.first_difference(merkle.paragraphs(trees["a"]), merkle.paragraphs(trees["b"]))).collect()]
     assert got == [3, None, 5]
+
+
+def test_each_text_is_cut_into_its_tree_once(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id long, text string")
+    plan = merkle.fingerprints(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 3  # a text's own, the edited one's, and that of a range's first text
