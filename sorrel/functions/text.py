@@ -86,9 +86,14 @@ def mentions(text, phrase) -> Column:
     return F.rlike(F.lower(col(text)), phrase_pattern(phrase))
 
 
+def marked_words(text) -> Column:
+    """The lower-cased text with a stop word for every run of signs that belong to no word; white space is left as it is."""
+    return F.regexp_replace(F.lower(col(text)), f"[^\\p{{L}}\\p{{N}}_{_SPACE}]+", " \u0001 ")
+
+
 def word_tokens(text) -> Column:
     """Lower-cased words in order; every other character but space becomes a stop word of its own."""
-    return F.split(strip(F.regexp_replace(F.lower(col(text)), f"[^\\p{{L}}\\p{{N}}_{_SPACE}]+", " \u0001 ")), f"[{_SPACE}]+")
+    return F.split(strip(marked_words(text)), f"[{_SPACE}]+")
 
 
 def ngrams(words, lengths) -> Column:

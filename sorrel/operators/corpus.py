@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sorrel.functions.text import mentions, ngrams, norm, squash, word_tokens
+from sorrel.functions.text import marked_words, mentions, ngrams, norm, squash, word_tokens
 from sorrel.operators.sampling import corpus_sample
 from sorrel.session import widen
 
@@ -16,32 +16,39 @@ from sorrel.session import widen
 _BROADCAST_BYTES = 32 << 20
 
 
-def _mentioned(spark: SparkSession, phrases: list[tuple[str, str]]):
-    """A column function: the concepts whose phrase stands between spaces in a line of words, each once."""
+def _mentioned(spark: SparkSession, phrases: list[tuple[str, str, bool]]):
+    """A column function: the concepts whose phrase stands between spaces in a text of words, each once, with the flag given."""
     sent = spark.sparkContext.broadcast(phrases)
 
     def find(lines: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import ahocorasick
 
         automaton, concepts = ahocorasick.Automaton(), {}
-        for phrase, concept in sent.value:
-            concepts.setdefault(f" {phrase} ", []).append(concept)
+        for phrase, concept, flag in sent.value:
+            concepts.setdefault(f" {phrase} ", []).append((concept, flag))
         for phrase, named in concepts.items():
             automaton.add_word(phrase, tuple(named))
         automaton.make_automaton()
         for batch in lines:
-            yield pa.array([sorted({c for _, named in automaton.iter(line) for c in named}) if line else [] for line in batch.to_pylist()], pa.list_(pa.string()))
+            out = []
+            for text in batch:
+                # white space is here what it is in the texts' patterns
+                line = f" {' '.join(text.as_py().split())} " if text.is_valid else ""
+                # a phrase names the same tuple wherever it stands: tuples are made one before they are opened
+                out.append([{"concept": c, "odd": odd} for c, odd in sorted({x for named in {named for _, named in automaton.iter(line)} for x in named})])
+            yield pa.array(out, kind)
 
-    return F.arrow_udf(find, "array<string>")
+    kind = pa.list_(pa.struct([("concept", pa.string()), ("odd", pa.bool_())]))
+    return F.arrow_udf(find, "array<struct<concept:string,odd:boolean>>")
 
 
 def phrase_matches(captions: DataFrame, concepts: DataFrame, ident: str, text: str = "text") -> DataFrame:
     """(ident, concept) for every caption mentioning a concept as a whole word or phrase.
 
     While the counted bytes of the concepts are few, one automaton of all of them goes over each
-    caption's words once, and only mentions become rows. Beyond that texts become distinct n-grams of
-    the lengths the concepts have, joined by a shuffle. Concepts with other signs than letters, digits and spaces are
-    matched by pattern against the captions having their first word.
+    caption's words once, and only mentions become rows; no caption is shuffled. Beyond that texts become
+    distinct n-grams of the lengths the concepts have, joined by a shuffle. Concepts with other signs than letters,
+    digits and spaces are matched by pattern against the captions having their first word.
     """
     odd = F.col("_phrase").rlike("[^\\p{L}\\p{N}_ ]")
     # keys are NULL where they do not apply, so that no pattern filter is inferred for the n-grams
@@ -51,20 +58,22 @@ def phrase_matches(captions: DataFrame, concepts: DataFrame, ident: str, text: s
     size = c.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("_plain").isNotNull(), F.col("_len"))).alias("lengths"), F.count("_head").alias("odd"),
         F.coalesce(F.sum(2 * F.octet_length("concept") + 64), F.lit(0)).alias("bytes")).first()
     found = captions.select(ident).limit(0).withColumn("concept", F.lit(None).cast("string"))
-    few = size["bytes"] <= _BROADCAST_BYTES
-    side = F.broadcast if few else (lambda d: d)
+    if size["bytes"] <= _BROADCAST_BYTES:
+        sought = c.select(F.coalesce("_plain", "_head").alias("p"), "concept", F.col("_plain").isNull().alias("odd")).where("p <> '' OR NOT odd").collect()
+        if not sought:
+            return found
+        lines = widen(captions.select(ident, text)).select(ident, F.col(text).cast("string").alias("_text"), marked_words(text).alias("_line"))
+        named = lines.select(ident, "_text", _mentioned(lines.sparkSession, [tuple(r) for r in sought])("_line").alias("_named"))
+        sure = F.filter("_named", lambda x: ~x["odd"] | mentions("_text", x["concept"])) if size["odd"] else F.col("_named")
+        return named.select(ident, F.explode(sure["concept"]).alias("concept"))
     words = widen(captions.select(ident, text)).select(ident, word_tokens(text).alias("_words"))
-    if size["lengths"] and few:
-        phrases = [(r["_plain"], r["concept"]) for r in c.where(F.col("_plain").isNotNull()).select("_plain", "concept").collect()]
-        line = F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))
-        found = words.select(ident, F.explode(_mentioned(words.sparkSession, phrases)(line)).alias("concept"))
-    elif size["lengths"]:
+    if size["lengths"]:
         grams = words.select(ident, F.explode(ngrams("_words", sorted(size["lengths"]))).alias("_gram"))
-        found = grams.join(side(c.select("_plain", "concept")), F.col("_gram") == F.col("_plain")).select(ident, "concept")
+        found = grams.join(c.select("_plain", "concept"), F.col("_gram") == F.col("_plain")).select(ident, "concept")
     if size["odd"]:
         # candidates first, without the text: only they are joined back to it
         heads = words.select(ident, F.explode(ngrams("_words", [1])).alias("_gram"))
-        near = heads.join(side(c.select("_head", "concept")), F.col("_gram") == F.col("_head")).select(ident, "concept")
+        near = heads.join(c.select("_head", "concept"), F.col("_gram") == F.col("_head")).select(ident, "concept")
         found = found.unionByName(near.join(captions.select(ident, text), ident).where(mentions(text, "concept")).select(ident, "concept"))
     return found
 

@@ -24,3 +24,12 @@ def test_both_ways_find_the_same_mentions(spark, monkeypatch, few_bytes):
             if any(line[j:j + len(p)] == p for j in range(len(line) - len(p) + 1)):
                 want.add((i, c))
     assert got == want and len(want) > 100
+
+
+def test_no_caption_is_shuffled_for_odd_concepts(spark):
+    caps = spark.createDataFrame([(1, "Eau, d'eau verte"), (2, "d eau"), (2, "l'eau D'Eau"), (3, " eau verte d"), (4, None), (5, " ")], "id long, text string")
+    concepts = spark.createDataFrame([(c,) for c in ("d'eau", "eau verte", "!!!", "d", "L'Eau")], "concept string")
+    found = corpus.phrase_matches(caps, concepts, "id")
+    assert sorted((r["id"], r["concept"]) for r in found.collect()) == [
+        (1, "d"), (1, "d'eau"), (1, "eau verte"), (2, "L'Eau"), (2, "d"), (2, "d"), (2, "d'eau"), (3, "d"), (3, "eau verte")]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
