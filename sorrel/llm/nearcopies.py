@@ -10,10 +10,12 @@ fifth, and two sets of one key are compared only if the places allow the similar
 of one template, which share half their text, mostly are not.
 
 The smaller set of a pair must stand at a place that a set of its own size could match, so each
-key has few sets that offer themselves. Its members are compared with the smallest offer first;
-only where that leaves a key in several components are offers compared with the members of other
-components. A bound on their difference by 256 parities comes before every comparison. A mass of near copies thus costs a
-comparison a member and key. Sets are shipped once to each packet of comparisons, not once a pair.
+key has few sets that offer themselves. Its members are compared with the key's hub first, the offer
+with the fewest rarer shingles: of texts edited from one base, the least edited. Only where that
+leaves a key in several components do offers meet the members of other components, in blocks of
+bounded size: a pair becomes a row only if places and 512 parities, which bound the difference,
+allow it. A mass of near copies thus costs a comparison a member and key. Sets are shipped once to
+each packet of comparisons, not once a pair.
 
 Shingle sets are eight times as large as what a key needs and are never written down: texts are
 read once for names and SimHashes, once for counters, once for keys, and those of compared sets
@@ -40,7 +42,7 @@ WORDS = 5
 #: Similarity from which two texts are near copies, as a fraction of whole numbers.
 SIMILAR = (4, 5)
 #: Bits that bound from below in how many shingles two sets differ.
-PARITIES = 256
+PARITIES = 512
 #: Counters that tell rare shingles from frequent ones (the order only decides how much is compared), and their parts.
 COUNTERS, PARTS = 1 << 18, 16
 #: Names of sets that a task remembers to have keyed.
@@ -49,6 +51,8 @@ REMEMBERED = 1 << 18
 MIX = tuple(np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 #: Bytes of sets in a packet of comparisons, and comparisons of one set in a packet.
 PACKET_BYTES, PACKET_PAIRS = 1 << 23, 512
+#: Rows of a key's block, rows of a packet of blocks, and pairs that a packet looks at together.
+BLOCK, PACKET_ROWS, CHUNK = 4096, 1 << 15, 1 << 18
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -236,6 +240,59 @@ def _verified(pairs: DataFrame, prints: DataFrame, base: DataFrame, owned: list[
     return dealt.groupBy("packet").cogroup(sent.groupBy("_in")).applyInArrow(compare, "u long, v long")
 
 
+def _meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v, a, b): the pairs of a packet's blocks that places and parities allow, a chunk at a time."""
+    table = pa.Table.from_batches(batches)
+    unit, side = (table.column(c).to_numpy() for c in ("unit", "side"))
+    order = np.lexsort((side, unit))
+    unit, side = unit[order], side[order]
+    s, size, at, root = (table.column(c).to_numpy()[order] for c in ("s", "size", "at", "root"))
+    odd = table.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(s), -1)[order]
+    begin = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+    n = np.diff(np.r_[begin, len(unit)])
+    # a block's rows that only offer come first, those that only are sought last
+    sought = np.repeat(begin + np.add.reduceat((side == 0).astype(np.int64), begin), n)
+    m = np.repeat(begin + n, n) - sought
+    offers = np.flatnonzero((side < 2) & (m > 0))
+    upto = np.cumsum(m[offers])
+    lo = 0
+    while lo < len(offers):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - m[offers[lo]] + CHUNK, "right")))
+        each = m[offers[lo:hi]]
+        i = np.repeat(offers[lo:hi], each)
+        j = sought[i] + np.arange(len(i)) - np.repeat(np.cumsum(each) - each, each)
+        left = np.minimum(size[i] - at[i], size[j] - at[j])
+        may = (root[i] != root[j]) & (size[i] <= size[j]) & (left * (SIMILAR[0] + SIMILAR[1]) >= SIMILAR[0] * (size[i] + size[j]))
+        i, j = i[may], j[may]
+        apart = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64)
+        near = apart * (SIMILAR[0] + SIMILAR[1]) <= (SIMILAR[1] - SIMILAR[0]) * (size[i] + size[j])
+        i, j = i[near], j[near]
+        yield pa.record_batch([pa.array(c) for c in (s[i], s[j], size[i], size[j])], ["u", "v", "a", "b"])
+        lo = hi
+
+
+def crossing(apart: DataFrame, prints: DataFrame) -> DataFrame:
+    """(u, v, a, b): the pairs of sets under one key but of different roots that may be alike, the smaller first.
+
+    Pairs are looked at in blocks of ``BLOCK`` rows and become rows only if places and parities
+    allow them; a key of more rows is cut to blocks, each pair of which is one unit of work.
+    """
+    odd = prints.groupBy("s").agg(F.first("odd").alias("odd"))
+    rows = apart.select("k", "s", F.col("size").cast("long").alias("size"), F.col("at").cast("long").alias("at"), "root", "offers")
+    n = rows.count()
+    crowded = rows.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_parts")).where(F.col("_parts") > 1)
+    placed = rows.join(odd, "s").join(crowded, "k", "left")
+    parts = F.coalesce("_parts", F.lit(1))
+    own, all_ = F.pmod(F.xxhash64("s"), parts).cast("int"), F.sequence(F.lit(0), parts - 1)
+    # side 0 only offers, 1 does both, 2 is only sought
+    whole = placed.where(F.col("_parts").isNull()).select(F.xxhash64("k").alias("unit"), F.when(F.col("offers"), 1).otherwise(2).alias("side"), "s", "size", "at", "root", "odd")
+    many = placed.where(F.col("_parts").isNotNull()).withColumn("_own", own)
+    offered = many.where("offers").withColumn("_other", F.explode(all_)).select(F.xxhash64("k", "_own", "_other").alias("unit"), F.lit(0).alias("side"), "s", "size", "at", "root", "odd")
+    sought = many.withColumn("_other", F.explode(all_)).select(F.xxhash64("k", "_other", "_own").alias("unit"), F.lit(2).alias("side"), "s", "size", "at", "root", "odd")
+    units = whole.unionByName(offered).unionByName(sought)
+    return units.withColumn("_packet", F.pmod("unit", F.lit(1 + n // PACKET_ROWS))).groupBy("_packet").applyInArrow(_meet, "u long, v long, a long, b long").distinct()
+
+
 def candidates(keys: DataFrame, owned: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, starred): the rows of keys that an offer shares with another set, and each such set beside the key's hub."""
     offers = (F.col("size") - F.col("at")) * (SIMILAR[0] + SIMILAR[1]) >= 2 * SIMILAR[0] * F.col("size")
@@ -243,7 +300,7 @@ def candidates(keys: DataFrame, owned: list[str] | None = None) -> tuple[DataFra
     met: list[str] = []
     twice = cut(keys.groupBy("k").agg(F.min("s").alias("_lo"), F.max("s").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select("k"), met)
     some = cut(keys.join(twice, "k").withColumn("offers", offers), met)
-    hub = some.where("offers").groupBy("k").agg(F.min(F.struct("s", "size", "at")).alias("hub"))
+    hub = some.where("offers").groupBy("k").agg(F.min(F.struct("at", "s", "size")).alias("hub"))
     members = cut(some.join(hub, "k"), owned)
     drop_tables(keys.sparkSession, met)
     named = members.select("k", "s", F.col("size").alias("b"), F.col("at").alias("_at"), F.col("hub.s").alias("u"), F.col("hub.size").alias("a"), F.col("hub.at").alias("_hub_at"))
@@ -264,11 +321,9 @@ def set_links(prints: DataFrame, base: DataFrame) -> DataFrame:
     named = members.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
     mixed = named.groupBy("k").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select("k")
     apart = cut(named.join(mixed, "k"), owned)
-    offered = apart.where("offers").select("k", F.col("s").alias("u"), F.col("size").alias("a"), F.col("at").alias("_at_a"), F.col("root").alias("_root"))
-    sought = apart.select("k", F.col("s").alias("v"), F.col("size").alias("b"), F.col("at").alias("_at_b"), "root")
-    crossed = offered.join(sought, "k").where((F.col("root") != F.col("_root")) & (F.col("a") <= F.col("b")) & _may("a", "b", "_at_a", "_at_b"))
-    fresh = crossed.select("u", "v", "a", "b").distinct().join(starred.select("u", "v"), ["u", "v"], "left_anti")
-    second = cut(_verified(cut(_near_parity(fresh, prints), owned), prints, base, owned))
+    crossed = cut(crossing(apart, prints), owned)
+    fresh = crossed.join(starred.select("u", "v"), ["u", "v"], "left_anti")
+    second = cut(_verified(cut(fresh, owned), prints, base, owned))
     drop_tables(spark, owned)
     return first.unionByName(second)
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 from test_simhash import plain_fingerprint
 
 import corpus_pipeline
@@ -131,6 +132,48 @@ def test_masses_of_near_copies_take_linear_comparisons(spark, monkeypatch):
     assert sum(seen) < 20 * 600, seen
 
 
+def edited(n, words, most, seed, first=0):
+    """Texts edited from one base, each in up to ``most`` words; the base itself comes first, if it is asked for."""
+    dice = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    texts = [" ".join(base)] * first
+    for i in range(n):
+        text = list(base)
+        for p in dice.sample(range(words), i % most + 1):
+            text[p] = f"e{dice.randrange(10 ** 9)}"
+        texts.append(" ".join(text))
+    return texts
+
+
+def test_family_around_a_base_takes_linear_comparisons(spark, monkeypatch):
+    """Most pairs of the least edited are alike, pairs of the others are not: neither makes rows by the square."""
+    seen = []
+    verified = nearcopies._verified
+    monkeypatch.setattr(nearcopies, "_verified", lambda pairs, *more: seen.append(pairs.count()) or verified(pairs, *more))
+    texts = dict(enumerate(edited(400, 150, 5, 3)))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in stage(spark, docs).collect()} == stays(texts)
+    assert sum(seen) < 4 * 400, seen
+
+
+def test_blocks_of_a_crowded_key_miss_no_pair(spark, monkeypatch):
+    texts = dict(enumerate(edited(150, 150, 6, 4) + edited(60, 40, 2, 5)))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    base = nearcopies.id_text(docs)
+    prints = nearcopies._signatures(base).cache()
+    members, _ = nearcopies.candidates(nearcopies._keys(base))
+    rows = members.withColumn("root", F.pmod("s", F.lit(7))).cache()
+    whole = {tuple(r) for r in nearcopies.crossing(rows, prints).collect()}
+    monkeypatch.setattr(nearcopies, "BLOCK", 16)
+    monkeypatch.setattr(nearcopies, "CHUNK", 64)
+    monkeypatch.setattr(nearcopies, "PACKET_ROWS", 500)
+    assert {tuple(r) for r in nearcopies.crossing(rows, prints).collect()} == whole
+    sets = {nearcopies.digest(f): f for f in map(nearcopies.shingles, texts.values())}
+    pairs = {tuple(sorted(r[:2])) for r in whole}
+    alike = {(a, b) for a in sets for b in sets if a < b and a % 7 != b % 7 and nearcopies.alike(sets[a], sets[b])}
+    assert alike and alike <= pairs and len(pairs) < 2 * len(alike)
+
+
 def test_keys_of_sets():
     found = nearcopies.shingles("a b c d e f " * 3)
     assert len(found) == 6 and len(nearcopies.prefix(found, np.zeros(8, np.uint32))) == 2
