@@ -9,24 +9,32 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Items that an embedding function gets at once: long texts become Python strings only so many at a time.
+EMBED_ROWS = 256
+
+
 def embed_items(df: DataFrame, ident: str, item: str, fn: Callable[[list], np.ndarray], dim: int, out: str = "vec") -> DataFrame:
     """(ident, unit vector) from ``fn`` over batches of items; another dimension than ``dim`` is an error."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = np.asarray(fn(batch[item].tolist()), dtype=float)
-            if m.ndim != 2 or m.shape != (len(batch), dim):
-                raise ValueError(f"expected {(len(batch), dim)}, got {m.shape}")
-            size = np.linalg.norm(m, axis=1, keepdims=True)
-            m = m / np.where(size > 0, size, 1.0)
-            yield pd.DataFrame({ident: batch[ident].values, out: list(m)})
+            for lo in range(0, batch.num_rows, EMBED_ROWS):
+                part = batch.slice(lo, EMBED_ROWS)
+                m = np.asarray(fn(part.column(item).to_pandas().tolist()), dtype=float)
+                if m.ndim != 2 or m.shape != (len(part), dim):
+                    raise ValueError(f"expected {(len(part), dim)}, got {m.shape}")
+                size = np.linalg.norm(m, axis=1, keepdims=True)
+                m = m / np.where(size > 0, size, 1.0)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, dim), pa.int32()), pa.array(m.ravel()))
+                yield pa.record_batch([part.column(ident), vectors], [ident, out])
 
     schema = T.StructType([df.schema[ident], T.StructField(out, T.ArrayType(T.DoubleType()))])
-    return df.select(*dict.fromkeys([ident, item])).mapInPandas(run, schema)
+    return df.select(*dict.fromkeys([ident, item])).mapInArrow(run, schema)
 
 
 def map_distinct(df: DataFrame, inputs: Sequence[str], fn: Callable[..., list], out: str, kind: T.DataType) -> DataFrame:
