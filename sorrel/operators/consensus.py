@@ -13,11 +13,19 @@ from sorrel.operators.scan import ordered_scan, tuple_scan
 from sorrel.operators.similarity import top_k
 from sorrel.session import cut
 
+#: Rows of a task that sorts or groups them, however many rows there are.
+ROWS_PER_TASK = 1 << 20
+
+
+def _dealt(rows: DataFrame, total: int, *columns: str) -> DataFrame:
+    """``rows``, of which there are ``total`` at most, in tasks of bounded size by ``columns``."""
+    return rows.repartition(1 + total // ROWS_PER_TASK, *columns)
+
 
 def _value_counts(reads: DataFrame, keys: Sequence[str], order: str | None) -> DataFrame:
     v = reads.where(is_visible("value")).withColumn("value", norm("value"))
-    first = F.min(order) if order else F.min("value")
-    return v.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"), first.alias("first_seen"))
+    first = [F.min(order).alias("first_seen")] if order else []
+    return v.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"), *first)
 
 
 def target_attributes(reads: DataFrame, keys: Sequence[str] = ("concept", "slot"), order: str = "ord") -> DataFrame:
@@ -58,15 +66,20 @@ def feasibility(targets: DataFrame, cohorts: DataFrame | None = None, key: str =
 def strict_majority(reads: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Top value per key when it beats the runner-up; no label on a tie."""
     c = _value_counts(reads, keys, None)
-    top = c.groupBy(*keys).agg(F.max("n").alias("_top"))
-    w = c.join(top, list(keys)).where(F.col("n") == F.col("_top")).groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"), F.min("value").alias("value"), F.max("n").alias("votes"))
-    return w.where(F.col("_k") == 1).select(*keys, "value", "votes")
+    # the lowest and the highest of the top values are one value unless several are tied
+    w = c.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("neg"), "value")).alias("_low"), F.max(F.struct("n", "value")).alias("_high"))
+    return w.where(F.col("_low.value") == F.col("_high.value")).select(*keys, F.col("_high.value").alias("value"), F.col("_high.n").alias("votes"))
 
 
 def heldout_labels(reads: DataFrame, build: DataFrame, keys: Sequence[str], path: str = "path") -> DataFrame:
-    """Strict majority over reads of paths outside the build set, each path read once per key."""
-    fresh = reads.join(build.select(path).distinct(), path, "left_anti").groupBy(*keys, path).agg(F.min("value").alias("value"))
-    return strict_majority(fresh, keys)
+    """Strict majority over reads of paths outside the build set, each path read once per key.
+
+    Reads pass by a hash table of the build paths and are not sorted for it; what is left is dealt
+    to tasks of bounded size by key and path.
+    """
+    fresh = reads.join(build.select(path).distinct().hint("shuffle_hash"), path, "left_anti")
+    once = _dealt(fresh, reads.count(), *keys, path).groupBy(*keys, path).agg(F.min("value").alias("value"))
+    return strict_majority(once, keys)
 
 
 def family_majority(attrs: DataFrame, vectors: DataFrame | None = None, vec: str = "vec") -> DataFrame:
