@@ -258,14 +258,25 @@ def whole_families(species: DataFrame, min_family: int = 3, min_species: int = 2
 
 # --- hit tables ---------------------------------------------------------------------------
 
+def both_arms(flat: DataFrame, graph: DataFrame) -> DataFrame:
+    """(concept, path, _fs, _gs): the best score of each path of a concept in either arm, null where an arm lacks it.
+
+    A row with a null concept or path is in one arm only.
+    """
+    none = lambda df: F.lit(None).cast(df.schema["score"].dataType)
+    rows = flat.select("concept", "path", F.col("score").alias("_fs"), none(graph).alias("_gs"), F.lit(True).alias("_flat")).unionByName(
+        graph.select("concept", "path", none(flat).alias("_fs"), F.col("score").alias("_gs"), F.lit(False).alias("_flat")))
+    rows = _dealt(rows, rows.count(), "concept", "path")
+    apart = F.when(F.col("concept").isNull() | F.col("path").isNull(), F.col("_flat"))
+    return rows.groupBy("concept", "path", apart.alias("_apart")).agg(F.max("_fs").alias("_fs"), F.max("_gs").alias("_gs")).drop("_apart")
+
+
 def arm_divergence(flat: DataFrame, graph: DataFrame) -> DataFrame:
     """Per concept: pool sizes, Jaccard, same top reference, part types covered, flat top in the graph pool.
 
     ``flat`` is (concept, path, score), ``graph`` adds part_type.
     """
-    f = flat.groupBy("concept", "path").agg(F.max("score").alias("_fs"))
-    g = graph.groupBy("concept", "path").agg(F.max("score").alias("_gs"))
-    both = f.join(g, ["concept", "path"], "full_outer")
+    both = both_arms(flat, graph)
     top = lambda s: F.min_by("path", F.when(F.col(s).isNotNull(), F.struct(-F.col(s), F.col("path"))))
     inter, union = F.count_if(F.col("_fs").isNotNull() & F.col("_gs").isNotNull()), F.count(F.lit(1))
     per = both.groupBy("concept").agg(

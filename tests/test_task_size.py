@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 from sorrel.operators import consensus
 
 
+def test_arms_are_grouped_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(consensus, "ROWS_PER_TASK", 50)
+    rows = spark.range(600).select((F.col("id") % 7).alias("concept"), (F.col("id") % 91).alias("path"), (F.col("id") * 37 % 101).cast("double").alias("score"), (F.col("id") % 3).alias("part_type"))
+    odd = spark.createDataFrame([(None, 1, 5.0, 0), (1, None, 6.0, 0), (None, None, None, 1), (1, 3, None, 1)], "concept long, path long, score double, part_type long")
+    flat, graph = rows.where("score > 40").unionByName(odd).drop("part_type"), rows.where("score < 70").unionByName(odd)
+    both = consensus.both_arms(flat, graph)
+    assert both.rdd.getNumPartitions() > 10
+    f = flat.groupBy("concept", "path").agg(F.max("score").alias("_fs"))
+    g = graph.groupBy("concept", "path").agg(F.max("score").alias("_gs"))
+    joined = f.join(g, ["concept", "path"], "full_outer")
+    assert Counter(map(tuple, both.collect())) == Counter(map(tuple, joined.select("concept", "path", "_fs", "_gs").collect()))
+
+
 def test_heldout_labels_sort_no_reads_for_the_build_set(spark, monkeypatch):
     monkeypatch.setattr(consensus, "ROWS_PER_TASK", 50)
     reads = spark.range(900).select((F.col("id") % 11).alias("concept"), F.when(F.col("id") % 50 > 0, F.col("id") % 300).alias("path"), F.concat(F.lit("V"), F.col("id") * 7 % 5).alias("value"))
