@@ -52,7 +52,7 @@ MIX = tuple(np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4C
 #: Bytes of sets in a packet of comparisons, and comparisons of one set in a packet.
 PACKET_BYTES, PACKET_PAIRS = 1 << 23, 512
 #: Rows of a key's block, rows of a packet of blocks, and pairs that a packet looks at together.
-BLOCK, PACKET_ROWS, CHUNK = 4096, 1 << 15, 1 << 18
+BLOCK, PACKET_ROWS, CHUNK = 4096, 1 << 15, 1 << 15
 
 
 def shingles(text: str | None) -> np.ndarray:

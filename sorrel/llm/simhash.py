@@ -40,6 +40,8 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 BLOCK, PACKET = 1024, 60_000
 _KEYS_PER_TEXT = 33
 _CHUNK = 1 << 16
+#: Pairs compared at once: what a worker holds for them, and may keep after its stage, stays at a few MB.
+PAIRS = 1 << 16
 
 # generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 _GOLAY = 0b110001110101
@@ -95,7 +97,9 @@ def _tables() -> tuple[np.ndarray, list[np.ndarray]]:
     s = _syndromes(four)
     order = np.argsort(s, kind="stable")
     cuts = np.searchsorted(s[order], np.arange(2049))
-    return leader, [four[order][cuts[i]:cuts[i + 1]] for i in range(2048)]
+    # all are slices of one array: a worker keeps them
+    four = four[order]
+    return leader, [four[cuts[i]:cuts[i + 1]] for i in range(2048)]
 
 
 def _choose(n: int, k: int):
@@ -189,19 +193,20 @@ def _verify_packet(table: pa.Table) -> pa.Table:
             u, v = _forest(np.r_[us[-1], a[hit]], np.r_[vs[-1], b[hit]])
             us[-1], vs[-1] = u, v
 
-    small = np.flatnonzero((n > 0) & (m > 0) & (n * m <= _CHUNK))
+    small = np.flatnonzero((n > 0) & (m > 0) & (n * m <= PAIRS))
+    total = np.r_[0, np.cumsum(n[small] * m[small])]
     at = 0
     while at < len(small):
-        upto = max(at + 1, np.searchsorted(np.cumsum(n[small[at:]] * m[small[at:]]), 16 * _CHUNK) + at)
+        upto = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, "right")) - 1)
         g = small[at:upto]
         pairs = n[g] * m[g]
         which = np.repeat(np.arange(len(g)), pairs)
         inside = np.arange(len(which)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
         keep(fp[begin[g][which] + inside // m[g][which]], fp[middle[g][which] + inside % m[g][which]])
         at = upto
-    for g in np.flatnonzero((n > 0) & (m > 0) & (n * m > _CHUNK)):
+    for g in np.flatnonzero((n > 0) & (m > 0) & (n * m > PAIRS)):
         sought = fp[middle[g]:end[g]]
-        rows = max(1, 16 * _CHUNK // len(sought))
+        rows = max(1, PAIRS // len(sought))
         for lo in range(begin[g], middle[g], rows):
             offered = fp[lo:min(lo + rows, middle[g])]
             keep(np.repeat(offered, len(sought)), np.tile(sought, len(offered)))
