@@ -60,11 +60,12 @@ def _nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
-def sized(rows: DataFrame, block_rows: int | None) -> tuple[int, int]:
-    """How many rows there are, and how many a block shall have."""
-    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("_cvec"))).first()
+def sized(rows: DataFrame, block_rows: int | None) -> tuple[int, int, int, int]:
+    """How many rows there are, how many the largest group has, how many groups, and how many rows a block shall have."""
+    per = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.max(F.size("_cvec")).alias("_w"))
+    n, largest, groups, width = per.agg(F.sum("_n"), F.max("_n"), F.count(F.lit(1)), F.max("_w")).first()
     most = BLOCK_BYTES // (8 * max(1, width or 0))
-    return n, block_rows or max(LEAST_ROWS, min(most, -(-n // SIDE_BLOCKS)))
+    return n or 0, largest or 0, groups, block_rows or max(LEAST_ROWS, min(most, -(-(n or 0) // SIDE_BLOCKS)))
 
 
 def fit_pivots(rows: DataFrame, vec: str, n: int, block_rows: int) -> np.ndarray:

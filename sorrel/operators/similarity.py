@@ -6,7 +6,7 @@ answer (k hits per query, a count per query, or a spanning forest), never the pa
 so a group holding most rows only means more tasks. Filters and group restrictions
 apply before blocking.
 
-A side of more rows than one block is first cut around pivots (``blocks``). A query goes to its
+A group of more rows than one block has its side first cut around pivots (``blocks``). A query goes to its
 most promising blocks, and with the score of its k-th hit there only to the blocks that can
 hold a better one; a threshold search compares only the pairs of blocks that can reach the
 threshold. On clustered vectors a row is thus shipped a few times however many rows there are;
@@ -29,6 +29,8 @@ from sorrel.session import cut
 
 #: Queries scored at once, and scores at once at most.
 _CHUNK, _SCORES = 256, 1 << 22
+#: Rows of a tag whose scores are looked at by their maximum first, and groups whose sizes are sent to all tasks at most.
+_STRIP, _SENT_GROUPS = 32, 1 << 16
 
 
 def _step(c: np.ndarray) -> int:
@@ -68,6 +70,60 @@ def _masked_scores(q, c, qcode, ccode, lo, step):
     return s
 
 
+def _nearest(q, c, qcode, ccode, k, slack, step):
+    """For chunks of queries (their rows, then query and corpus row of each candidate) what can be among the ``k`` best."""
+    for lo in range(0, len(q), step):
+        s = _masked_scores(q, c, qcode, ccode, lo, step)
+        pool = s > -np.inf
+        if len(c) > k:
+            floor = np.partition(s, len(c) - k, axis=1)[:, len(c) - k]
+            pool &= s >= (floor - slack[lo:lo + step])[:, None]
+        yield np.arange(lo, lo + len(s)), *np.nonzero(pool)
+
+
+def _nearest_capped(q, c, qcode, ccode, k, cap, slack, step):
+    """Like ``_nearest``, for at most ``cap`` hits of a tag.
+
+    Corpus rows lie tag by tag and are seen in strips by their best score. The cap-th best strip of a
+    tag bounds the tag's hits, the k-th best tag bounds all, so few rows are candidates however many
+    a tag has and however few tags there are. Of equal vectors of a tag only the first ``cap`` can be hits.
+    """
+    same = np.unique(np.ascontiguousarray(c).view(np.dtype((np.void, c.itemsize * c.shape[1]))).ravel(), return_inverse=True)[1]
+    first = np.flatnonzero(_run_rank(same * (int(ccode.max()) + 3) + ccode + 2) < cap)
+    order = first[np.argsort(ccode[first], kind="stable")]
+    rows, code = c[order], ccode[order]
+    tags, start, size = np.unique(code, return_index=True, return_counts=True)
+    at = np.flatnonzero((np.arange(len(rows)) - np.repeat(start, size)) % _STRIP == 0)
+    length, lead = np.diff(np.r_[at, len(rows)]), np.searchsorted(at, start)
+    wide = [(x, x - (-n // _STRIP)) for x, n in zip(lead.tolist(), size.tolist()) if n > _STRIP * cap]
+    turn, scores = np.argsort(qcode, kind="stable"), np.empty((min(step, len(q)), len(rows)))
+    own, past = np.searchsorted(code, qcode, "left"), np.searchsorted(code, qcode, "right")
+    for lo in range(0, len(q), step):
+        asked = turn[lo:lo + step]
+        s, left, a, b = scores[:len(asked)], q[asked], own[asked], past[asked]
+        if (a == a[0]).all() and (b == b[0]).all():
+            np.matmul(left, rows[:a[0]].T, out=s[:, :a[0]])
+            np.matmul(left, rows[b[0]:].T, out=s[:, b[0]:])
+            s[:, a[0]:b[0]] = -np.inf
+        else:
+            np.matmul(left, rows.T, out=s)
+            for i in range(len(s)):
+                s[i, a[i]:b[i]] = -np.inf
+        top = np.maximum.reduceat(s, at, axis=1)
+        floor = np.full(top.shape, -np.inf)
+        for x, y in wide:
+            floor[:, x:y] = np.partition(top[:, x:y], y - x - cap, axis=1)[:, y - x - cap, None]
+        if len(tags) >= k:
+            best = np.maximum.reduceat(top, lead, axis=1)
+            np.maximum(floor, np.partition(best, len(tags) - k, axis=1)[:, len(tags) - k, None], out=floor)
+        floor -= slack[asked, None]
+        at_q, strip = np.nonzero((top >= floor) & (top > -np.inf))
+        n = length[strip]
+        qi, ci = np.repeat(at_q, n), np.arange(n.sum()) + np.repeat(at[strip] - (np.cumsum(n) - n), n)
+        pool = (s[qi, ci] >= np.repeat(floor[at_q, strip], n)) & (s[qi, ci] > -np.inf)
+        yield asked, qi[pool], order[ci[pool]]
+
+
 def _topk_kernel(k: int, cap: int | None):
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("_cid")
@@ -78,28 +134,17 @@ def _topk_kernel(k: int, cap: int | None):
             return schema.empty_table()
         qcode, ccode = codes(left.column("_qtag"), right.column("_ctag"))
         slack, step = _slack(q, c), _step(c)
-        by_tag = np.argsort(ccode, kind="stable")
-        starts = np.flatnonzero(np.r_[True, ccode[by_tag][1:] != ccode[by_tag][:-1]])
+        found = _nearest(q, c, qcode, ccode, k, slack, step) if cap is None else _nearest_capped(q, c, qcode, ccode, k, cap, slack, step)
         keep_q, keep_c, keep_s = [], [], []
-        for lo in range(0, len(q), step):
-            s = _masked_scores(q, c, qcode, ccode, lo, step)
-            if cap is None:
-                floor = np.partition(s, len(c) - k, axis=1)[:, len(c) - k] if len(c) > k else None
-            else:
-                best = np.maximum.reduceat(s[:, by_tag], starts, axis=1)
-                floor = np.partition(best, best.shape[1] - k, axis=1)[:, -k] if best.shape[1] >= k else None
-            pool = s > -np.inf
-            if floor is not None:
-                pool &= s >= (floor - slack[lo:lo + step])[:, None]
-            qi, ci = np.nonzero(pool)
-            exact = _sequential_dot(q[lo:lo + step], c, qi, ci)
+        for asked, qi, ci in found:
+            exact = _sequential_dot(q[asked], c, qi, ci)
             order = np.lexsort((ci, -exact, qi))
             qi, ci, exact = qi[order], ci[order], exact[order]
             if cap is not None:
                 within = _run_rank(qi * (int(ccode.max()) + 3) + ccode[ci]) < cap
                 qi, ci, exact = qi[within], ci[within], exact[within]
             top = _run_rank(qi) < k
-            keep_q.append(qi[top] + lo)
+            keep_q.append(asked[qi[top]])
             keep_c.append(ci[top])
             keep_s.append(exact[top])
         qi, ci = np.concatenate(keep_q), np.concatenate(keep_c)
@@ -173,11 +218,11 @@ def _block_counts(df: DataFrame, group: str, rows: int, name: str) -> DataFrame:
     return df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
 
 
-def _cogrouped(q: DataFrame, c: DataFrame, kernel, schema, block_rows: int, whole: bool) -> DataFrame:
+def _cogrouped(q: DataFrame, c: DataFrame, kernel, schema, block_rows: int, few: bool) -> DataFrame:
     """Block both sides by ``_g`` and run ``kernel`` on each block pair."""
     sizes = _block_counts(q, "_g", block_rows, "_nq").join(_block_counts(c, "_g", block_rows, "_nc"), "_g")
-    if whole:
-        sizes = F.broadcast(sizes)  # one row
+    if few:
+        sizes = F.broadcast(sizes)  # one row a group
     q = (q.join(sizes, "_g").withColumn("_qb", _salt(q, "_qid", "_nq"))
           .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.col("_nc") - 1))).drop("_nq", "_nc"))
     c = (c.join(sizes, "_g").withColumn("_cb", _salt(c, "_cid", "_nc"))
@@ -217,9 +262,9 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "que
     schema = T.StructType([
         T.StructField("_qid", queries.schema[query_id].dataType), T.StructField("_cid", corpus.schema[doc_id].dataType),
         T.StructField("_ctag", T.StringType()), T.StructField("_score", T.DoubleType())])
-    kernel, (n, block_rows) = _topk_kernel(k, cap), sized(c, block_rows)
-    if n <= block_rows:
-        hits = _best(_cogrouped(q, c, kernel, schema, block_rows, group is None), k, cap)
+    kernel, (n, most, groups, block_rows) = _topk_kernel(k, cap), sized(c, block_rows)
+    if most <= block_rows:
+        hits = _best(_cogrouped(q, c, kernel, schema, block_rows, groups <= _SENT_GROUPS), k, cap)
     else:
         q, blocks = cut(q), Blocks(c, n, block_rows, group is not None)
         rows, near = blocks.keyed(), nearest_first(k)
@@ -240,9 +285,9 @@ def count_above(queries: DataFrame, corpus: DataFrame, mark: str, mark_id: str,
     q = _side(queries, "q", query_id, vec, tag, group, F.col(mark).alias("_mark"), F.col(mark_id).alias("_mark_id"))
     c = _side(corpus, "c", doc_id, vec, tag, group)
     schema = T.StructType([T.StructField("_qid", queries.schema[query_id].dataType), T.StructField("_above", T.LongType())])
-    n, block_rows = sized(c, block_rows)
-    if n <= block_rows:
-        counts = _cogrouped(q, c, _above_kernel, schema, block_rows, group is None)
+    n, most, groups, block_rows = sized(c, block_rows)
+    if most <= block_rows:
+        counts = _cogrouped(q, c, _above_kernel, schema, block_rows, groups <= _SENT_GROUPS)
     else:
         q, blocks = cut(q), Blocks(c, n, block_rows, group is not None)
         sent = blocks.route(q, block_rows, reaching("_mark"))
@@ -260,9 +305,9 @@ def threshold_forest(items: DataFrame, threshold: float, *, ident: str = "id", v
     """
     q = _side(items, "q", ident, vec, None, group).withColumn("_qid", F.col("_qid").cast("long"))
     c = _side(items, "c", ident, vec, None, group).withColumn("_cid", F.col("_cid").cast("long"))
-    n, block_rows = sized(c, block_rows)
-    if n <= block_rows:
-        return _cogrouped(q, c, _forest_kernel(threshold), "u long, v long", block_rows, group is None).distinct()
+    n, most, groups, block_rows = sized(c, block_rows)
+    if most <= block_rows:
+        return _cogrouped(q, c, _forest_kernel(threshold), "u long, v long", block_rows, groups <= _SENT_GROUPS).distinct()
     blocks = Blocks(c, n, block_rows, group is not None)
     pairs, key = blocks.close_pairs(threshold), F.struct("_g", "_b1", "_b2").alias("_g")
     rows = blocks.rows.drop("_away")
